@@ -83,6 +83,36 @@ VIEWS: dict[str, str] = {
         o.o_orderpriority AS priority, o.o_orderstatus AS status_code,
         o.o_orderkey % 10 <> 0 AS deployment_confirmed
       FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+    # one observation of a token for the generic screen
+    "snapshots": """
+      SELECT o_orderkey AS id, o_custkey AS token, EPOCH(o_orderdate) AS now,
+        CASE WHEN o_orderkey % 9 <> 0 THEN 'solana' ELSE 'other' END AS chain,
+        CASE WHEN o_orderkey % 8 <> 1 THEN o_orderkey % 8 <> 2 END AS standard_token,
+        o_orderkey % 13 <> 3 AS mint_known, CASE WHEN o_orderkey % 12 = 5 THEN 'key' END AS mint_authority,
+        o_orderkey % 14 <> 3 AS freeze_known, CASE WHEN o_orderkey % 15 = 5 THEN 'key' END AS freeze_authority,
+        CASE WHEN o_orderkey % 17 <> 3 THEN o_totalprice / 1000 END AS price,
+        CASE WHEN o_orderkey % 19 <> 3 THEN EPOCH(o_orderdate) - (o_orderkey % 150) + 20 END AS observed_at,
+        CASE WHEN o_orderkey % 21 <> 3 THEN o_totalprice / 4 END AS liquidity,
+        CASE WHEN o_orderkey % 22 <> 3 THEN o_totalprice / 10 END AS volume_h24,
+        CASE WHEN o_orderkey % 23 <> 3 THEN (o_orderkey * 37) % 90000 END AS age_seconds,
+        CASE WHEN o_orderkey % 24 <> 3 THEN (o_orderkey % 100) / 100.0E0 END AS top10_share,
+        CASE WHEN o_orderkey % 25 <> 3 THEN o_orderkey % 40 END AS buys_m5,
+        CASE WHEN o_orderkey % 26 <> 3 THEN (o_orderkey * 3) % 30 END AS sells_m5,
+        CASE WHEN o_orderkey % 27 <> 3 THEN o_orderkey % 60 - 20 END AS change_m5 FROM orders""",
+    # one exchange ticker with its candle summary
+    "tickers": """
+      SELECT o_orderkey AS id, EPOCH(o_orderdate) AS now,
+        CASE o_orderkey % 4 WHEN 0 THEN 'BTC-USD' WHEN 1 THEN 'ETH-USD' WHEN 2 THEN 'SOL-USD' ELSE 'DOGE-USD' END AS token,
+        CASE WHEN o_orderkey % 10 <> 0 THEN 'coinbase' ELSE 'other' END AS venue, o_totalprice / 1000 AS price,
+        EPOCH(o_orderdate) - (o_orderkey % 150) + 20 AS observed_at,
+        CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 30 END AS spread_bps,
+        CASE WHEN o_orderkey % 12 <> 0 THEN o_totalprice / 10 END AS volume_h24,
+        CASE WHEN o_orderkey % 13 <> 0 THEN EPOCH(o_orderdate) - (o_orderkey % 160) END AS candle_end,
+        CASE WHEN o_orderkey % 14 <> 0 THEN o_totalprice END AS sma_fast,
+        CASE WHEN o_orderkey % 15 <> 0 THEN o_totalprice * (0.999E0 + (o_orderkey % 5) * 0.0005E0) END AS sma_slow,
+        CASE WHEN o_orderkey % 16 <> 0 THEN (o_orderkey % 20) / 19.0E0 END AS rising_fraction FROM orders""",
+    "creators": """
+      SELECT token, min(wallet) AS deployer, max(origin) AS initiator FROM swaps WHERE pool % 100 = 0 GROUP BY token""",
 }
 
 _MACRO = re.compile(r"\b(EPOCH|IDIV|TEXT)\(")

@@ -92,4 +92,6 @@ def greedy_pairs(rows: DataFrame, group: Sequence[str], left: str, right: str, o
         open_pairs = materialize(rest, "pairs-open")
         if open_pairs.isEmpty():
             break
+    else:
+        raise RuntimeError(f"pairs still open after {max_rounds} rounds")
     return accepted.select(*group, left, right, "_at.*")
