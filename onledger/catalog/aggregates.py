@@ -8,7 +8,6 @@ from onledger.functions import bigint
 from onledger.operators import aggregates as agg
 from onledger.plans import quality, signals
 
-N = F.count(F.lit(1))
 
 
 @query("agg_01_status_counts", """
@@ -16,7 +15,7 @@ N = F.count(F.lit(1))
    CAST(count(stress_bp) AS BIGINT) AS stressed FROM samples GROUP BY version, status""")
 def status_counts(t):
     return t.samples.groupBy("version", "status").agg(
-        N.alias("n"), F.count("return_bp").alias("measured"), F.count("stress_bp").alias("stressed"))
+        F.count("*").alias("n"), F.count("return_bp").alias("measured"), F.count("stress_bp").alias("stressed"))
 
 
 @query("agg_02_conditional", """
@@ -28,7 +27,7 @@ def status_counts(t):
 def conditional(t):
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     return t.swaps.groupBy("token").agg(
-        N.alias("swaps"), F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
+        F.count("*").alias("swaps"), F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
         F.sum(F.when(buy, F.col("quote_amount")).otherwise(0)).alias("buy_quote"),
         F.sum(F.when(sell, F.col("quote_amount")).otherwise(0)).alias("sell_quote"),
         F.count(F.when(F.col("gas") > 0, F.col("gas"))).alias("paid_gas"))
@@ -48,7 +47,7 @@ def distinct(t):
  WHERE status = 'complete' GROUP BY wallet HAVING count(*) >= 5 AND count(DISTINCT token) >= 4""")
 def having(t):
     return (t.samples.filter("status = 'complete'").groupBy("wallet")
-            .agg(N.alias("n"), F.countDistinct("token").alias("tokens")).filter("n >= 5 AND tokens >= 4"))
+            .agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens")).filter("n >= 5 AND tokens >= 4"))
 
 
 @query("agg_05_first_last_seen", """
@@ -72,7 +71,7 @@ def first_last_seen(t):
  FROM samples WHERE return_bp IS NOT NULL GROUP BY wallet""")
 def mean_median_wins(t):
     rows = t.samples.filter("return_bp IS NOT NULL")
-    base = rows.groupBy("wallet").agg(N.alias("n"), F.sum("return_bp").alias("total_bp"),
+    base = rows.groupBy("wallet").agg(F.count("*").alias("n"), F.sum("return_bp").alias("total_bp"),
                                       F.count_if(F.col("return_bp") > 0).alias("wins"))
     med = agg.exact_median(rows, ["wallet"], "return_bp", "median_bp")
     return base.join(med, "wallet").withColumn("mean_bp", F.col("total_bp") / F.col("n"))
@@ -221,7 +220,7 @@ def latest_quality(t):
               .otherwise("unavailable"))
     newest = agg.latest(t.assessments, ["token"], ["id"])
     return newest.groupBy(status.alias("source_status")).agg(
-        N.alias("tokens"), F.count("top10_share").alias("holders_known"), F.count("price").alias("quoted"),
+        F.count("*").alias("tokens"), F.count("top10_share").alias("holders_known"), F.count("price").alias("quoted"),
         F.max("ts").alias("latest_at"))
 
 
@@ -241,12 +240,12 @@ def entity_counters(t):
  LEFT JOIN (SELECT * FROM members WHERE status = 'complete') m USING (case_key) GROUP BY k.case_key""")
 def members_per_case(t):
     rows = t.samples.withColumn("case_key", F.col("token") * 1000000000000 + F.col("leader_ts"))
-    members = rows.filter("status = 'complete'").groupBy("case_key").agg(N.alias("members"))
+    members = rows.filter("status = 'complete'").groupBy("case_key").agg(F.count("*").alias("members"))
     return rows.select("case_key").distinct().join(members, "case_key", "left").fillna(0, ["members"])
 
 
 @query("agg_20_leaderboard", """
  SELECT origin AS wallet, CAST(count(*) AS BIGINT) AS n FROM swaps GROUP BY origin ORDER BY n DESC, wallet LIMIT 50""")
 def leaderboard(t):
-    return (t.swaps.groupBy(F.col("origin").alias("wallet")).agg(N.alias("n"))
+    return (t.swaps.groupBy(F.col("origin").alias("wallet")).agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), "wallet").limit(50))

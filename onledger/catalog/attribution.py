@@ -10,7 +10,6 @@ from onledger.plans import ledger
 from onledger.sources.readers import parse_logs, parse_receipts
 
 C = F.col
-N = F.count(F.lit(1))
 ROUTER = 999999
 
 

@@ -61,7 +61,7 @@ def event_kind(t):
               .when(k == 1, F.array(F.lit(d.TOPIC_TRANSFER), F.lit(d.ZERO_TOPIC), who))
               .when(k == 2, F.array(F.lit(d.TOPIC_SWAP_V3), who, who))
               .when(k == 3, F.array(F.lit(d.TOPIC_BURN_V2), who)).otherwise(F.array(who)))
-    return t.swap_keys.groupBy(d.event_kind(topics).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return t.swap_keys.groupBy(d.event_kind(topics).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("dec_06_pool_created", f"""
@@ -84,7 +84,7 @@ def pool_created(t):
  SELECT '0x' || lpad(lower(to_hex(pool)), CASE WHEN pool % 3 = 2 THEN 64 ELSE 40 END, '0') AS pool_key,
    CAST(count(*) AS BIGINT) AS n FROM swaps GROUP BY 1""")
 def pool_key(t):
-    return parsed(t).groupBy(d.pool_key(C("emitter"), C("log_topics")).alias("pool_key")).agg(F.count(F.lit(1)).alias("n"))
+    return parsed(t).groupBy(d.pool_key(C("emitter"), C("log_topics")).alias("pool_key")).agg(F.count("*").alias("n"))
 
 
 @query("dec_08_swap_amounts", """

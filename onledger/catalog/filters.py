@@ -9,7 +9,6 @@ from onledger.operators.rules import apply_screen
 from onledger.params import MAX_AGE_SECONDS, SOURCE_MAX_AGE_SECONDS, ScreenRules
 from onledger.plans import screens
 
-N = F.count(F.lit(1))
 
 
 @query("flt_01_freshness", """
@@ -157,7 +156,7 @@ def failure_cause(t):
    AS passed FROM screened
  UNION ALL SELECT 'exchange', count(*), CAST(sum(CASE WHEN reasons = '' THEN 1 ELSE 0 END) AS BIGINT) FROM traded""")
 def registered_screens(t):
-    parts = [apply_screen(name, rows, ScreenRules()).agg(N.alias("seen"), F.count_if(F.size("reasons") == 0).alias("passed"))
+    parts = [apply_screen(name, rows, ScreenRules()).agg(F.count("*").alias("seen"), F.count_if(F.size("reasons") == 0).alias("passed"))
              .select(F.lit(name).alias("screen"), "seen", "passed")
              for name, rows in (("token", t.snapshots), ("exchange", t.tickers))]
     return parts[0].unionByName(parts[1])

@@ -65,7 +65,7 @@ def anti_left_is_null(t):
 def anti_not_in(t):
     sells = t.swap_keys.filter("side = 'sell'")
     gaps = t.swap_keys.select(F.when(F.col("side") == "sell", F.col("tx")).alias("tx"))
-    parts = [joins.not_in(t.samples, lst, "tx").groupBy("wallet").agg(F.count(F.lit(1)).alias("n"))
+    parts = [joins.not_in(t.samples, lst, "tx").groupBy("wallet").agg(F.count("*").alias("n"))
              .select(F.lit(label).alias("list"), "wallet", "n") for label, lst in (("plain", sells), ("holds_null", gaps))]
     return parts[0].unionByName(parts[1])
 
@@ -87,7 +87,7 @@ def semi_exists(t):
      AND sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) > 0)""")
 def semi_having(t):
     busy = (t.samples.groupBy("wallet").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("token").alias("k"),
+        F.count("*").alias("n"), F.countDistinct("token").alias("k"),
         F.count_if(F.col("status") == "queued").alias("open"))
         .filter("n >= 10 AND k >= 5 AND open > 0").select("wallet"))
     return t.samples.join(busy, "wallet", "left_semi").select("tx", "wallet", "token", "leader_ts")
@@ -178,7 +178,7 @@ def provenance_checked(t):
     agrees = F.bool_and(F.col("log_block").eqNullSafe(F.col("block")))
     net = F.sum(F.when(F.col("side") == "buy", F.col("quote_amount")).otherwise(-F.col("quote_amount")))
     return checked.groupBy("wallet").agg(
-        F.count(F.lit(1)).alias("swaps"), F.when(agrees, net).alias("net_quote"),
+        F.count("*").alias("swaps"), F.when(agrees, net).alias("net_quote"),
         F.when(~agrees, F.lit("pool_flow_evidence_missing")).alias("reason"))
 
 
@@ -212,5 +212,5 @@ CASES = """ members AS (SELECT tx, wallet, token * 1000000000000 + leader_ts AS
 def member_fan_out(t):
     members = t.samples.withColumn("case_key", F.col("token") * 1000000000000 + F.col("leader_ts"))
     cases = members.filter("status = 'complete'").groupBy("case_key").agg(
-        F.max("return_bp").alias("case_return"), F.count(F.lit(1)).alias("case_size"))
+        F.max("return_bp").alias("case_return"), F.count("*").alias("case_size"))
     return members.join(cases, "case_key").select("tx", "wallet", "case_key", "case_return", "case_size")

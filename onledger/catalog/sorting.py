@@ -6,7 +6,6 @@ from onledger.catalog import query
 from onledger.catalog.aggregates import REASONS, reasons
 from onledger.operators import rules, scan
 
-N = F.count(F.lit(1))
 
 
 @query("srt_01_priority_top", """
@@ -38,7 +37,7 @@ def chain_order(t):
  ORDER BY qualified DESC, samples DESC, coalesce(mean_bp, -100000) DESC, wallet LIMIT 25""")
 def ranking(t):
     w = t.samples.groupBy("wallet").agg(
-        (F.count("return_bp") >= 4).alias("qualified"), N.alias("samples"),
+        (F.count("return_bp") >= 4).alias("qualified"), F.count("*").alias("samples"),
         F.try_divide(F.sum("return_bp"), F.count("return_bp")).alias("mean_bp"))
     return w.orderBy(F.desc("qualified"), F.desc("samples"), F.coalesce("mean_bp", F.lit(-100000.0)).desc(),
                      "wallet").limit(25)

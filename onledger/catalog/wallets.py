@@ -73,7 +73,7 @@ def entry_rank(t):
 def fifo_match(t):
     all_lots, _ = wallets.fifo(t.flows)
     return all_lots.groupBy("wallet", "token", "state").agg(
-        F.count(F.lit(1)).alias("lots"), F.sum("quantity").alias("units"), F.sum("cost").alias("cost"))
+        F.count("*").alias("lots"), F.sum("quantity").alias("units"), F.sum("cost").alias("cost"))
 
 
 @query("pip_08_fifo_outcomes", """

@@ -22,8 +22,8 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) ->
     sketch = base.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(F.lit(0.5 - MEDIAN_BAND), F.lit(0.5 + MEDIAN_BAND)),
                             F.lit(SKETCH_ACCURACY)).alias("_q"),
-        F.count(F.lit(1)).alias("_n"))
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).join(sketch, list(keys))
+        F.count("*").alias("_n"))
+    counted = base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(sketch, list(keys))
     low, high = F.col("_q")[0], F.col("_q")[1]
     # everything below the band becomes one row, so the window sees the band only
     band = (counted.filter(F.col("_v") <= high)
@@ -44,14 +44,14 @@ def top_share(rows: DataFrame, keys: Sequence[str], value: str, holder: str, n:
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(holder))
     top = (rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
            .groupBy(*keys).agg(F.sum(value).alias("_top")))
-    total = rows.groupBy(*keys).agg(F.sum(value).alias("_all"), F.count(F.lit(1)).alias("holders"))
+    total = rows.groupBy(*keys).agg(F.sum(value).alias("_all"), F.count("*").alias("holders"))
     return total.join(top, list(keys)).withColumn(
         name, F.when(F.col("_all") != 0, F.col("_top").cast("double") / F.col("_all").cast("double")))
 
 
 def null_profile(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """NULL counts of many columns in one pass, unpivoted to one row per column."""
-    one = rows.agg(F.count(F.lit(1)).alias("denominator"),
+    one = rows.agg(F.count("*").alias("denominator"),
                    *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return one.unpivot("denominator", list(columns), "column_name", "nulls").withColumn("table_name", F.lit(table))
 

@@ -18,7 +18,7 @@ def anti(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def not_in(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """SQL ``NOT IN``: nothing qualifies once the list holds a NULL, and NULL never qualifies against a non-empty list."""
-    total = right.select(F.count(F.lit(1))).scalar()
+    total = right.select(F.count("*")).scalar()
     nulls = right.select(F.count_if(F.col(column).isNull())).scalar()
     kept = left.join(right.filter(F.col(column).isNotNull()).select(column).distinct(), [column], "left_anti")
     return kept.filter((total == 0) | ((nulls == 0) & F.col(column).isNotNull()))

@@ -27,7 +27,7 @@ def candle_trend(candles: DataFrame, keys: Sequence[str], width: int, fast: int
     w = Window.partitionBy(*keys, "_blk").orderBy("start")
     last_fast, last_slow = w.rowsBetween(-(fast - 1), 0), w.rowsBetween(-(slow - 1), 0)
     rows = rows.withColumn("_up", F.when(F.col("close_cents") > F.lag("close_cents").over(w), 1).otherwise(0))
-    whole = (F.count(F.lit(1)).over(last_slow) == slow) & (
+    whole = (F.count("*").over(last_slow) == slow) & (
         F.col("start") - F.min("start").over(last_slow) == (slow - 1) * width) & (
         F.min("close_cents").over(last_slow) > 0)
     # a rise is counted between neighbours inside the window only
@@ -65,7 +65,7 @@ def schedule_gaps(cases: DataFrame, observed: DataFrame, keys: Sequence[str], fi
     joined = due.join(seen, [*keys, "step_at"], "left")
     missing = F.col("_seen").isNull()
     return joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("steps"), F.count_if(missing).alias("missing"),
+        F.count("*").alias("steps"), F.count_if(missing).alias("missing"),
         F.min(F.when(missing, F.col("step_at"))).alias("first_gap")).withColumn("has_gaps", F.col("missing") > 0)
 
 

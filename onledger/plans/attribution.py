@@ -13,7 +13,6 @@ from onledger.params import ScanRules
 from onledger.plans.signals import net_deltas
 from onledger.session import materialize
 
-N = F.count(F.lit(1))
 
 # --- fixed values: frame kinds that move native value, and kinds that deploy ------------------------------------------
 VALUE_FRAMES = ("CALL", "CREATE", "CREATE2", "SELFDESTRUCT")
@@ -106,7 +105,7 @@ def attribute_flows(receipts: DataFrame, moves: DataFrame, native: DataFrame, em
     matches = legs.filter("tokens = 1 AND sign(quantity) * sign(quote) < 0")
     first = F.col("wallet") == F.col("origin")
     leg = F.struct("wallet", "token", "quantity", "quote")
-    best = matches.groupBy("tx").agg(F.max(F.when(first, leg)).alias("own"), N.alias("n"), F.max(leg).alias("other"))
+    best = matches.groupBy("tx").agg(F.max(F.when(first, leg)).alias("own"), F.count("*").alias("n"), F.max(leg).alias("other"))
     best = best.select("tx", F.coalesce("own", F.when(F.col("n") == 1, F.col("other"))).alias("m"))
     out = checked.select("tx", "failure").join(best, "tx", "left")
     reason = F.coalesce("failure", F.when(F.col("m").isNull(), NOT_ISOLATED))
@@ -154,7 +153,7 @@ def recent_buyers(swaps: DataFrame, reviews: DataFrame, anchors: DataFrame, wind
     buyers = judged.select("token", F.explode(F.array_compact(F.array(verified, direct))).alias("buyer")).distinct()
     per_tx = judged.groupBy("token", "tx").agg(F.max("review").alias("review"))
     counts = per_tx.groupBy("token").agg(
-        N.alias("transactions"), F.count("review").alias("reviewed"),
+        F.count("*").alias("transactions"), F.count("review").alias("reviewed"),
         F.count_if(F.col("review") == "ambiguous").alias("ambiguous")).withColumn(
         "pending", F.col("transactions") - F.col("reviewed"))
     return buyers, counts
@@ -180,7 +179,7 @@ def backlog(swaps: DataFrame, reviewed: DataFrame, observed_buyers: DataFrame, a
 
 def creator_history(creators: DataFrame) -> DataFrame:
     """How many deployments each initiator has in the observed window."""
-    counts = creators.groupBy("initiator").agg(N.alias("observed_deployments"))
+    counts = creators.groupBy("initiator").agg(F.count("*").alias("observed_deployments"))
     return creators.join(counts, "initiator")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from onledger.functions.decode import event_kind
 from onledger.plans.quality import union_all
 
-N = F.count(F.lit(1))
 
 
 def accepted_logs(logs: DataFrame) -> DataFrame:
@@ -72,8 +71,8 @@ def orphans(relations: Mapping[str, tuple[DataFrame, str, DataFrame, str]]) -> D
     """Foreign keys without a parent, reported per relation and never repaired. NULL keys are not orphans."""
     parts = []
     for name, (child, fk, parent, pk) in relations.items():
-        lost = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_k")).agg(N.alias("_n")).join(
+        lost = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_k")).agg(F.count("*").alias("_n")).join(
             parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
-        parts.append(lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphan_rows"), N.alias("orphan_keys")).select(
+        parts.append(lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphan_rows"), F.count("*").alias("orphan_keys")).select(
             F.lit(name).alias("relation"), "orphan_rows", "orphan_keys"))
     return union_all(parts)

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
@@ -31,7 +30,7 @@ def block_histogram(events: DataFrame, width: int, span: int) -> DataFrame:
 
     Counting per block comes first (one row per block, partial sums before the shuffle); the bin list hangs off one row.
     """
-    per_block = events.groupBy("block").agg(N.alias("n"))
+    per_block = events.groupBy("block").agg(F.count("*").alias("n"))
     end = per_block.agg(F.max("block").alias("finish")).withColumn(
         "begin", F.greatest(F.lit(0), F.col("finish") - (span - 1)))
     bins = end.select("begin", "finish", F.explode(F.sequence(
@@ -51,10 +50,10 @@ def entity_counters(swaps: DataFrame, txs: DataFrame, cursor: int) -> DataFrame:
 
     def distinct(col: str, label: str) -> DataFrame:
         per = swaps.groupBy(col).agg(F.max("block").alias("block"))
-        return per.agg(N.alias("n"), F.count_if(late).alias("pending")).withColumn("entity", F.lit(label))
+        return per.agg(F.count("*").alias("n"), F.count_if(late).alias("pending")).withColumn("entity", F.lit(label))
 
     def plain(rows: DataFrame, label: str) -> DataFrame:
-        return rows.agg(N.alias("n"), F.count_if(late).alias("pending")).withColumn("entity", F.lit(label))
+        return rows.agg(F.count("*").alias("n"), F.count_if(late).alias("pending")).withColumn("entity", F.lit(label))
 
     return union_all([plain(swaps, "swaps"), distinct("wallet", "wallets"), distinct("pool", "pools"),
                       plain(txs, "transactions")]).select("entity", "n", "pending")

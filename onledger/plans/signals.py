@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from onledger.functions import bigint
 
-N = F.count(F.lit(1))
 MINT = "0x0"
 
 
@@ -18,7 +17,7 @@ def activity(swaps: DataFrame, width: int) -> DataFrame:
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     start = (F.floor(F.col("ts") / width) * width).cast("bigint")
     return swaps.groupBy("pool", "token", start.alias("bucket_start")).agg(
-        N.alias("swaps"), F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
+        F.count("*").alias("swaps"), F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
         F.sum(F.when(buy, F.col("quote_amount")).otherwise(0)).alias("buy_quote"),
         F.sum(F.when(sell, F.col("quote_amount")).otherwise(0)).alias("sell_quote"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -55,7 +54,7 @@ def coverage(swaps: DataFrame) -> DataFrame:
         F.max("review").alias("review"), F.max(F.when(F.col("side") == "sell", 1)).alias("sold"))
     reviewed, sold = F.col("review").isNotNull(), F.col("sold").isNotNull()
     out = per_tx.groupBy("token").agg(
-        N.alias("observed"), F.count_if(reviewed).alias("reviewed"),
+        F.count("*").alias("observed"), F.count_if(reviewed).alias("reviewed"),
         F.count_if(F.col("review") == "ambiguous").alias("ambiguous"),
         F.count_if(reviewed & sold).alias("_rs"), F.count_if(sold).alias("_s"))
     return out.select("token", "observed", "reviewed", (F.col("observed") - F.col("reviewed")).alias("pending"),
@@ -76,7 +75,7 @@ def basic_reasons(assessments: DataFrame) -> DataFrame:
 def reason_frequency(rows: DataFrame, top: int | None = None) -> DataFrame:
     """How many assessments and how many distinct tokens each reason stopped."""
     out = rows.select("token", F.explode("reasons").alias("reason")).groupBy("reason").agg(
-        N.alias("assessments"), F.countDistinct("token").alias("tokens"))
+        F.count("*").alias("assessments"), F.countDistinct("token").alias("tokens"))
     return out if top is None else out.orderBy(F.desc("assessments"), "reason").limit(top)
 
 
@@ -84,6 +83,6 @@ def spend(calls: DataFrame, at: str, reserved: str, cost: str) -> DataFrame:
     """Reserved and actual spend by UTC day and month; unknown costs are counted, not taken as zero."""
     when = F.timestamp_seconds(at)
     return calls.groupBy(F.date_format(when, "yyyy-MM-dd").alias("day"), F.date_format(when, "yyyy-MM").alias("month")).agg(
-        N.alias("calls"), F.sum(reserved).alias("reserved_cents"),
+        F.count("*").alias("calls"), F.sum(reserved).alias("reserved_cents"),
         F.coalesce(F.sum(cost), F.lit(0)).alias("actual_cents"),
         F.count_if(F.col(cost).isNull()).alias("unknown_cost_calls"))

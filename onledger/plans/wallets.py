@@ -38,13 +38,13 @@ def wallet_profile(flows: DataFrame, all_lots: DataFrame, unknown: DataFrame,
     closed = all_lots.filter("state = 'closed'")
     by = ["wallet"]
     results = closed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("closed_lots"), F.count_if(F.col("pnl") > 0).alias("wins"),
+        F.count("*").alias("closed_lots"), F.count_if(F.col("pnl") > 0).alias("wins"),
         F.countDistinct("token").alias("closed_tokens"), F.sum("hold_seconds").alias("hold_sum"),
         F.sum("pnl").alias("realized_pnl"))
     medians = exact_median(closed, by, "return_pct", "median_return_pct")
     rank_medians = exact_median(closed, by, "entry_rank", "median_entry_rank")
-    opened = all_lots.filter("state = 'open'").groupBy(*by).agg(F.count(F.lit(1)).alias("open_lots"))
-    unclear = unknown.groupBy(*by).agg(F.count(F.lit(1)).alias("unknown_basis"))
+    opened = all_lots.filter("state = 'open'").groupBy(*by).agg(F.count("*").alias("open_lots"))
+    unclear = unknown.groupBy(*by).agg(F.count("*").alias("unknown_basis"))
     seen = flows.groupBy(*by).agg(
         F.countDistinct(F.when(F.col("side") == "buy", F.col("token"))).alias("tokens_entered"))
     out = seen

@@ -44,15 +44,22 @@ def explode_batches(batches: DataFrame) -> DataFrame:
 def after_watermark(rows: DataFrame, watermark: Column) -> DataFrame:
     """Batches newer than the watermark; empty or repeated tokens of a batch are flagged, not dropped."""
     fresh = rows.filter(F.coalesce(F.col("ts") > watermark, F.lit(True)))
-    counts = fresh.groupBy("ts", "token").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    counts = fresh.groupBy("ts", "token").agg((F.count("*") > 1).alias("repeated"))
     return fresh.join(counts, (fresh.ts == counts.ts) & fresh.token.eqNullSafe(counts.token)).select(
         fresh["*"], (F.coalesce(fresh.token, F.lit("")) == "").alias("empty_token"), "repeated")
 
 
+def parse_once(rows: DataFrame, raw: str, schema: T.StructType, name: str) -> DataFrame:
+    """Parse JSON text into a struct column exactly once per row.
+
+    A one-element explode keeps the optimizer from copying the parser into every filter on a parsed field.
+    """
+    return rows.select("*", F.explode(F.array(F.from_json(raw, schema))).alias(name))
+
+
 def parse_logs(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """Typed columns of raw log JSON, the JSON kept beside them. A time of zero is a missing time."""
-    log = F.from_json(raw, RAW_LOG)
-    out = rows.withColumn("log", log)
+    out = parse_once(rows, raw, RAW_LOG, "log")
     stamp = d.quantity(F.col("log.blockTimestamp"))
     return out.withColumns({
         "tx_hash": F.lower("log.transactionHash"), "block_hash": F.lower("log.blockHash"),
@@ -65,7 +72,7 @@ def parse_logs(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def parse_receipts(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    r = rows.withColumn("r", F.from_json(raw, RECEIPT))
+    r = parse_once(rows, raw, RECEIPT, "r")
     gas, price = d.quantity(F.col("r.gasUsed")), d.quantity(F.col("r.effectiveGasPrice"))
     return r.withColumns({
         "tx_hash": F.lower("r.transactionHash"), "block_hash": F.lower("r.blockHash"),
@@ -92,7 +99,7 @@ def explode_history(documents: DataFrame) -> DataFrame:
         F.lower("t.to").alias("recipient"), F.col("t.gasUsed").try_cast("bigint").alias("gas_used"),
         F.col("t.gasPrice").try_cast("bigint").alias("gas_price"), (F.col("t.isError") == "1").alias("failed"),
         F.lower("t.blockHash").alias("block_hash"), F.col("t.txreceipt_status").try_cast("int").alias("status"))
-    counts = rows.groupBy("wallet", "hash").agg(F.count(F.lit(1)).alias("copies"))
+    counts = rows.groupBy("wallet", "hash").agg(F.count("*").alias("copies"))
     inside = F.col("block").between(F.col("start_block"), F.col("end_block"))
     related = (F.col("wallet") == F.col("sender")) | (F.col("wallet") == F.col("recipient"))
     return rows.join(counts, ["wallet", "hash"]).withColumn("violations", F.array_compact(F.array(
