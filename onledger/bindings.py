@@ -113,8 +113,60 @@ VIEWS: dict[str, str] = {
         CASE WHEN o_orderkey % 16 <> 0 THEN (o_orderkey % 20) / 19.0E0 END AS rising_fraction FROM orders""",
     "creators": """
       SELECT token, min(wallet) AS deployer, max(origin) AS initiator FROM swaps WHERE pool % 100 = 0 GROUP BY token""",
+    # flat evidence collected for one assessment per order
+    "observed": """
+      SELECT id, ts, CASE WHEN id % 97 = 0 THEN 'bad' ELSE token END AS token, pool, block, observed_at, launch_age,
+        deployment_confirmed, CASE WHEN id % 5 <> 0 THEN 2 + id % 3 END AS pool_version,
+        CASE WHEN m THEN price END AS price, CASE WHEN m THEN liquidity END AS liquidity, m AS market_present,
+        CASE WHEN m AND id % 31 <> 0 THEN CASE id % 3 WHEN 0 THEN 'v2_reserves' WHEN 1 THEN 'v3_slot0_and_pool_balances'
+          ELSE 'v4_reserves_lens_core_tvl' END END AS market_source,
+        CASE WHEN m AND id % 13 <> 0 THEN ts - id % 150 END AS market_at, CASE WHEN m THEN block END AS market_block,
+        CASE WHEN m AND id % 101 = 0 THEN '0xzz' WHEN m THEN '0x' || lpad(TEXT(block), 64, '0') END AS market_hash,
+        CASE WHEN m AND id % 3 = 0 THEN CASE WHEN id % 12 = 0 THEN '0' WHEN id % 43 = 0 THEN 'abc' ELSE TEXT(id * 1000) END END
+          AS lp_supply,
+        CASE WHEN m AND id % 3 = 0 THEN CASE WHEN id % 2 = 1 THEN 0.97E0 ELSE (id % 100) / 100.0E0 END END AS lp_burned,
+        q AS quote_present, CASE WHEN q THEN CASE WHEN id % 6 <> 0 THEN 'quoted' ELSE 'unavailable' END END AS quote_status,
+        CASE WHEN q AND id % 6 <> 0 THEN (id % 1000) / 10.0E0 END AS quote_quantity,
+        CASE WHEN q AND id % 6 <> 0 THEN 1.995E0 END AS quote_usd_in,
+        CASE WHEN q AND id % 6 <> 0 THEN 1.995E0 * (100 - id % 20) / 100 END AS quote_usd_out,
+        CASE WHEN q THEN 'canonical_pool_quote' END AS quote_source, CASE WHEN q THEN block END AS quote_block,
+        CASE WHEN q AND id % 6 = 0 THEN 'Pool has no reserves' END AS quote_error,
+        CASE WHEN id % 8 = 0 THEN 'failed' WHEN id % 8 <> 1 THEN 'passed' END AS sim_status,
+        CASE WHEN id % 8 <> 1 THEN 'eth_call' END AS sim_source, CASE WHEN id % 8 <> 1 AND id % 9 <> 0 THEN ts - id % 140 END AS sim_at,
+        CASE WHEN id % 8 <> 1 THEN CASE WHEN id % 23 = 0 THEN block + 1 ELSE block END END AS sim_block,
+        CASE WHEN id % 8 = 0 THEN 'reverted' END AS sim_error, CASE WHEN id % 8 > 1 THEN (id % 5) / 100.0E0 END AS buy_shortfall,
+        CASE WHEN id % 8 > 1 THEN (id % 4) / 100.0E0 END AS sell_shortfall,
+        CASE WHEN id % 8 > 1 THEN (id % 14) / 100.0E0 END AS roundtrip_loss,
+        CASE WHEN id % 7 <> 2 THEN (id % 103) / 100.0E0 END AS top10_share,
+        CASE WHEN id % 7 <> 2 AND id % 37 <> 0 THEN 'verified_transfer_ledger' END AS holder_source,
+        CASE WHEN id % 7 <> 2 THEN ts - id % 125 END AS holder_at,
+        CASE WHEN id % 7 <> 2 THEN CASE WHEN id % 47 = 0 THEN block + 2 ELSE block END END AS holder_block,
+        b AS buyers_present, CASE WHEN b THEN id % 6 END AS distinct_buyers, CASE WHEN b THEN id % 3 END AS qualified_buys,
+        CASE WHEN b THEN id % 7 + (id % 9) % 3 + CASE WHEN id % 59 = 0 THEN 1 ELSE 0 END END AS buyer_total,
+        CASE WHEN b THEN id % 7 END AS buyer_reviewed, CASE WHEN b THEN (id % 9) % 3 END AS buyer_pending,
+        CASE WHEN b THEN CASE WHEN id % 7 > 0 THEN id % 2 ELSE 0 END END AS buyer_ambiguous,
+        CASE WHEN b AND id % 10 <> 0 THEN ts - id % 122 END AS buyer_at, CASE WHEN b THEN block END AS buyer_block,
+        CASE id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' WHEN 2 THEN 'verified' END AS source_status,
+        CASE WHEN id % 4 <> 3 THEN 'explorer' END AS source_provider,
+        CASE WHEN id % 4 <> 3 THEN ts - (id * 7) % 4000 END AS source_at, ts - id % 128 AS risk_checked_at, FLAGS
+      FROM (SELECT o_orderkey AS id, EPOCH(o_orderdate) AS ts, '0x' || lpad(TEXT(o_custkey), 40, '0') AS token,
+          '0x' || lpad(TEXT(o_orderkey % 200), 40, '0') AS pool, IDIV(EPOCH(o_orderdate) - 788918400, 86400) AS block,
+          CASE WHEN o_orderkey % 83 = 0 THEN -1.0E0 WHEN o_orderkey % 7 <> 3 THEN o_totalprice / 1000 END AS price,
+          CASE WHEN o_orderkey % 7 <> 1 THEN o_totalprice / 4 END AS liquidity,
+          CASE WHEN o_orderkey % 17 <> 0 THEN EPOCH(o_orderdate) - o_orderkey % 150 END AS observed_at,
+          (o_orderkey * 13) % 90000 AS launch_age, o_orderkey % 10 <> 0 AS deployment_confirmed,
+          o_orderkey % 41 <> 0 AS m, o_orderkey % 29 <> 0 AS q, o_orderkey % 11 <> 0 AS b FROM orders) x""",
 }
 
+# --- fixed values: provider risk flags, administrative controls from the fourth on ------------------------------------
+RISK_FLAGS = ("is_honeypot", "cannot_buy", "cannot_sell_all", "is_mintable", "is_proxy", "is_blacklisted", "is_whitelisted",
+              "transfer_pausable", "slippage_modifiable", "personal_slippage_modifiable", "hidden_owner",
+              "owner_change_balance", "can_take_back_ownership", "selfdestruct")
+
+VIEWS["observed"] = VIEWS["observed"].replace("FLAGS", ", ".join(
+    f"CASE WHEN id % 3 = 0 THEN 'pass' ELSE CASE (id + {3 * k}) % 40 WHEN 0 THEN 'fail' WHEN 1 THEN NULL ELSE 'pass' END END"
+    f" AS {flag}" for k, flag in enumerate(RISK_FLAGS)))
+
 _MACRO = re.compile(r"\b(EPOCH|IDIV|TEXT)\(")
 
 

@@ -119,7 +119,7 @@ def open_lots(t):
          med_rank, hold, coalesce(pnl, 0) AS pnl, coalesce(opens, 0) AS opens, coalesce(unk, 0) AS unk
        FROM en LEFT JOIN res USING (wallet) LEFT JOIN op USING (wallet) LEFT JOIN un USING (wallet)),
  sc AS (SELECT *, round(greatest(0, least(100, 100.0::DOUBLE * (wins + 2) / (n + 4)
-          + coalesce(greatest(-15, least(15, med / 2)), 0) - least(20, unk * 2))), 2) AS score FROM j)
+          + CASE WHEN med IS NULL THEN 0 ELSE greatest(-15, least(15, med / 2)) END - least(20, unk * 2))), 2) AS score FROM j)
  SELECT wallet, entered AS tokens_entered, n AS closed_lots, toks AS closed_tokens, wins, n - wins AS losses,
    round(med, 6) AS median_return_pct, med_rank AS median_entry_rank, round(hold, 6) AS mean_hold_seconds,
    round(pnl, 4) AS realized_pnl, opens AS open_lots, unk AS unknown_basis, score,

@@ -27,7 +27,8 @@ def fraction(col: Column) -> Column:
 
 
 def clamp(col: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col))
+    """NULL stays NULL (``least`` and ``greatest`` alone would turn it into a bound)."""
+    return F.when(col.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col)))
 
 
 def holds(condition: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onledger.functions.guards import clamp
 from onledger.operators import lots
 from onledger.operators.aggregates import exact_median
 from onledger.params import ScanRules, WalletRules
@@ -51,8 +52,8 @@ def wallet_profile(flows: DataFrame, all_lots: DataFrame, unknown: DataFrame,
     for part in (results, medians, rank_medians, opened, unclear):
         out = out.join(part, by, "left")
     out = out.fillna(0, ["closed_lots", "wins", "closed_tokens", "open_lots", "unknown_basis"])
-    clamp = F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("median_return_pct") / 2))
-    raw = (100 * (F.col("wins") + 2) / (F.col("closed_lots") + 4) + F.coalesce(clamp, F.lit(0.0))
+    lift = F.coalesce(clamp(F.col("median_return_pct") / 2, -15.0, 15.0), F.lit(0.0))
+    raw = (100 * (F.col("wins") + 2) / (F.col("closed_lots") + 4) + lift
            - F.least(F.lit(20), F.col("unknown_basis") * 2))
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)
     out = out.withColumn("score", score)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from onledger.functions import decode as d
 from onledger.functions.guards import finite
+from onledger.functions.pin import pinned
 
 S, L, D, B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
@@ -49,17 +50,9 @@ def after_watermark(rows: DataFrame, watermark: Column) -> DataFrame:
         fresh["*"], (F.coalesce(fresh.token, F.lit("")) == "").alias("empty_token"), "repeated")
 
 
-def parse_once(rows: DataFrame, raw: str, schema: T.StructType, name: str) -> DataFrame:
-    """Parse JSON text into a struct column exactly once per row.
-
-    A one-element explode keeps the optimizer from copying the parser into every filter on a parsed field.
-    """
-    return rows.select("*", F.explode(F.array(F.from_json(raw, schema))).alias(name))
-
-
 def parse_logs(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """Typed columns of raw log JSON, the JSON kept beside them. A time of zero is a missing time."""
-    out = parse_once(rows, raw, RAW_LOG, "log")
+    out = pinned(rows, "log", F.from_json(raw, RAW_LOG))
     stamp = d.quantity(F.col("log.blockTimestamp"))
     return out.withColumns({
         "tx_hash": F.lower("log.transactionHash"), "block_hash": F.lower("log.blockHash"),
@@ -72,7 +65,7 @@ def parse_logs(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def parse_receipts(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    r = parse_once(rows, raw, RECEIPT, "r")
+    r = pinned(rows, "r", F.from_json(raw, RECEIPT))
     gas, price = d.quantity(F.col("r.gasUsed")), d.quantity(F.col("r.effectiveGasPrice"))
     return r.withColumns({
         "tx_hash": F.lower("r.transactionHash"), "block_hash": F.lower("r.blockHash"),
