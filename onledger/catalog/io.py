@@ -1 +1,174 @@
-"""To be filled."""
+"""Sources and sinks: every query writes to the shared work folder and reads back what it wrote."""
+
+from pyspark.sql import functions as F
+
+from onledger.catalog import query
+from onledger.catalog import rawlogs as raw
+from onledger.catalog.attribution import receipts, traces
+from onledger.session import work_dir
+from onledger.sources import readers, sinks
+
+C = F.col
+
+
+@query("src_01_jsonl_batches", """
+ SELECT CAST(now AS DOUBLE) AS ts, TEXT(token) AS token, chain, price, liquidity, CAST(buys_m5 AS DOUBLE) AS buys_m5, standard_token
+ FROM snapshots WHERE id % 12 <> 5
+ UNION ALL SELECT CAST(now AS DOUBLE), 'copy', NULL, price, NULL, NULL, NULL FROM snapshots WHERE id % 12 = 3""")
+def jsonl_batches(t):
+    path = work_dir(t.spark, "batches")
+    one = F.struct(C("token").cast("string").alias("token"), "chain", "price", "liquidity", "buys_m5", "standard_token")
+    copy = F.struct(F.lit("copy").alias("token"), F.lit(None).cast("string").alias("chain"), "price",
+                    F.lit(None).cast("double").alias("liquidity"), F.lit(None).cast("bigint").alias("buys_m5"),
+                    F.lit(None).cast("boolean").alias("standard_token"))
+    items = F.when(C("id") % 12 == 3, F.array(one, copy)).otherwise(F.array(one))
+    line = F.to_json(F.struct(F.when(C("id") % 12 != 5, C("now").cast("double")).alias("ts"), items.alias("snapshots")))
+    lines = F.when(C("id") % 10 == 0, F.array(line, F.lit(""))).otherwise(F.array(line))
+    t.snapshots.select(F.explode(lines).alias("value")).write.text(path)
+    return readers.read_batches(t.spark, path).select("ts", "token", "chain", "price", "liquidity", "buys_m5", "standard_token")
+
+
+@query("src_02_after_watermark", """
+ WITH b AS (SELECT CAST(now AS DOUBLE) AS ts, CASE WHEN id % 30 <> 0 THEN TEXT(token % 40) ELSE '' END AS token, id FROM snapshots)
+ SELECT id, ts, token, token = '' AS empty_token, count(*) OVER (PARTITION BY ts, token) > 1 AS repeated FROM b WHERE ts > 850000000""")
+def after_watermark(t):
+    rows = t.snapshots.select("id", C("now").cast("double").alias("ts"), F.when(C("id") % 30 != 0, (C("token") % 40).cast(
+        "string")).otherwise("").alias("token"))
+    return readers.after_watermark(rows, F.lit(850000000.0)).select("id", "ts", "token", "empty_token", "repeated")
+
+
+@query("src_03_raw_logs", """
+ SELECT tx, log_index, pool, wallet, block AS block_number, CASE WHEN ts > 0 THEN ts END AS log_ts, 3 AS n_topics, false AS removed FROM swaps""")
+def raw_logs(t):
+    path = work_dir(t.spark, "raw-logs")
+    raw.swap_logs(t.swaps).select("tx", "log_index", "pool", "wallet", "raw").write.parquet(path)
+    rows = readers.parse_logs(t.spark.read.parquet(path))
+    return rows.select("tx", "log_index", "pool", "wallet", "block_number", "log_ts", F.size("log_topics").alias("n_topics"), "removed")
+
+
+@query("src_04_receipts_and_traces", """
+ WITH w AS (SELECT tx, count(*) AS calls FROM swap_keys GROUP BY tx)
+ SELECT x.tx, x.block AS block_number, x.status_code = 'F' AS ok, x.total_cents AS gas_used, x.block + 1 AS gas_price,
+   w.calls, x.total_cents AS root_value FROM txs x JOIN w USING (tx) WHERE x.status_code <> 'O'""")
+def receipts_and_traces(t):
+    tree = F.try_parse_json("trace")
+    parsed = traces(t).select("tx", F.size(F.try_variant_get(tree, "$.calls", "array<variant>")).cast("bigint").alias("calls"),
+                          F.try_variant_get(tree, "$.value", "bigint").alias("root_value"))
+    return receipts(t).select("tx", "block_number", "ok", "gas_used", "gas_price").join(parsed, "tx")
+
+
+@query("src_05_candles", """
+ SELECT start, low_cents / 100.0::DOUBLE AS low, close_cents / 100.0::DOUBLE AS close, start + 60 AS available_at FROM candles
+ WHERE start % 10800 <> 0 AND start % 14400 <> 0 AND start % 18000 <> 0""")
+def candles(t):
+    s = C("start")
+    doc = F.to_json(F.array(F.when(s % 10800 == 0, s + 7).otherwise(s).cast("double"), C("low_cents") / 100.0, C("high_cents") / 100.0,
+                            C("open_cents") / 100.0, F.when(s % 14400 == 0, 0.0).otherwise(C("close_cents") / 100.0), F.lit(1.0)))
+    short = F.when(s % 18000 == 0, F.to_json(F.array(s.cast("double")))).otherwise(doc)
+    rows = t.candles.select(F.from_json(short, "array<double>").alias("candle"))
+    return readers.parse_candles(rows).select("start", "low", "close", "available_at")
+
+
+@query("src_06_explorer_history", """
+ WITH h AS (SELECT tx, origin, block, IDIV(block, 100) AS part, CASE WHEN tx % 15 = 0 THEN 2 ELSE 1 END AS copies FROM txs)
+ SELECT TEXT(origin) AS wallet, TEXT(tx) AS hash, block, copies, concat_ws(',', CASE WHEN copies > 1 THEN 'duplicate_transaction' END,
+   CASE WHEN block > part * 100 + 95 THEN 'outside_interval' END, CASE WHEN tx % 16 = 0 THEN 'unrelated_transaction' END) AS violations
+ FROM h, unnest(generate_series(1, copies)) AS g(i)""")
+def explorer_history(t):
+    item = F.struct(C("tx").cast("string").alias("hash"), C("block").cast("string").alias("blockNumber"), F.lit("0x").alias("blockHash"),
+                    F.when(C("tx") % 16 == 0, F.lit("x")).otherwise(C("origin").cast("string")).alias("from"), F.lit("y").alias("to"),
+                    F.lit("21000").alias("gasUsed"), F.lit("3").alias("gasPrice"), F.lit("0").alias("isError"), F.lit("1").alias("txreceipt_status"))
+    part = F.floor(C("block") / 100).cast("bigint")
+    rows = t.txs.withColumns({"part": part, "item": F.explode(F.array_repeat(item, F.when(C("tx") % 15 == 0, 2).otherwise(1)))})
+    docs = rows.groupBy("origin", "part").agg(F.collect_list("item").alias("transactions")).select(
+        C("origin").cast("string").alias("wallet"), (C("part") * 100).alias("start_block"), (C("part") * 100 + 95).alias("end_block"),
+        "transactions")
+    path = work_dir(t.spark, "history")
+    docs.write.json(path)
+    saved = t.spark.read.schema(readers.HISTORY).json(path)
+    return readers.explode_history(saved).select("wallet", "hash", "block", "copies", F.array_join("violations", ",").alias("violations"))
+
+
+@query("snk_01_csv_projection", """
+ SELECT tx, wallet, leader_ts, status, return_bp, stress_bp FROM samples""")
+def csv_projection(t):
+    path = work_dir(t.spark, "csv")
+    rows = t.samples.select("tx", "wallet", "leader_ts", "status", "return_bp", "stress_bp")
+    sinks.write_csv(rows, path, ["leader_ts", "tx"])
+    return t.spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@query("snk_02_jsonl", """
+ SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS nested FROM events""")
+def jsonl(t):
+    path = work_dir(t.spark, "jsonl")
+    sinks.write_jsonl(t.events.select("event_id", "event_type", "props"), path, ["event_type", "props"])
+    lines = t.spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"),
+                        F.get_json_object("value", "$.event_type").alias("event_type"),
+                        F.get_json_object("value", "$.props.k").cast("bigint").alias("k"),
+                        F.get_json_object("value", "$.props").startswith("{").alias("nested"))
+
+
+def exported(t):
+    root = work_dir(t.spark, "export")
+    tables = {"samples": t.samples, "txs": t.txs, "part": t.part, "orders": t.orders}
+    return root, sinks.export_snapshot(t.spark, tables, root, exclude=["orders"], null_columns={"txs": ["priority"]})
+
+
+@query("snk_03_snapshot_export", """
+ SELECT 'samples' AS table_name, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS target_rows, true AS included, true AS agrees FROM samples
+ UNION ALL SELECT 'txs', count(*), count(*), true, true FROM txs UNION ALL SELECT 'part', count(*), count(*), true, true FROM part
+ UNION ALL SELECT 'orders', count(*), NULL, false, true FROM orders""")
+def snapshot_export(t):
+    return exported(t)[1]
+
+
+@query("snk_04_file_manifest")
+def file_manifest(t):
+    root, _ = exported(t)
+    return sinks.manifest(t.spark, root)
+
+
+@query("snk_05_idempotent_append", """
+ SELECT tx, log_index, pool, wallet, quote_amount, side, block FROM (SELECT *, row_number() OVER (PARTITION BY tx, log_index
+   ORDER BY block >= 1200, block, pool, wallet, quote_amount, side, token_amount, ts, line_status) AS rn FROM swap_keys) WHERE rn = 1""")
+def idempotent_append(t):
+    table = sinks.VersionedTable(t.spark, work_dir(t.spark, "append"))
+    order = ["block", "pool", "wallet", "quote_amount", "side", "token_amount", "ts", "line_status"]
+    early, late = t.swap_keys.filter("block < 1200"), t.swap_keys.filter("block >= 1200")
+    for batch in (early, late, late):
+        sinks.append_new(table, batch, ["tx", "log_index"], order)
+    return table.read().select("tx", "log_index", "pool", "wallet", "quote_amount", "side", "block")
+
+
+@query("snk_06_upsert_latest", """
+ SELECT token, id, ts, liquidity, price FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ts DESC, id DESC) AS rn FROM assessments)
+ WHERE rn = 1""")
+def upsert_latest(t):
+    rows = t.assessments.select("token", "id", "ts", "liquidity", "price")
+    return sinks.upsert_latest(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), ["token"], ["ts", "id"])
+
+
+@query("snk_07_upsert_known", """
+ SELECT token, min_by(liquidity, id) FILTER (liquidity IS NOT NULL) AS liquidity, min_by(price, id) FILTER (price IS NOT NULL) AS price,
+   min_by(top10_share, id) FILTER (top10_share IS NOT NULL) AS top10_share FROM assessments GROUP BY token""")
+def upsert_known(t):
+    return sinks.upsert_known(t.assessments, ["token"], ["liquidity", "price", "top10_share"], "id")
+
+
+@query("snk_08_versioned_rebuild", """
+ SELECT 'current' AS part, tx AS key, 2 AS version, status FROM samples
+ UNION ALL SELECT 'archived', tx, 1, 'queued' FROM samples WHERE version = 1""")
+def versioned_rebuild(t):
+    root = work_dir(t.spark, "rebuild")
+    table, archive = sinks.VersionedTable(t.spark, f"{root}/table"), sinks.VersionedTable(t.spark, f"{root}/archive")
+    first = t.samples.filter("version = 1").select("tx", "wallet", F.lit("queued").alias("status"))
+    sinks.rebuild_version(table, archive, first, "tx", F.lit(1))
+    number = sinks.rebuild_version(table, archive, t.samples.select("tx", "wallet", "status"), "tx", F.lit(2))
+    now = table.read().select(F.lit("current").alias("part"), C("tx").alias("key"), F.lit(number).alias("version"), "status")
+    return now.unionByName(archive.read().select(
+        F.lit("archived").alias("part"), C("key").cast("bigint").alias("key"), "version",
+        F.get_json_object("record", "$.status").alias("status")))
+
+

@@ -57,3 +57,17 @@ def entity_counters(swaps: DataFrame, txs: DataFrame, cursor: int) -> DataFrame:
 
     return union_all([plain(swaps, "swaps"), distinct("wallet", "wallets"), distinct("pool", "pools"),
                       plain(txs, "transactions")]).select("entity", "n", "pending")
+
+
+def report(statuses, nulls: Sequence[DataFrame], ranges: DataFrame, orphans: DataFrame, tables) -> DataFrame:
+    """One long table (section, name, value) of status counts, NULL counts, time windows, orphans and row counts."""
+    c = F.col
+    long = lambda rows, section, name, value: rows.select(
+        F.lit(section).alias("section"), name.alias("name"), value.cast("bigint").alias("value"))
+    parts = [long(rows.groupBy(col).agg(F.count("*").alias("n")), "status", F.concat(F.lit(f"{name}."), c(col)), c("n"))
+             for name, rows, col in statuses]
+    parts += [long(p, "nulls", F.concat_ws(".", "table_name", "column_name"), c("nulls")) for p in nulls]
+    parts += [long(ranges, "first", c("table_name"), c("min_ts")), long(ranges, "last", c("table_name"), c("max_ts")),
+              long(orphans, "orphans", c("relation"), c("orphan_rows"))]
+    parts += [long(rows.agg(F.count("*").alias("n")), "rows", F.lit(name), c("n")) for name, rows in tables]
+    return union_all(parts)

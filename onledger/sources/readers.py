@@ -45,9 +45,10 @@ def explode_batches(batches: DataFrame) -> DataFrame:
 def after_watermark(rows: DataFrame, watermark: Column) -> DataFrame:
     """Batches newer than the watermark; empty or repeated tokens of a batch are flagged, not dropped."""
     fresh = rows.filter(F.coalesce(F.col("ts") > watermark, F.lit(True)))
-    counts = fresh.groupBy("ts", "token").agg((F.count("*") > 1).alias("repeated"))
-    return fresh.join(counts, (fresh.ts == counts.ts) & fresh.token.eqNullSafe(counts.token)).select(
-        fresh["*"], (F.coalesce(fresh.token, F.lit("")) == "").alias("empty_token"), "repeated")
+    token = F.coalesce("token", F.lit(""))
+    counts = fresh.groupBy(F.col("ts").alias("_ts"), token.alias("_token")).agg((F.count("*") > 1).alias("repeated"))
+    keyed = fresh.withColumns({"_ts": F.col("ts"), "_token": token})
+    return keyed.join(counts, ["_ts", "_token"]).withColumn("empty_token", F.col("_token") == "").drop("_ts", "_token")
 
 
 def parse_logs(rows: DataFrame, raw: str = "raw") -> DataFrame:
