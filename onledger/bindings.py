@@ -208,8 +208,9 @@ def duck(body: str) -> str:
                 order.append(view)
 
     need(body)
-    recursive = body.upper().startswith("WITH RECURSIVE ")
-    own = body[15:] if recursive else body[5:] if body.upper().startswith("WITH ") else None
+    start = re.match(r"WITH(\s+RECURSIVE)?\s", body, re.IGNORECASE)
+    recursive = bool(start and start.group(1))
+    own = body[start.end():] if start else None
     ctes = [f"{v} AS ({_expand(VIEWS[v], spark=False)})" for v in order]
     if not ctes:
         return body

@@ -44,8 +44,8 @@ class FifoLots(StatefulProcessor):
         due = None
         for chunk in rows:
             self.waiting.appendList([tuple(r) for r in chunk[ORDER].itertuples(index=False)])
-            last = int(chunk["ts"].max())
-            due = last if due is None else max(due, last)
+            first = int(chunk["ts"].min())
+            due = first if due is None else min(due, first)
         if due is not None:
             self.handle.registerTimer((due + 1) * 1000)
         return iter(())
@@ -62,7 +62,7 @@ class FifoLots(StatefulProcessor):
         self.waiting.put(later) if later else self.waiting.clear()
         self.lots.put([tuple(x) for x in lots]) if lots else self.lots.clear()
         if later:
-            self.handle.registerTimer((later[-1][0] + 1) * 1000)
+            self.handle.registerTimer((later[0][0] + 1) * 1000)
         return iter([frame(out, OUTCOME)] if out else ())
 
     def close(self) -> None:
