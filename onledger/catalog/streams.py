@@ -141,7 +141,7 @@ def refresh_requests(t):
 
 @query("str_08_fifo_state", "WITH" + FIFO_CTES + """,
  lim AS (SELECT max(ts) - 8640000 AS wm FROM flows)
- SELECT wallet, token, opened_at, closed_at, quantity, round(pnl, 4) AS pnl, 'closed' AS kind FROM outcomes, lim WHERE closed_at < wm
+ SELECT wallet, token, opened_at, closed_at, quantity, round(pnl, 6) AS pnl, 'closed' AS kind FROM outcomes, lim WHERE closed_at < wm
  UNION ALL SELECT wallet, token, ts, ts, quantity, NULL, 'unknown_basis' FROM p, lim WHERE unknown AND ts < wm""")
 def fifo_state(t):
     part = t.part.select(C("p_partkey").alias("pool"), C("p_brand").alias("token"))
@@ -157,7 +157,7 @@ def fifo_state(t):
     limit = t.flows.select(F.max("ts") - 8640000).scalar()
     with state_store(t.spark):
         out = finished(t, stateful.stream_fifo(flows, "at", "100 days"), "fifo")
-    return out.filter(C("closed_at") < limit).withColumn("pnl", F.round("pnl", 4))
+    return out.filter(C("closed_at") < limit).withColumn("pnl", F.round("pnl", 6))
 
 
 @query("str_09_late_data", """

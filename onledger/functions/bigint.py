@@ -59,11 +59,15 @@ def to_decimal(settled: Column) -> Column:
     """DECIMAL(38,0) when the value fits, else NULL."""
     high = F.exists(F.slice(settled["limbs"], 5, 4), lambda x: x != 0) | (settled["overflow"] != 0)
     dec = "decimal(38,0)"
-    total = F.lit(0).cast(dec)
-    for i in range(3, -1, -1):
-        total = F.try_add(F.try_multiply(total, F.lit(BASE).cast("decimal(10,0)")).cast("string").try_cast(dec),
-                          limb(settled["limbs"], i).cast("decimal(10,0)")).cast("string").try_cast(dec)
-    return F.when(~high, F.when(settled["negative"], -total).otherwise(total))
+    base = F.lit(BASE).cast("decimal(10,0)")
+    top = limb(settled["limbs"], 3)
+    # below 2**126 the sum of limbs cannot overflow; between that and 10**38 the last step is checked
+    total = top.cast(dec)
+    for i in range(2, -1, -1):
+        total = F.try_add(F.try_multiply(total, base), limb(settled["limbs"], i).cast("decimal(10,0)"))
+    zero = F.lit(0).cast("decimal(1,0)")
+    # a subtraction, because unary minus rounds to 34 digits
+    return F.when(~high, F.when(settled["negative"], zero - total).otherwise(total)).cast(dec)
 
 
 def limb_sums(array: Column, prefix: str) -> list[Column]:

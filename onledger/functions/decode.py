@@ -83,6 +83,15 @@ def _join(high: Column, low: Column) -> Column:
     return (high * F.lit(_HALF).cast("decimal(20,0)") + low).cast("decimal(38,0)")
 
 
+def negate(value: Column) -> Column:
+    """Minus a DECIMAL(38,0). Unary minus would round to 34 digits, a subtraction does not."""
+    return (F.lit(0).cast("decimal(1,0)") - value).cast("decimal(38,0)")
+
+
+def magnitude(value: Column) -> Column:
+    return F.when(value < 0, negate(value)).otherwise(value)
+
+
 def unsigned(word: Column) -> Column:
     """Word as DECIMAL(38,0); NULL from 2**126 on (use limbs for those). Words of up to 64 bits take the short way."""
     return (F.when(word.startswith("0" * 48), _half(word, 49).cast("decimal(38,0)"))
@@ -94,7 +103,7 @@ def signed(word: Column) -> Column:
     top = F.lit(_HALF).cast("decimal(20,0)") - 1
     negative = word.rlike("^[fF]{32}[c-fC-F]")
     flipped = _join(top - _half(word, 33), top - _half(word, 49))
-    return F.when(negative, -flipped - 1).otherwise(unsigned(word)).cast("decimal(38,0)")
+    return F.when(negative, negate(flipped) - 1).otherwise(unsigned(word)).cast("decimal(38,0)")
 
 
 def event_kind(topics: Column) -> Column:
@@ -147,7 +156,7 @@ def swap_amounts(topics: Column, w: Column) -> Column:
     return (F.when((first == TOPIC_SWAP_V2) & (F.size(w) == 4),
                    pair(at(1, unsigned) - at(3, unsigned), at(2, unsigned) - at(4, unsigned)))
             .when((first == TOPIC_SWAP_V3) & (F.size(w) == 5), pair(at(1, signed), at(2, signed)))
-            .when((first == TOPIC_SWAP_V4) & (F.size(w) == 6), pair(-at(1, signed), -at(2, signed))))
+            .when((first == TOPIC_SWAP_V4) & (F.size(w) == 6), pair(negate(at(1, signed)), negate(at(2, signed)))))
 
 
 def transfer(emitter: Column, topics: Column, w: Column) -> Column:
@@ -192,10 +201,10 @@ def direction(token0: Column, token1: Column, amount0: Column, amount1: Column,
     token = F.when(q0, token1).otherwise(token0)
     token_amount = F.when(q0, amount1).otherwise(amount0)
     quote_amount = F.when(q0, amount0).otherwise(amount1)
-    ok = (q0 != q1) & (amount0 * amount1 < 0)
+    ok = (q0 != q1) & (F.sign(amount0) * F.sign(amount1) < 0)
     return F.when(ok, F.struct(
         token.alias("token"), F.when(token_amount < 0, "buy").otherwise("sell").alias("side"),
-        F.abs(token_amount).alias("token_amount"), F.abs(quote_amount).alias("quote_amount")))
+        magnitude(token_amount).alias("token_amount"), magnitude(quote_amount).alias("quote_amount")))
 
 
 def canonical_hash(**fields: Column) -> Column:

@@ -19,6 +19,8 @@ def candle_trend(candles: DataFrame, keys: Sequence[str], width: int, fast: int
     The series is cut into blocks of candles; the last ``slow - 1`` slots of a block are also given to the next one, so a
     fixed look-back never needs a whole series in one task.
     """
+    if block < slow:
+        raise ValueError("a block must hold at least one look-back")
     span = width * block
     own = F.floor(F.col("start") / span).cast("bigint")
     tail = F.col("start") >= (own + 1) * span - (slow - 1) * width
