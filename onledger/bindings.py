@@ -221,11 +221,24 @@ def duck(body: str) -> str:
 class Tables:
     """Base tables and bound views of one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = False):
         self.spark = tune(spark)
         self.dir = sf_dir.rstrip("/")
+        self._spread = spread
         self._cache: dict[str, DataFrame] = {}
 
+    def spread(self) -> Tables:
+        """The same tables for jobs that are heavy per row: a table that arrives in fewer pieces than there are cores is
+        redistributed first. Large tables already come in many splits and are left alone."""
+        return Tables(self.spark, self.dir, spread=True)
+
+    def _base(self, name: str) -> DataFrame:
+        rows = self.spark.read.parquet(self.path(name))
+        cores = self.spark.sparkContext.defaultParallelism
+        if self._spread and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        return rows
+
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}.parquet"
 
@@ -234,7 +247,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in BASE:
-                self._cache[name] = self.spark.read.parquet(self.path(name))
+                self._cache[name] = self._base(name)
             elif name in VIEWS:
                 self._cache[name] = self.sql(VIEWS[name])
             else:

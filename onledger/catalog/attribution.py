@@ -15,6 +15,7 @@ ROUTER = 999999
 
 def chain_logs(t):
     """Swap logs placed in their transaction's block; every tenth transaction reports no time."""
+    t = t.spread()
     rows = t.swaps.drop("block", "ts", "origin").join(t.txs.select("tx", "block", "ts"), "tx")
     rows = rows.withColumn("ts", F.when(C("tx") % 10 != 0, C("ts")).otherwise(0))
     logs = parse_logs(raw.swap_logs(rows)).withColumns({

@@ -14,7 +14,7 @@ KEY = ["tx", "log_index", "pool", "wallet"]
 
 
 def parsed(t):
-    return parse_logs(raw.swap_logs(t.swaps))
+    return parse_logs(raw.swap_logs(t.spread().swaps))
 
 
 @query("dec_01_hex_quantity", """
@@ -48,7 +48,7 @@ def address(t):
  SELECT tx, log_index, pool, wallet, CASE WHEN side = 'buy' THEN quote_amount ELSE -quote_amount END AS amount FROM swaps""")
 def signed_word(t):
     value = F.when(C("side") == "buy", C("quote_amount")).otherwise(-C("quote_amount"))
-    return t.swaps.select(*KEY, d.signed(raw.word(value)).cast("bigint").alias("amount"))
+    return t.spread().swaps.select(*KEY, d.signed(raw.word(value)).cast("bigint").alias("amount"))
 
 
 @query("dec_05_event_kind", """
@@ -103,7 +103,7 @@ def swap_amounts(t):
    '0x' || lpad(lower(to_hex(CAST(recipient AS BIGINT))), 40, '0') AS recipient, amount
  FROM transfers WHERE tx % 9 <> 0""")
 def transfer(t):
-    rows = raw.transfer_logs(t.transfers)
+    rows = raw.transfer_logs(t.spread().transfers)
     rows = rows.withColumn("words", d.words(C("data")))
     moved = d.transfer(C("address"), C("topics"), C("words"))
     return rows.withColumn("m", moved).filter("m IS NOT NULL").select(

@@ -191,7 +191,7 @@ SCORED = EFFECTIVE + """,
 
 
 def graded(t):
-    return ev.assess(t.observed.withColumn("now", C("ts") + 10))
+    return ev.assess(t.spread().observed.withColumn("now", C("ts") + 10))
 
 
 @query("pip_23_build_evidence", "WITH" + BUILT + """
@@ -199,7 +199,7 @@ def graded(t):
    CAST(sum(obs) AS DOUBLE) AS observed_sum, CAST(sum(blk) AS BIGINT) AS block_sum, round(sum(num), 4) AS number_sum,
    CAST(count(CASE WHEN flg THEN 1 END) AS BIGINT) AS true_flags FROM built GROUP BY metric_id, status, reason, src, unit""")
 def build_evidence(t):
-    rows = ev.measurements(ev.build(t.observed))
+    rows = ev.measurements(ev.build(t.spread().observed))
     return rows.groupBy("metric_id", "status", "reason", "source", "unit").agg(
         F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("observed_at").alias("observed_sum"),
         F.sum("block_number").alias("block_sum"), F.round(F.sum("number"), 4).alias("number_sum"),
@@ -209,7 +209,7 @@ def build_evidence(t):
 @query("pip_24_validate_evidence", "WITH" + CHECKED + """
  SELECT id, string_agg(err, '; ' ORDER BY err) AS errors FROM errors GROUP BY id""")
 def validate_evidence(t):
-    checked = ev.validate(ev.build(t.observed))
+    checked = ev.validate(ev.build(t.spread().observed))
     return checked.select("id", F.array_join(F.array_sort("errors"), "; ").alias("errors")).filter("errors <> ''")
 
 
@@ -293,7 +293,7 @@ REPORT = """SELECT id, CASE id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '
    CASE WHEN burned IS NULL OR burned < 0.95 THEN 'liquidity_withdrawal_risk_unresolved' END) AS reasons FROM b""")
 def risk_assess(t):
     c = C
-    rows = t.sql(REPORT)
+    rows = t.spread().sql(REPORT)
     share = F.when(c("holder_gap"), F.lit(None)).otherwise(F.lit("0.03")).cast("string")
     rows = rows.withColumns({
         "hooks": F.when(c("hooked"), F.concat(F.lit("0x1"), F.repeat(F.lit("0"), F.lit(39)))).otherwise(F.lit(ZERO_ADDRESS)),

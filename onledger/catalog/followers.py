@@ -71,7 +71,7 @@ PATH_SQL = PATH_INPUT + """,
    FROM cs c ASOF LEFT JOIN q1 q ON c.token = q.token AND c.entry_target <= q.quote_ts),
  e1 AS (SELECT e0.*, CASE WHEN entry_at - (cn.start + 3600) BETWEEN 0 AND 7200 THEN cn.rate END AS rate FROM e0
    LEFT JOIN cn ON cn.start = IDIV(entry_at, 3600) * 3600 - 3600),
- e2 AS (SELECT *, CASE WHEN entry_at IS NOT NULL AND failed THEN 'entry_rejected' WHEN entry_at IS NULL OR rate IS NULL
+ e2 AS (SELECT *, CASE WHEN entry_at IS NOT NULL AND failed THEN 'entry_rejected' WHEN entry_at IS NULL OR rate IS NULL OR price * rate <= 0
      THEN 'unresolved' ELSE 'open' END AS state, floor(1.995::DOUBLE / (price * rate) * 1e6 * (1 - 0.01::DOUBLE)) AS qty FROM e1),
  s0 AS (SELECT case_key, token, entry_at, qty, unnest(generate_series(entry_at + 7200, entry_at + 86400, 7200)) AS due FROM e2
    WHERE state = 'open'),

@@ -41,7 +41,7 @@ def after_watermark(t):
  SELECT tx, log_index, pool, wallet, block AS block_number, CASE WHEN ts > 0 THEN ts END AS log_ts, 3 AS n_topics, false AS removed FROM swaps""")
 def raw_logs(t):
     path = work_dir(t.spark, "raw-logs")
-    raw.swap_logs(t.swaps).select("tx", "log_index", "pool", "wallet", "raw").write.parquet(path)
+    raw.swap_logs(t.spread().swaps).select("tx", "log_index", "pool", "wallet", "raw").write.parquet(path)
     rows = readers.parse_logs(t.spark.read.parquet(path))
     return rows.select("tx", "log_index", "pool", "wallet", "block_number", "log_ts", F.size("log_topics").alias("n_topics"), "removed")
 

@@ -38,12 +38,12 @@ def _shape(redacted, text):
 
 @query("pip_40_redact_documents", _check("SELECT doc_id AS id, text AS y FROM documents"))
 def redact_documents(t):
-    return _shape(redaction.redact(t.documents.select(C("doc_id").alias("id"), "text"), ["text"]), "text")
+    return _shape(redaction.redact(t.spread().documents.select(C("doc_id").alias("id"), "text"), ["text"]), "text")
 
 
 @query("pip_40_redact_pages", _check("SELECT page_id AS id, url || ' ' || html AS y FROM pages"))
 def redact_pages(t):
-    rows = t.pages.select(C("page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("html"))
+    rows = t.spread().pages.select(C("page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("html"))
     return _shape(redaction.redact(rows, ["html"]), "html")
 
 

@@ -50,7 +50,7 @@ def range_totals(
     looks = looks.select("*", "_e._pos", "_e._kind").drop("_e")
     both = marks.unionByName(looks, allowMissingColumns=True)
     order = ["_pos", "_kind", *[c for c in anchor_id if c not in keys]]
-    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds),
+    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds), max_rows=scan.max_rows,
                   sums={f"_r_{n}": (F.coalesce(F.col(f"_v_{n}"), zero), True) for n in lists}).filter("_kind <> 1")
     sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
     group = list(dict.fromkeys([*keys, *anchor_id, at]))
@@ -69,7 +69,7 @@ def trailing_distinct(
     one = F.lit(1).cast("bigint")
     ordered = running(
         facts.select(*keys, member, F.col(at).alias("_at"), fact_id), [*keys, member], ["_at", fact_id],
-        width_bucket("_at", scan.bucket_seconds),
+        width_bucket("_at", scan.bucket_seconds), max_rows=scan.max_rows,
         lasts={"_prev": (F.col("_at"), False)}, nexts={"_next": (F.col("_at"), False)})
     begins = F.when(F.col("_prev").isNull() | (F.col("_at") - F.col("_prev") > window),
                     F.struct(F.col("_at").alias("_pos"), F.lit(0).alias("_kind"), one.alias("_d")))
@@ -80,7 +80,7 @@ def trailing_distinct(
     looks = anchors.select(*dict.fromkeys([*keys, *anchor_id, at])).withColumns({"_pos": F.col(at), "_kind": F.lit(1)})
     both = marks.unionByName(looks, allowMissingColumns=True)
     order = ["_pos", "_kind", *[c for c in anchor_id if c not in keys]]
-    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds),
+    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds), max_rows=scan.max_rows,
                   sums={name: (F.coalesce(F.col("_d"), F.lit(0).cast("bigint")), True)})
     return got.filter("_kind = 1").drop("_pos", "_kind", "_d")
 
@@ -96,7 +96,7 @@ def asof_backward(
     looks = lookups.withColumns({"_pos": F.col(at), "_kind": F.lit(1)})
     both = marks.unionByName(looks, allowMissingColumns=True)
     order = ["_pos", "_kind", *[f"_o{i}" for i in range(len(fact_id))], *lookup_id]
-    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds), lasts={"_f": (F.col("_m"), True)})
+    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds), max_rows=scan.max_rows, lasts={"_f": (F.col("_m"), True)})
     got = got.filter("_kind = 1")
     fresh = F.col(at) - F.col("_f._at") <= max_age
     return got.select(*lookups.columns, F.when(fresh, F.col("_f._at")).alias("found_at"),
@@ -114,7 +114,7 @@ def asof_forward(
     looks = lookups.withColumns({"_pos": F.col(at), "_kind": F.lit(0)})
     both = marks.unionByName(looks, allowMissingColumns=True)
     order = ["_pos", "_kind", *[f"_o{i}" for i in range(len(fact_id))], *lookup_id]
-    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds), nexts={"_f": (F.col("_m"), True)})
+    got = running(both, keys, order, width_bucket("_pos", scan.bucket_seconds), max_rows=scan.max_rows, nexts={"_f": (F.col("_m"), True)})
     got = got.filter("_kind = 0")
     near = F.col("_f").isNotNull() if max_gap is None else F.col("_f._at") - F.col(at) <= max_gap
     return got.select(*lookups.columns, F.when(near, F.col("_f._at")).alias("found_at"),

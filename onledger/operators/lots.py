@@ -24,7 +24,7 @@ def positions(flows: DataFrame, order: Sequence[str] = FLOW_ORDER, scan: ScanRul
               keys: Sequence[str] = FLOW_KEYS) -> DataFrame:
     """Stock columns for every flow (see ``scan.inventory``)."""
     return inventory(flows, keys, order, width_bucket("ts", scan.bucket_seconds), F.col("quantity"),
-                     F.col("side") == "buy")
+                     F.col("side") == "buy", scan.max_rows)
 
 
 def unknown_basis(placed: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def _carry(markers: DataFrame, lookups: DataFrame, keys: Sequence[str], weight:
     """For each lookup position: the last marker at or before it, and the running sum of ``weight`` up to it."""
     both = markers.unionByName(lookups, allowMissingColumns=True)
     return running(
-        both, keys, ["pos", "kind"], width_bucket("pos", scan.bucket_units),
+        both, keys, ["pos", "kind"], width_bucket("pos", scan.bucket_units), max_rows=scan.max_rows,
         sums={"cum": (F.coalesce(F.col(f"marker.{weight}"), F.lit(0).cast("bigint")), True)},
         lasts={"found": (F.col("marker"), True)},
     ).filter("marker IS NULL")
@@ -134,7 +134,7 @@ def audit_sales(placed: DataFrame, scan: ScanRules = ScanRules(), keys: Sequence
     both = lots.unionByName(lookups, allowMissingColumns=True)
     zero = F.lit(0).cast("bigint")
     hit = running(
-        both, keys, ["pos", "kind", *carry_cols], width_bucket("pos", scan.bucket_units),
+        both, keys, ["pos", "kind", *carry_cols], width_bucket("pos", scan.bucket_units), max_rows=scan.max_rows,
         sums={"cum_cost": (F.coalesce(F.col("marker.cost"), zero), True),
               "cum_blind": (F.coalesce(F.col("marker.blind"), zero), True)},
         lasts={"found": (F.col("marker"), True)},
@@ -176,5 +176,5 @@ def entry_ranks(flows: DataFrame, scan: ScanRules = ScanRules(), order: Sequence
               .select("token", *[c for c in order], "wallet").withColumn("_mark", F.lit(1).cast("bigint")))
     marked = flows.withColumn("_mark", F.lit(0).cast("bigint")).unionByName(firsts, allowMissingColumns=True)
     ranked = running(marked, ["token"], [*order, "wallet", "_mark"], width_bucket("ts", scan.bucket_seconds),
-                     sums={"_seen": (F.col("_mark"), False)})
+                     max_rows=scan.max_rows, sums={"_seen": (F.col("_mark"), False)})
     return ranked.filter("_mark = 0").withColumn("entry_rank", F.col("_seen") + 1).drop("_mark", "_seen")

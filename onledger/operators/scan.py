@@ -1,11 +1,14 @@
-"""Two-level scans: running values over groups of any size.
+"""Running values over groups of any size.
 
-A plain window partitioned by a key puts the whole key into one task. Here each group is cut into buckets along its sort
-order. Rows are shuffled by (key, bucket) and scanned locally; one summary row per bucket is scanned per key; the two are
-joined back on (key, bucket). No task ever holds more than one bucket of rows or one summary row per bucket.
+A window partitioned by a key puts the whole key into one task. That is fine for ordinary keys and wrong for a key that
+holds a third of all rows. So the keys with more than ``max_rows`` rows are found first, by a count that is combined before
+its shuffle and reads key columns only. If there are none, a plain window does the work. Otherwise their groups are cut
+into buckets along the sort order: rows are shuffled by (key, bucket) and scanned locally, one summary row per bucket is
+scanned per key, and the two are joined on (key, bucket). No task holds more than one bucket of rows or one summary row per
+bucket. Which keys are cut never changes a result.
 
 Rules for callers: key and bucket columns are not NULL, the bucket grows with the sort order, and sort columns ascend
-(negate a column to sort it downwards) and make the order total.
+(negate a column to sort it downwards) and make the order total. A scan without keys is always cut.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onledger.params import ScanRules
+
 BUCKET = "_bucket"
 _FIRST = Window.unboundedPreceding
 
@@ -25,12 +30,25 @@ def width_bucket(col, width: int) -> Column:
         "bigint")
 
 
+def cut(rows: DataFrame, keys: Sequence[str], bucket: Column, max_rows: int) -> tuple[DataFrame, bool]:
+    """Add the bucket column; it is constant for keys of at most ``max_rows`` rows. False if no key had to be cut."""
+    if not keys:
+        return rows.withColumn(BUCKET, bucket), True
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_rows).select(*keys)
+    if hot.isEmpty():
+        return rows.withColumn(BUCKET, F.lit(0).cast("bigint")), False
+    # at most (all rows / max_rows) keys are hot, so at run time this side is small enough to be broadcast
+    marked = rows.join(hot.withColumn("_hot", F.lit(True)), list(keys), "left")
+    return marked.withColumn(BUCKET, F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("bigint"))).drop("_hot"), True
+
+
 def running(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
     *,
+    max_rows: int = ScanRules().max_rows,
     sums: Mapping[str, tuple[Column, bool]] | None = None,
     lasts: Mapping[str, tuple[Column, bool]] | None = None,
     nexts: Mapping[str, tuple[Column, bool]] | None = None,
@@ -42,9 +60,9 @@ def running(
     """
     sums, lasts, nexts = dict(sums or {}), dict(lasts or {}), dict(nexts or {})
     inputs = {**sums, **lasts, **nexts}
-    base = rows.withColumn(BUCKET, bucket)
+    base, split = cut(rows, keys, bucket, max_rows)
     base = base.withColumns({f"_in_{name}": spec[0] for name, spec in inputs.items()})
-    parts = [*keys, BUCKET]
+    parts = [*keys, BUCKET] if split else list(keys)
 
     ahead = Window.partitionBy(*parts).orderBy(*order)
     back = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
@@ -59,6 +77,12 @@ def running(
         else:
             local[f"_loc_{name}"] = F.last(src, ignorenulls=True).over(back.rowsBetween(_FIRST, end))
     scanned = base.withColumns(local)
+    if not split:
+        for name in inputs:
+            loc = F.col(f"_loc_{name}")
+            zero = F.lit(0).cast(base.schema[f"_in_{name}"].dataType) if name in sums else None
+            scanned = scanned.withColumn(name, F.coalesce(loc, zero) if name in sums else loc)
+        return scanned.select(*rows.columns, *inputs)
 
     place = F.struct(*order)
     summary = []
@@ -94,13 +118,15 @@ def running(
     return out.select(*rows.columns, *inputs)
 
 
-def row_numbers(rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
+def row_numbers(rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str,
+                max_rows: int = ScanRules().max_rows) -> DataFrame:
     """``row_number`` for groups of any size."""
-    return running(rows, keys, order, bucket, sums={name: (F.lit(1).cast("bigint"), True)})
+    return running(rows, keys, order, bucket, max_rows=max_rows, sums={name: (F.lit(1).cast("bigint"), True)})
 
 
 def inventory(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, quantity: Column, is_buy: Column
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, quantity: Column, is_buy: Column,
+    max_rows: int = ScanRules().max_rows,
 ) -> DataFrame:
     """Running stock that falls back to zero when a sale exceeds it.
 
@@ -112,12 +138,13 @@ def inventory(
     S_before - m. Bucket summaries carry (sum, least prefix), which combine associatively.
     """
     zero = F.lit(0).cast("bigint")
-    base = rows.withColumns({BUCKET: bucket, "_q": quantity, "_b": is_buy})
+    base, split = cut(rows, keys, bucket, max_rows)
+    base = base.withColumns({"_q": quantity, "_b": is_buy})
     base = base.withColumns({
         "_x": F.when(F.col("_b"), F.col("_q")).otherwise(-F.col("_q")),
         "_y": F.when(F.col("_b"), F.col("_q")).otherwise(F.lit(0).cast(base.schema["_q"].dataType)),
     })
-    parts = [*keys, BUCKET]
+    parts = [*keys, BUCKET] if split else list(keys)
     ahead = Window.partitionBy(*parts).orderBy(*order)
     local = base.withColumns({
         "_s": F.sum("_x").over(ahead.rowsBetween(_FIRST, 0)),
@@ -125,6 +152,13 @@ def inventory(
     })
     scanned = local.withColumn("_low", F.min("_s").over(ahead.rowsBetween(_FIRST, -1)))
 
+    if not split:
+        # one task has the whole group: its sums and its least prefix are whole-group windows
+        group = Window.partitionBy(*keys)
+        out = scanned.withColumns({"_os": zero, "_ob": zero, "_om": zero, "head_final": F.sum("_y").over(group) - (
+            F.sum("_x").over(group) - F.least(zero, F.min("_s").over(group)))})
+        return _stock(out, rows.columns, zero)
+
     up = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_FIRST, -1)
     whole = Window.partitionBy(*keys)
     totals = local.groupBy(*parts).agg(F.sum("_x").alias("_tx"), F.sum("_y").alias("_ty"), F.min("_s").alias("_tm"))
@@ -139,9 +173,14 @@ def inventory(
     totals = totals.withColumn("head_final", F.col("_fb") - (F.col("_fs") - F.least(zero, F.col("_fm"))))
 
     out = scanned.join(totals.select(*parts, "_os", "_ob", "_om", "head_final"), parts)
+    return _stock(out, rows.columns, zero)
+
+
+def _stock(out: DataFrame, columns: Sequence[str], zero: Column) -> DataFrame:
+    """Stock columns from local sums and what came before the bucket."""
     out = out.withColumn("bought", F.col("_ob") + F.col("_bt"))
     out = out.withColumn("_m", F.least(zero, F.col("_om"), F.col("_os") + F.col("_low")))
     out = out.withColumn("held_before", F.col("_os") + F.col("_s") - F.col("_x") - F.col("_m"))
     out = out.withColumn("taken", F.when(F.col("_b"), zero).otherwise(F.least("_q", "held_before")))
     out = out.withColumn("short", F.when(F.col("_b"), zero).otherwise(F.col("_q") - F.col("taken")))
-    return out.select(*rows.columns, "bought", "held_before", "taken", "short", "head_final")
+    return out.select(*columns, "bought", "held_before", "taken", "short", "head_final")

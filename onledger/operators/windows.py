@@ -46,7 +46,7 @@ def candle_trend(candles: DataFrame, keys: Sequence[str], width: int, fast: int
 def previous_of_kind(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, is_kind, name: str,
                      scan: ScanRules = ScanRules()) -> DataFrame:
     """Time of the latest earlier row of a kind."""
-    return running(rows, keys, order, width_bucket(at, scan.bucket_seconds),
+    return running(rows, keys, order, width_bucket(at, scan.bucket_seconds), max_rows=scan.max_rows,
                    lasts={name: (F.when(is_kind, F.col(at)), False)})
 
 

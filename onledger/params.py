@@ -100,10 +100,11 @@ class FollowerRules:
 
 @dataclass(frozen=True)
 class ScanRules:
-    """How wide one piece of a hot group may be: seconds of history, or units of a lot position."""
+    """When a group is cut into pieces, and how wide a piece is: seconds of history, or units of a lot position."""
 
-    bucket_seconds: int = 30 * 86400
-    bucket_units: int = 100_000
+    max_rows: int = 2_000_000
+    bucket_seconds: int = 3600
+    bucket_units: int = 10_000_000
 
 
 def rules_hash(rules) -> str:

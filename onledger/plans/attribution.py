@@ -168,7 +168,7 @@ def backlog(swaps: DataFrame, reviewed: DataFrame, observed_buyers: DataFrame, a
         F.min("ts").alias("ts"), F.min("block").alias("block"), F.min("token").alias("token"),
         F.min(F.when(F.col("side") == "buy", 0).otherwise(1)).alias("sell")).withColumn("newest", -F.col("ts"))
     bucket = width_bucket("newest", scan.bucket_seconds) + F.col("sell") * 1_000_000_000
-    ranked = row_numbers(per_tx, ["token"], ["sell", "newest", "tx"], bucket, "token_rank")
+    ranked = row_numbers(per_tx, ["token"], ["sell", "newest", "tx"], bucket, "token_rank", scan.max_rows)
     enriched = (ranked.join(observed_buyers, "token", "left").join(
         assessed.select("token").distinct().withColumn("assessed", F.lit(True)), "token", "left"))
     enriched = enriched.withColumns({"buyers": F.coalesce("buyers", F.lit(0)),

@@ -88,8 +88,8 @@ def replay_paths(cases: DataFrame, quotes: DataFrame, candles: DataFrame, candle
                                "quote_ts", ["price", "failed"], ["quote_id"], rules.max_entry_gap)
     entry = rated(entry.withColumnRenamed("found_at", "entry_at"), "entry_at")
     usd_in = rules.position_size - rules.network_fee
-    quantity = F.floor(usd_in / (F.col("price") * F.col("rate")) * 1e6 * (1 - rules.slippage))
-    opened = F.col("entry_at").isNotNull() & F.col("rate").isNotNull()
+    quantity = F.floor(F.try_divide(F.lit(usd_in), F.col("price") * F.col("rate")) * 1e6 * (1 - rules.slippage))
+    opened = F.col("entry_at").isNotNull() & holds(F.col("price") * F.col("rate") > 0)
     entry = entry.withColumns({
         "quantity": F.when(opened & ~F.col("failed"), quantity),
         "entry_state": F.when(holds(F.col("failed")), "entry_rejected").when(~opened, "unresolved").otherwise("open")})

@@ -161,9 +161,9 @@ def trade_ledger(fills: DataFrame, scan: ScanRules = ScanRules(), order: Sequenc
     rows = fills.withColumn("cash_flow", F.when(buy, -c("amount") - c("fee")).otherwise(c("amount") - c("fee")))
     bucket = width_bucket("ts", scan.bucket_seconds)
     spent = F.when(buy, -c("cash_flow")).otherwise(F.lit(0).cast("bigint"))
-    cash = running(rows, ["arm"], order, bucket, sums={"cash": (c("cash_flow"), True)})
-    cost = materialize(running(cash, ["arm", "token"], order, bucket, sums={"_spent": (spent, True)}), "fills")
-    out = running(cost, ["arm", "token"], order, bucket, lasts={"_closed": (F.when(~buy, c("_spent")), False)})
+    cash = running(rows, ["arm"], order, bucket, max_rows=scan.max_rows, sums={"cash": (c("cash_flow"), True)})
+    cost = materialize(running(cash, ["arm", "token"], order, bucket, max_rows=scan.max_rows, sums={"_spent": (spent, True)}), "fills")
+    out = running(cost, ["arm", "token"], order, bucket, max_rows=scan.max_rows, lasts={"_closed": (F.when(~buy, c("_spent")), False)})
     since = c("_spent") - F.coalesce("_closed", F.lit(0))
     return out.withColumns({
         "position_cost": F.when(buy, since).otherwise(0),

@@ -17,6 +17,7 @@ def fifo(flows: DataFrame, scan: ScanRules = ScanRules()) -> tuple[DataFrame, Da
 
     Each scan reads its input twice (rows and bucket summaries), so stages are written once instead of recomputed.
     """
+    flows = materialize(flows.select("wallet", "token", *lots.FLOW_ORDER), "flows")
     ranked = materialize(lots.entry_ranks(flows, scan), "ranked-flows")
     placed = materialize(lots.positions(ranked, scan=scan), "placed-flows")
     return lots.fifo_lots(placed, scan), lots.unknown_basis(placed)

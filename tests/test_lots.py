@@ -12,7 +12,7 @@ from onledger.plans import portfolio, wallets
 
 FLOW = ("wallet long, token string, ts long, tx long, log_index long, pool long, origin long, side string, quantity long, "
         "quote long, gas long")
-TINY = ScanRules(bucket_seconds=7, bucket_units=5)
+TINY = ScanRules(max_rows=4, bucket_seconds=7, bucket_units=5)
 
 
 def flow(wallet, token, ts, side, quantity, quote, gas=0, tx=None):
@@ -67,8 +67,8 @@ def model(events):
     return closed, [(x[3], x[1], float(x[2] * x[1] / x[0]), float(x[4] - x[2] * (x[0] - x[1]) / x[0])) for x in stock], unknown
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_histories_equal_the_sequential_model(table, seed):
+@pytest.mark.parametrize("seed,scan", [(1, TINY), (2, ScanRules(max_rows=0, bucket_seconds=3, bucket_units=2)), (3, ScanRules())])
+def test_random_histories_equal_the_sequential_model(table, seed, scan):
     rng, rows, want_closed, want_open, want_unknown = random.Random(seed), [], [], [], 0
     for wallet in range(40):
         events = []
@@ -79,7 +79,7 @@ def test_random_histories_equal_the_sequential_model(table, seed):
         want_closed += [(wallet, *x) for x in closed]
         want_open += [(wallet, *x) for x in opened]
         want_unknown += unknown
-    all_lots, unknown = wallets.fifo(table(FLOW, rows), TINY)
+    all_lots, unknown = wallets.fifo(table(FLOW, rows), scan)
     got = [(r.wallet, r.opened_at, r.closed_at, r.pnl) for r in wallets.fifo_outcomes(all_lots).collect()]
     assert [x[:3] for x in sorted(got)] == [x[:3] for x in sorted(want_closed)]
     assert [x[3] for x in sorted(got)] == pytest.approx([x[3] for x in sorted(want_closed)], abs=1e-6)

@@ -3,13 +3,14 @@
 import random
 import statistics
 
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
 from onledger.operators import aggregates, joins, scan, windows
 from onledger.params import ScanRules
 
-TINY = ScanRules(bucket_seconds=5, bucket_units=5)
+TINY = ScanRules(max_rows=4, bucket_seconds=5, bucket_units=5)
 
 
 def skewed(n=300, seed=3):
@@ -17,10 +18,11 @@ def skewed(n=300, seed=3):
     return [(rng.choice(["hot", "hot", "hot", "a", "b"]), rng.randint(0, 60), i, rng.choice([None, 1, 2, 3])) for i in range(n)]
 
 
-def test_running_sum_last_and_next(table):
+@pytest.mark.parametrize("limit", [0, 50, 10**6])
+def test_running_sum_last_and_next(table, limit):
     data = skewed()
     df = table("k string, ts long, id long, v long", data)
-    out = scan.running(df, ["k"], ["ts", "id"], scan.width_bucket("ts", 4), sums={"s": (F.coalesce("v", F.lit(0)), True)},
+    out = scan.running(df, ["k"], ["ts", "id"], scan.width_bucket("ts", 4), max_rows=limit, sums={"s": (F.coalesce("v", F.lit(0)), True)},
                        lasts={"p": (F.col("v"), False)}, nexts={"n": (F.col("v"), True)})
     want = []
     for k in {x[0] for x in data}:
