@@ -139,7 +139,7 @@ def idempotent_append(t):
     early, late = t.swap_keys.filter("block < 1200"), t.swap_keys.filter("block >= 1200")
     for batch in (early, late, late):
         sinks.append_new(table, batch, ["tx", "log_index"], order)
-    return table.read().select("tx", "log_index", "pool", "wallet", "quote_amount", "side", "block")
+    return table.read_all().select("tx", "log_index", "pool", "wallet", "quote_amount", "side", "block")
 
 
 @query("snk_06_upsert_latest", """

@@ -187,6 +187,4 @@ def incremental_normalisation(t):
     root = work_dir(t.spark, "normalised")
     rows = txs(t).select("tx", "block", "origin", F.when(C("tx") % 3 != 0, C("total_cents")).alias("total_cents"), C("ts").alias("seq"))
     jobs.normalise_incrementally(rows, root, ["tx"], ["block"], ["origin", "total_cents"], "seq")
-    from onledger.sources.sinks import VersionedTable
-
-    return VersionedTable(t.spark, f"{root}/table").read().select("tx", "block", "origin", "total_cents")
+    return jobs.known_values(t.spark, root, ["tx"], ["block", "origin", "total_cents"], "seq")

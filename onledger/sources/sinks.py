@@ -86,20 +86,30 @@ class VersionedTable:
             return None
         return self.spark.read.parquet(f"{self.root}/version={version if version is not None else known[-1]}")
 
-    def write(self, rows: DataFrame) -> int:
+    def read_all(self) -> DataFrame | None:
+        """All committed versions together, for tables whose versions are increments."""
         known = self.versions()
-        number = known[-1] + 1 if known else 1
+        if not known:
+            return None
+        return self.spark.read.parquet(*[f"{self.root}/version={n}" for n in known])
+
+    def write(self, rows: DataFrame, number: int | None = None) -> int:
+        """Write a version. A caller that may run twice passes the number, so the second run replaces the first."""
+        if number is None:
+            known = self.versions()
+            number = known[-1] + 1 if known else 1
         rows.write.mode("overwrite").parquet(f"{self.root}/version={number}")
         return number
 
 
 def append_new(table: VersionedTable, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> int:
-    """Add rows whose key is not stored yet; of repeated keys in the batch the first counts."""
+    """Add rows whose key is not stored yet; of repeated keys in the batch the first counts.
+
+    Only the new rows are written; of what is stored only the key columns are read.
+    """
     fresh = earliest(batch, keys, order)
-    old = table.read()
-    if old is None:
-        return table.write(fresh)
-    return table.write(old.unionByName(fresh.join(old.select(*keys), list(keys), "left_anti")))
+    old = table.read_all()
+    return table.write(fresh if old is None else fresh.join(old.select(*keys), list(keys), "left_anti"))
 
 
 def upsert_latest(current: DataFrame, batch: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:

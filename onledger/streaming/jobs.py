@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from onledger.operators.aggregates import earliest
 from onledger.params import CLOCK_SKEW_SECONDS
-from onledger.sources.sinks import VersionedTable
+from onledger.sources.sinks import VersionedTable, upsert_known
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -77,14 +77,16 @@ def watch_headers(headers: DataFrame, root: str, stop: bool = True) -> None:
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = VersionedTable(spark, f"{root}/known")
-        old = known.read()
+        old = known.read_all()
         seen = batch.select("number", "hash").distinct()
-        both = seen if old is None else seen.unionByName(old)
+        stored = None if old is None else old.join(seen.select("number").distinct(), "number", "left_semi")
+        both = seen if stored is None else seen.unionByName(stored)
         conflicts = both.groupBy("number").agg(F.countDistinct("hash").alias("hashes")).filter("hashes > 1")
         conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/batch={number}")
         if stop and not spark.read.parquet(f"{root}/conflicts/batch={number}").isEmpty():
             raise ReorganisationError(f"stored block hash changed, see {root}/conflicts/batch={number}")
-        known.write(earliest(both, ["number"], ["hash"]))
+        fresh = seen if stored is None else seen.join(stored.select("number"), "number", "left_anti")
+        known.write(earliest(fresh, ["number"], ["hash"]), number + 1)
 
     run_batches(headers, root, handle)
 
@@ -158,20 +160,28 @@ class IdentityConflict(ValueError):
 
 def normalise_incrementally(rows: DataFrame, root: str, keys: Sequence[str], identity: Sequence[str], columns: Sequence[str],
                             seq: str) -> None:
-    """Merge batches into a table of known values. A key with two identities fails its batch before anything is written."""
-    from onledger.sources.sinks import upsert_known
+    """Add batches to a table of observations. A key with two identities fails its batch before anything is written.
 
+    A batch writes its own rows only, and of what is stored only the keys it touches are compared; ``known_values`` merges
+    on reading.
+    """
     def handle(batch: DataFrame, number: int) -> None:
         table = VersionedTable(batch.sparkSession, f"{root}/table")
-        old = table.read()
+        old = table.read_all()
         mine = batch.select(*keys, *identity, *columns, seq)
-        both = mine if old is None else mine.unionByName(old)
-        bad = both.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in identity]).filter(
+        facts = mine.select(*keys, *identity)
+        if old is not None:
+            touched = mine.select(*keys).distinct()
+            facts = facts.unionByName(old.select(*keys, *identity).join(touched, list(keys), "left_semi"))
+        bad = facts.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in identity]).filter(
             " OR ".join(f"{c} > 1" for c in identity))
         if not bad.isEmpty():
             raise IdentityConflict(f"batch {number} contradicts stored rows; nothing of it was written")
-        merged = upsert_known(both, keys, [*identity, *columns], seq)
-        first = both.groupBy(*keys).agg(F.min(seq).alias(seq))
-        table.write(merged.join(first, list(keys)))
+        table.write(mine, number + 1)
 
     run_batches(rows, root, handle)
+
+
+def known_values(spark: SparkSession, root: str, keys: Sequence[str], columns: Sequence[str], seq: str) -> DataFrame:
+    """Current state of an incrementally normalised table: the earliest known value of every column."""
+    return upsert_known(VersionedTable(spark, f"{root}/table").read_all(), keys, columns, seq)
