@@ -71,7 +71,7 @@ def entry_rank(t):
  SELECT wallet, token, state, CAST(count(*) AS BIGINT) AS lots, CAST(sum(quantity) AS BIGINT) AS units,
    CAST(sum(cost) AS BIGINT) AS cost FROM lots GROUP BY wallet, token, state""")
 def fifo_match(t):
-    all_lots, _ = wallets.fifo(t.flows)
+    all_lots, _ = wallets.fifo(t.spread().flows)
     return all_lots.groupBy("wallet", "token", "state").agg(
         F.count("*").alias("lots"), F.sum("quantity").alias("units"), F.sum("cost").alias("cost"))
 
@@ -81,7 +81,7 @@ def fifo_match(t):
  SELECT wallet, token, opened_at, closed_at, round(pnl, 6) AS pnl, round(return_pct, 6) AS return_pct, hold_seconds,
    entry_rank, quantity FROM outcomes""")
 def fifo_outcomes(t):
-    all_lots, _ = wallets.fifo(t.flows)
+    all_lots, _ = wallets.fifo(t.spread().flows)
     return wallets.fifo_outcomes(all_lots).withColumns(
         {"pnl": F.round("pnl", 6), "return_pct": F.round("return_pct", 6)})
 
@@ -102,7 +102,7 @@ def unknown_basis(t):
    round(coalesce(got, 0) - cost * coalesce(used, 0) / quantity, 6) AS realized, entry_rank
  FROM lots WHERE state = 'open'""")
 def open_lots(t):
-    all_lots, _ = wallets.fifo(t.flows)
+    all_lots, _ = wallets.fifo(t.spread().flows)
     return wallets.open_lots(all_lots).withColumns(
         {"remaining_cost": F.round("remaining_cost", 6), "realized": F.round("realized", 6)})
 
@@ -125,7 +125,7 @@ def open_lots(t):
    round(pnl, 4) AS realized_pnl, opens AS open_lots, unk AS unknown_basis, score,
    n >= 10 AND toks >= 5 AND score >= 70 AND coalesce(med > 0, false) AND unk = 0 AS eligible FROM sc""")
 def wallet_profile(t):
-    all_lots, unknown = wallets.fifo(t.flows)
+    all_lots, unknown = wallets.fifo(t.spread().flows)
     out = wallets.wallet_profile(t.flows, all_lots, unknown)
     return out.withColumns({
         "median_return_pct": F.round("median_return_pct", 6), "mean_hold_seconds": F.round("mean_hold_seconds", 6),
