@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,34 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return reader.parquet(folder)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """A stream keeps the number of state partitions it starts with. A cluster uses the session's setting; a local session
+    has no use for more partitions than cores."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_files(rows: DataFrame, root: str) -> StreamingQuery:
     """Append to a file sink until the available input is used up. The sink's own log makes every batch count once."""
-    query = (rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    with state_partitions(rows.sparkSession):
+        query = (rows.writeStream.format("parquet").option("path", f"{root}/out")
+                 .option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
     return query
 
 
 def run_batches(rows: DataFrame, root: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    query = (rows.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint").outputMode(mode)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    with state_partitions(rows.sparkSession):
+        query = (rows.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint").outputMode(mode)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
     return query
 
 

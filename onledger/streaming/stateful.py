@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from onledger.params import REFRESH_COOLDOWN_SECONDS, REFRESH_MAX_ATTEMPTS, REFRESH_RUNNING_TIMEOUT_SECONDS
 
+# the processors travel to the workers by value, so no worker has to have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 L, S, D = T.LongType(), T.StringType(), T.DoubleType()
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
