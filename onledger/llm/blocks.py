@@ -132,11 +132,11 @@ def ask(packed: DataFrame, pieces) -> DataFrame:
 
 
 def answer(asked: DataFrame, reply) -> DataFrame:
-    """``reply([(block, data), ...])`` yields (block, binary) for the pieces of one bucket, which arrive in block order."""
+    """``reply(bucket, [(block, data), ...])`` yields (block, binary) for the pieces of a bucket, which come in block order."""
 
     def run(key, table):
         came = sorted(zip(table.column("block").to_pylist(), table.column("data").to_pylist()))
-        made = list(reply(came))
+        made = list(reply(key[0].as_py(), came))
         return pa.table({"block": pa.array([b for b, _ in made], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(made), pa.int64()),
                          "reply": pa.array([d for _, d in made], pa.binary())})
 

@@ -93,7 +93,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             coded = [w.encode() for w in words[lo:hi]]
             yield bucket, B.pack_arrays(np.array([len(c) for c in coded], np.int32), np.frombuffer(b"".join(coded), np.uint8))
 
-    def reply(came):
+    def reply(_, came):
         sp = model(shared.value)
         lone = sp.piece_to_id(MARK)
         asked = []

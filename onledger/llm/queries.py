@@ -36,3 +36,10 @@ def op1(spark, folder):
     from onledger.llm import pieces
 
     return pieces.encode_decode(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op8_ctw_score")
+def op8(spark, folder):
+    from onledger.llm import ctw
+
+    return ctw.score(table(spark, folder, "documents"), 7, 2)
