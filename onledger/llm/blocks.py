@@ -35,11 +35,12 @@ def expand(raw: bytes) -> bytes:
 
 
 def pack_arrays(*arrays) -> bytes:
-    """Arrays of numbers as one compressed value: count, then type, length and bytes of each."""
+    """Arrays of numbers as one compressed value, byte planes apart: count, then type, length and bytes of each."""
     out = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out += [a.dtype.str.encode().ljust(4), np.array([len(a)], np.int64).tobytes(), a.tobytes()]
+        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if a.itemsize > 1 else a
+        out += [a.dtype.str.encode().ljust(4), np.array([len(a)], np.int64).tobytes(), planes.tobytes()]
     return squeeze(b"".join(out))
 
 
@@ -48,54 +49,65 @@ def unpack_arrays(raw: bytes) -> list:
     count, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for _ in range(count):
         kind, n = np.dtype(raw[at:at + 4].decode().strip()), int(np.frombuffer(raw, np.int64, 1, at + 4)[0])
-        out.append(np.frombuffer(raw, kind, n, at + 12))
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 12)
+        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n))
         at += 12 + n * kind.itemsize
     return out
 
 
-def pack_rows(ids, texts) -> bytes:
-    """Rows (id or None, bytes or None) as one compressed value."""
-    n = len(ids)
-    return pack_arrays(np.array([0 if i is None else i for i in ids], np.int64),
-                       np.array([i is None for i in ids], bool).view(np.uint8),
-                       np.array([-1 if t is None else len(t) for t in texts], np.int64),
-                       np.frombuffer(b"".join(t for t in texts if t), np.uint8)) if n else pack_arrays()
+def pack_rows(ids, *columns) -> bytes:
+    """Rows (id or None, bytes or None, ...) as one compressed value."""
+    arrays = [np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], bool).view(np.uint8)]
+    for values in columns:
+        arrays += [np.array([-1 if v is None else len(v) for v in values], np.int64),
+                   np.frombuffer(b"".join(v for v in values if v), np.uint8)]
+    return pack_arrays(*arrays)
+
+
+def split(lengths, blob) -> list:
+    """The values of a column: bytes, or None where the length is negative."""
+    raw, at, out = blob.tobytes(), 0, []
+    for n in lengths.tolist():
+        out.append(None if n < 0 else raw[at:at + n])
+        at += max(n, 0)
+    return out
 
 
 def unpack_rows(raw: bytes):
-    ids, null, lengths, blob = unpack_arrays(raw)
-    blob, at = blob.tobytes(), 0
-    for i, gone, n in zip(ids.tolist(), null.tolist(), lengths.tolist()):
-        if n < 0:
-            yield (None if gone else i), None
-        else:
-            yield (None if gone else i), blob[at:at + n]
-            at += n
+    ids, null, *rest = unpack_arrays(raw)
+    columns = [split(rest[i], rest[i + 1]) for i in range(0, len(rest), 2)]
+    return zip((None if gone else i for i, gone in zip(ids.tolist(), null.tolist())), *columns)
 
 
 def block_rows(table: pa.Table) -> list:
-    """The rows of one block, ordered by id (nulls first) and text, as (id, bytes or None)."""
+    """The rows of one block, ordered by id (nulls first), text and what they carry: (id, bytes or None, carried or None)."""
     rows = [row for raw in table.column("data") for row in unpack_rows(raw.as_py())]
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or b""))
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or b"", r[2] or b""))
     return rows
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, data): the id and text of every row, dealt into blocks of about ``block_bytes`` by a hash of the row."""
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list | None = None,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, data): the id and text of every row, dealt into blocks of about ``block_bytes`` by a hash of the row.
+
+    ``carry`` names columns that travel with a row as JSON, see ``carried``.
+    """
+    other = F.to_json(F.struct(*[docs[c] for c in carry])).cast("binary") if carry else F.lit(None).cast("binary")
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"),
+                      other.alias("carry"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
 
     def deal(batches):
         for batch in batches:
             where = batch.column("block").to_numpy(zero_copy_only=False)
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts, more = (batch.column(c).to_pylist() for c in ("id", "text", "carry"))
             order = np.argsort(where, kind="stable")
             edges = np.flatnonzero(np.diff(where[order], prepend=-1))
             for lo, hi in zip(edges, [*edges[1:], len(order)]):
                 rows = order[lo:hi]
                 yield pa.RecordBatch.from_pydict({"block": pa.array([int(where[order[lo]])], pa.int64()),
-                                                  "data": pa.array([pack_rows([ids[i] for i in rows], [texts[i] for i in rows])], pa.binary())})
+                                                  "data": pa.array([pack_rows(*([x[i] for i in rows] for x in (ids, texts, more)))], pa.binary())})
 
     return own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count))).mapInArrow(deal, "block long, data binary")
 
@@ -144,15 +156,29 @@ def answer(asked: DataFrame, reply) -> DataFrame:
 
 
 def finish(packed: DataFrame, replies: DataFrame, result, schema: str) -> DataFrame:
-    """``result(rows, {bucket: binary})`` returns a dict of columns for the rows of one block."""
+    """``result(block, rows, {bucket: binary})`` returns a dict of columns for one block."""
 
     def run(key, left, right):
         got = dict(zip(right.column("bucket").to_pylist(), right.column("reply").to_pylist()))
-        return pa.table(result(block_rows(left), got))
+        return pa.table(result(key[0].as_py(), block_rows(left), got))
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
+def carried(df: DataFrame, source: DataFrame, columns: list, column: str = "carry") -> DataFrame:
+    """Bring carried columns back as columns of their own types."""
+    schema = source.select(*columns).schema
+    return df.withColumn(column, F.from_json(column, schema)).select("*", *[F.col(column)[c].alias(c) for c in columns]).drop(column)
+
+
+def marks(flags) -> bytes:
+    return squeeze(np.packbits(flags).tobytes())
+
+
+def unmarks(raw: bytes, n: int):
+    return np.unpackbits(np.frombuffer(expand(raw), np.uint8), count=n).astype(bool)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a stage to the shared folder and read it back."""
     from onledger.session import materialize

@@ -209,14 +209,6 @@ def grams_of_bucket(came):
     return keys, merge(keys, counts)
 
 
-def split_words(lengths, blob):
-    raw, at, out = blob.tobytes(), 0, []
-    for n in lengths.tolist():
-        out.append(raw[at:at + n])
-        at += n
-    return out
-
-
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text with models learnt from the rows whose crc32(id) mod ``modulus`` is not ``held``.
 
@@ -229,8 +221,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     buckets = B.buckets_for(packed, docs)
 
     def parts(rows):
-        texts = [t or b"" for _, t in rows]
-        return texts, [remainder(i, modulus) != held for i, _ in rows]
+        texts = [t or b"" for _, t, _ in rows]
+        return texts, [remainder(i, modulus) != held for i, *_ in rows]
 
     def pieces(rows):
         texts, training = parts(rows)
@@ -267,7 +259,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
             total = Counter()
             for block, data in came:
                 lengths, blob, counts = B.unpack_arrays(data)
-                words = split_words(lengths, blob)
+                words = B.split(lengths, blob)
                 asked_.append((block, words))
                 for w, c in zip(words, counts.tolist()):
                     total[w] += c
@@ -286,7 +278,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     total, kinds = replies.agg(F.sum("tokens"), F.sum("kinds")).first()
     total, kinds = total or 0, kinds or 0
 
-    def result(rows, got):
+    def result(_, rows, got):
         texts, training = parts(rows)
         words, keys, _ = distinct_words(texts, training)
         table, log = {}, {}
@@ -309,7 +301,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
         unknown = {w for w, c in table.items() if not c}
         known = [len(t) - (sum(map(unknown.__contains__, t)) if unknown and not own else 0) for t, own in zip(tokens, training)]
         lengths = np.array([len(t) for t in texts])
-        return {"doc_id": pa.array([i for i, _ in rows], pa.int64()), "held_out": pa.array([not x for x in training]),
+        return {"doc_id": pa.array([i for i, *_ in rows], pa.int64()), "held_out": pa.array([not x for x in training]),
                 "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array([total] * len(rows), pa.int64()), "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(scores, pa.float64()), "n_bytes": pa.array(lengths, pa.int64()),

@@ -60,7 +60,7 @@ def chunks(raw: str) -> list[str]:
 def distinct(rows) -> tuple[list[str], np.ndarray]:
     """The distinct chunks of a block with their hashes, ordered by hash."""
     seen: set[str] = set()
-    for _, raw in rows:
+    for _, raw, *_ in rows:
         if raw:
             seen.update(chunks(raw.decode("utf-8", "replace")))
     words = list(seen)
@@ -98,12 +98,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         lone = sp.piece_to_id(MARK)
         asked = []
         for block, data in came:
-            lengths, blob_ = B.unpack_arrays(data)
-            raw, at, words = blob_.tobytes(), 0, []
-            for n in lengths.tolist():
-                words.append(raw[at:at + n].decode())
-                at += n
-            asked.append((block, words))
+            asked.append((block, [w.decode() for w in B.split(*B.unpack_arrays(data))]))
         table = dict.fromkeys(itertools.chain.from_iterable(w for _, w in asked))
         unique = list(table)
         table = {w: np.array(ids if w else [lone], np.int32) for w, ids in zip(unique, sp.encode(unique, num_threads=1))}
@@ -111,7 +106,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             ids = [table[w] for w in words]
             yield block, B.pack_arrays(np.array([len(i) for i in ids], np.int32), np.concatenate(ids).astype(np.uint16 if sp.get_piece_size() <= 65536 else np.int32))
 
-    def result(rows, got):
+    def result(_, rows, got):
         sp = model(shared.value)
         words, keys = distinct(rows)
         table = {}
@@ -123,7 +118,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 table[w] = (own, ",".join(map(str, own)))
                 at += n
         out = {name: [] for name in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if full else ()))}
-        for doc_id, raw in rows:
+        for doc_id, raw, _ in rows:
             parts = [table[c] for c in chunks((raw or b"").decode("utf-8", "replace"))]
             ids = list(itertools.chain.from_iterable(p[0] for p in parts))
             decoded = sp.decode(ids) if ids else ""

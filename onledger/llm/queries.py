@@ -43,3 +43,10 @@ def op8(spark, folder):
     from onledger.llm import ctw
 
     return ctw.score(table(spark, folder, "documents"), 7, 2)
+
+
+@query("op5_substring_dedup")
+def op5(spark, folder):
+    from onledger.llm import anchors
+
+    return anchors.dedup(table(spark, folder, "documents"), 20)

@@ -9,6 +9,7 @@ MIX_A, MIX_B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 ODD = U(0x9E3779B97F4A7C15)
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
+SLAB = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -24,19 +25,30 @@ def mix(x):
 CODES = tuple(mix(np.arange(256, dtype=U) * ODD + U(seed)) for seed in (11, 977))
 
 
+_POWERS: dict = {}
+
+
+def powers(which: int, n: int):
+    """The first n powers of a base and of its inverse; tables up to a fixed length are made once per worker."""
+    if which not in _POWERS or n > len(_POWERS[which][0]):
+        made = []
+        for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
+            power = np.full(max(n, 4096), U(base))
+            power[0] = 1
+            np.multiply.accumulate(power, out=power)
+            made.append(power)
+        if n > 2 * SLAB:
+            return made
+        _POWERS[which] = made
+    return [p[:n] for p in _POWERS[which]]
+
+
 class Prefix:
     """Hashes of arbitrary spans of a sequence of 64-bit codes: polynomial modulo 2**64 with an odd base, then mixed."""
 
     def __init__(self, codes, which: int = 0):
-        base = BASES[which]
         n = len(codes)
-        power = np.full(n + 1, U(base))
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        inverse = np.full(n + 1, U(pow(base, -1, 1 << 64)))
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        self.inverse = inverse
+        power, self.inverse = powers(which, n + 1)
         self.total = np.zeros(n + 1, U)
         np.cumsum(codes * power[:n], out=self.total[1:])
 
@@ -60,9 +72,15 @@ def word_spans(buffer, space=SPACE):
 
 
 def word_codes(buffer, which: int = 0, spans=None):
-    """One 64-bit code for each word of a byte buffer."""
+    """One 64-bit code for each word of a byte buffer, worked out about a megabyte at a time."""
     start, end = word_spans(buffer) if spans is None else spans
-    return Prefix(CODES[which][buffer], which).spans(start, end)
+    out, at = np.empty(len(start), U), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SLAB, "right")))
+        lo, hi = start[at], end[to - 1]
+        out[at:to] = Prefix(CODES[which][buffer[lo:hi]], which).spans(start[at:to] - lo, end[at:to] - lo)
+        at = to
+    return out
 
 
 def cover(starts, width: int, n: int):
