@@ -144,7 +144,10 @@ def ask(packed: DataFrame, pieces) -> DataFrame:
 
 
 def answer(asked: DataFrame, reply) -> DataFrame:
-    """``reply(bucket, [(block, data), ...])`` yields (block, binary) for the pieces of a bucket, which come in block order."""
+    """``reply(bucket, [(block, data), ...])`` yields (block, binary) for the pieces of a bucket, which come in block order.
+
+    The answers are dealt by block at once: later steps that read them again then reuse that exchange.
+    """
 
     def run(key, table):
         came = sorted(zip(table.column("block").to_pylist(), table.column("data").to_pylist()))
@@ -152,7 +155,7 @@ def answer(asked: DataFrame, reply) -> DataFrame:
         return pa.table({"block": pa.array([b for b, _ in made], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(made), pa.int64()),
                          "reply": pa.array([d for _, d in made], pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(run, REPLIES)
+    return asked.groupBy("bucket").applyInArrow(run, REPLIES).repartition("block")
 
 
 def finish(packed: DataFrame, replies: DataFrame, result, schema: str) -> DataFrame:

@@ -50,3 +50,10 @@ def op5(spark, folder):
     from onledger.llm import anchors
 
     return anchors.dedup(table(spark, folder, "documents"), 20)
+
+
+@query("op2_suffix_dedup")
+def op2(spark, folder):
+    from onledger.llm import suffixes
+
+    return suffixes.remove_repeats(table(spark, folder, "documents"), 400)

@@ -61,7 +61,8 @@ class Prefix:
         n = len(self.total) - 1
         if n < width:
             return np.zeros(0, U)
-        return mix((self.total[width:] - self.total[:n - width + 1]) * self.inverse[:n - width + 1] + U(width) * ODD)
+        length = U(width * int(ODD) % (1 << 64))
+        return mix((self.total[width:] - self.total[:n - width + 1]) * self.inverse[:n - width + 1] + length)
 
 
 def word_spans(buffer, space=SPACE):
