@@ -57,3 +57,17 @@ def op2(spark, folder):
     from onledger.llm import suffixes
 
     return suffixes.remove_repeats(table(spark, folder, "documents"), 400)
+
+
+@query("op9_quality_attention")
+def op9(spark, folder):
+    from onledger.llm import attention
+
+    return attention.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality", 5, 0, 0.3)
+
+
+@query("op10_toxicity_noisy_or")
+def op10(spark, folder):
+    from onledger.llm import noisyor
+
+    return noisyor.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", 3, 1, 0.7)
