@@ -167,5 +167,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
     everywhere; repeated rows get equal scores; ids, language and source never enter a score.
     """
     texts, wanted = labelled.sample(docs, labels, label, modulus, held, max_rows, max_bytes)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, wanted))
-    return labelled.score(docs, lambda t: model.value.score(t), modulus, held, threshold, "top_passage long, top_weight double")
+    m = fit(texts, wanted)
+    shared = docs.sparkSession.sparkContext.broadcast((m.mean, m.scale, m.w))
+    return labelled.score(docs, lambda t: Model(*shared.value).score(t), modulus, held, threshold, "top_passage long, top_weight double")

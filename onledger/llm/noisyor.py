@@ -145,5 +145,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     scores are 0.5. Ids, language and source never enter a score.
     """
     texts, wanted = labelled.sample(docs, labels, label, modulus, held, max_rows, max_bytes)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, wanted))
-    return labelled.score(docs, lambda t: model.value.score(t), modulus, held, threshold, "worst_from long, worst_to long, worst_score double")
+    m = fit(texts, wanted)
+    shared = docs.sparkSession.sparkContext.broadcast((m.weights, m.bias))
+    return labelled.score(docs, lambda t: Model(*shared.value).score(t), modulus, held, threshold, "worst_from long, worst_to long, worst_score double")
