@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 PIECES = "bucket long, block long, data binary"
 REPLIES = "block long, bucket long, reply binary"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def squeeze(raw: bytes) -> bytes:

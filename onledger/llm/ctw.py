@@ -296,13 +296,16 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
             distinct, inverse = np.unique(key, return_inverse=True)
             scores.append(np.add.reduceat(value[np.searchsorted(keys, distinct)][inverse], bounds))
         scores = np.concatenate(scores)
-        tokens = [words_of(t) for t in texts]
-        base = [math.fsum(map(log.__getitem__, t)) for t in tokens]
         unknown = {w for w, c in table.items() if not c}
-        known = [len(t) - (sum(map(unknown.__contains__, t)) if unknown and not own else 0) for t, own in zip(tokens, training)]
+        tokens, known, base = [], [], []
+        for raw, own in zip(texts, training):
+            words = words_of(raw)
+            tokens.append(len(words))
+            known.append(len(words) - (sum(map(unknown.__contains__, words)) if unknown and not own else 0))
+            base.append(math.fsum(map(log.__getitem__, words)))
         lengths = np.array([len(t) for t in texts])
         return {"doc_id": pa.array([i for i, *_ in rows], pa.int64()), "held_out": pa.array([not x for x in training]),
-                "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "n_known": pa.array(known, pa.int64()),
+                "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array([total] * len(rows), pa.int64()), "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(scores, pa.float64()), "n_bytes": pa.array(lengths, pa.int64()),
                 "bits_per_byte": pa.array(-scores / math.log10(2) / (lengths + 1), pa.float64())}

@@ -71,3 +71,10 @@ def op10(spark, folder):
     from onledger.llm import noisyor
 
     return noisyor.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", 3, 1, 0.7)
+
+
+@query("op7_quality_rules")
+def op7(spark, folder):
+    from onledger.llm import quality
+
+    return quality.judge(table(spark, folder, "documents"))
