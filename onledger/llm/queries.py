@@ -78,3 +78,10 @@ def op7(spark, folder):
     from onledger.llm import quality
 
     return quality.judge(table(spark, folder, "documents"))
+
+
+@query("op6_jaccard_groups")
+def op6(spark, folder):
+    from onledger.llm import chosen
+
+    return chosen.groups(table(spark, folder, "documents"))
