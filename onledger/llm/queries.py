@@ -85,3 +85,10 @@ def op6(spark, folder):
     from onledger.llm import chosen
 
     return chosen.groups(table(spark, folder, "documents"))
+
+
+@query("op3_winnowing")
+def op3(spark, folder):
+    from onledger.llm import winnow
+
+    return winnow.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)

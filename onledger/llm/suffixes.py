@@ -67,7 +67,7 @@ class Slab:
         low = U((1 << 22) - 1)
         best = least((keys & ~low) | np.arange(len(keys), dtype=U), self.length - k + 1)[self.starts]
         place = (best & low).astype(np.int64)
-        return keys[place], place
+        return T.mix(keys[place]), place  # smallest hashes are all small; mixed anew they spread over the buckets
 
     def position(self, i):
         """Document and start there of the i-th window."""
