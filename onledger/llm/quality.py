@@ -93,7 +93,7 @@ def histogram_distances(base: DataFrame, docs: DataFrame, text_col: str, lang_co
 
     token = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
                         group(F.coalesce(docs[lang_col].cast("string"), F.lit(""))).alias("tongue"))
-    token = token.select("tongue", F.xxhash64("text").alias("text_key"), F.explode(words(F.lower("text"))).alias("word"))
+    token = token.select("tongue", F.xxhash64("text").alias("text_key"), F.explode_outer(words(F.lower("text"))).alias("word"))
     short = token.filter(F.length("word").between(1, SHORT))
     rank = Window.partitionBy("tongue").orderBy(F.desc("n"), "word")
     common = (short.groupBy("tongue", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank))

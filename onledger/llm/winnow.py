@@ -74,7 +74,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     reach = window - k
 
     long = fingerprints(bench.filter(F.col("n") >= window), window, k)
-    long = (long.select("item", "words", "h", F.explode("kept").alias("fp"))
+    long = (long.select("item", "words", "h", F.explode_outer("kept").alias("fp"))
             .select("item", "fp", "words", F.explode(places(F.col("h"), F.col("fp"))).alias("at"))
             .select(F.lit(0).alias("kind"), "fp", "item", exact(around(F.col("words"), F.col("at"), reach, window + reach)).alias("item_words")))
     short = bench.filter((F.col("n") > 0) & (F.col("n") < window))
@@ -87,13 +87,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     every = tagged(F.col("kept"), 0)
     for size in sizes:
         every = F.concat(every, tagged(F.array_distinct(grams(F.col("words"), F.col("n"), size)), size))
-    rows = rows.withColumn("every", every)  # a column of its own, so that the explode is compiled and copies no row before the join
+    # A column of its own, so that the explode is compiled and copies no row before the join; outer, as Spark would otherwise
+    # compute the array a second time to see whether it is empty.
+    rows = rows.withColumn("every", every)
     if wanted.limit(SENT + 1).count() <= SENT:
         # The words stay with the row: nothing of a document moves unless a hash is found.
-        met = rows.select("doc_id", "text_key", "words", "n", "h", F.explode("every").alias("f")).select("*", "f.*").drop("f")
+        met = rows.select("doc_id", "text_key", "words", "n", "h", F.explode_outer("every").alias("f")).select("*", "f.*").drop("f")
         met = met.join(F.broadcast(wanted), ["kind", "fp"])
     else:
-        met = rows.select("doc_id", "text_key", F.explode("every").alias("f")).select("doc_id", "text_key", "f.*")
+        met = rows.select("doc_id", "text_key", F.explode_outer("every").alias("f")).select("doc_id", "text_key", "f.*")
         met = met.join(wanted, ["kind", "fp"]).withColumnsRenamed({"doc_id": "id", "text_key": "key"})
         met = met.join(rows.drop("every").dropDuplicates(["doc_id", "text_key"]), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
     kind, at, item_words = F.col("kind"), F.col("at"), F.col("item_words")
