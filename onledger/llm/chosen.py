@@ -214,7 +214,8 @@ def groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, bucket: int
     """Group near-duplicate documents.
 
     Result, one row for each input row: doc_id, class_id (smallest id of its group), copy_of (smallest id with the same shingle
-    set), n_links (other sets that its set is linked to), text_key (xxhash64 of the text, null as empty). Texts of one to
+    set), n_links (other sets that its set is linked to), text_key (xxhash64 of the text, null as empty), class_key (what the
+    rows of a class share, null without words). Texts of one to
     ``width - 1`` words are compared by their whole word sequence; texts without words are no one's copy, each row by itself,
     with its own id. Repeated rows are copies of each other. A null id is never the smallest unless all are null.
     """
@@ -228,7 +229,7 @@ def groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, bucket: int
     linked = components(links).join(degree, "node").join(nodes.select("node", "rep_id"), "node")
     classes = linked.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     known = nodes.select("node", F.col("rep_id").alias("copy_of")).join(
-        linked.join(classes, "root").select("node", "class_id", "n_links"), "node", "left")
+        linked.join(classes, "root").select("node", "class_id", "n_links", "root"), "node", "left")
     return own.join(known, "node", "left").select(
         "doc_id", F.coalesce("class_id", "copy_of", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key")
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", F.coalesce("root", "node").alias("class_key"))

@@ -92,3 +92,10 @@ def op3(spark, folder):
     from onledger.llm import winnow
 
     return winnow.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+
+
+@query("op4_url_templates")
+def op4(spark, folder):
+    from onledger.llm import urls
+
+    return urls.judge(table(spark, folder, "pages"))
