@@ -87,8 +87,8 @@ def block_rows(table: pa.Table) -> list:
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list | None = None,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, data): the id and text of every row, dealt into blocks of about ``block_bytes`` by a hash of the row.
+           block_bytes: int | None = None) -> DataFrame:
+    """(block, data): the id and text of every row, dealt into blocks of about ``block_bytes`` (BLOCK_BYTES) by a hash of the row.
 
     ``carry`` names columns that travel with a row as JSON, see ``carried``.
     """
@@ -96,7 +96,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"),
                       other.alias("carry"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-size // block_bytes))
+    count = max(1, -(-size // (block_bytes or BLOCK_BYTES)))
 
     def deal(batches):
         for batch in batches:
