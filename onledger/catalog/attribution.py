@@ -137,10 +137,10 @@ LIVE = f""" live AS (SELECT s.*, x.total_cents, x.origin AS root FROM swaps s JO
 @query("pip_04_trace_native_delta", "WITH" + LIVE + """,
  d AS (SELECT tx, sender AS wallet, -v AS v FROM fr WHERE kind <> 'DELEGATECALL'
    UNION ALL SELECT tx, recipient, v FROM fr WHERE kind <> 'DELEGATECALL')
- SELECT tx, wallet, CAST(sum(v) AS BIGINT) AS delta FROM d GROUP BY tx, wallet""")
+ SELECT tx, wallet, CAST(sum(v) AS DECIMAL(38,0)) AS delta FROM d GROUP BY tx, wallet""")
 def trace_native_delta(t):
     frames = at.flatten_frames(traces(t))
-    return at.native_deltas(frames, d.quantity(C("value")))
+    return at.native_deltas(frames, d.wide_quantity(C("value")))
 
 
 @query("pip_05_deployment_origin", "WITH" + LIVE + """

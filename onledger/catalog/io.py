@@ -167,7 +167,7 @@ def versioned_rebuild(t):
     sinks.rebuild_version(table, archive, first, "tx", F.lit(1))
     number = sinks.rebuild_version(table, archive, t.samples.select("tx", "wallet", "status"), "tx", F.lit(2))
     now = table.read().select(F.lit("current").alias("part"), C("tx").alias("key"), F.lit(number).alias("version"), "status")
-    return now.unionByName(archive.read().select(
+    return now.unionByName(archive.read_all().select(
         F.lit("archived").alias("part"), C("key").cast("bigint").alias("key"), "version",
         F.get_json_object("record", "$.status").alias("status")))
 

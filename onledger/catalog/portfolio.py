@@ -70,11 +70,11 @@ def wallet_audit(t):
 
 
 @query("pip_13_predeployment_zero", """
- SELECT p_partkey AS token, p_size AS height, CASE WHEN p_partkey % 4 <> 0 THEN p_size * 3 WHEN p_partkey % 3 = 0 THEN 0 END AS balance FROM part""")
+ SELECT p_partkey AS token, p_size AS height, CASE WHEN p_partkey % 4 <> 0 THEN p_size * 3 WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 4 THEN 0 END AS balance FROM part""")
 def predeployment_zero(t):
     k = C("p_partkey")
     opening = t.part.select(k.alias("token"), C("p_size").alias("height"), F.when(k % 4 != 0, C("p_size") * 3).alias("balance"))
-    code = t.part.filter(k % 5 != 6).select(k.alias("token"), C("p_size").alias("height"),
+    code = t.part.filter(k % 5 != 4).select(k.alias("token"), C("p_size").alias("height"),
                                             F.when(k % 3 == 0, "0x").when(k % 3 == 1, "0x6080").alias("code"))
     return pf.predeployment_zero(opening, code)
 

@@ -45,12 +45,19 @@ BASE58_FORMAT = r"\A[1-9A-HJ-NP-Za-km-z]{32,44}\z"
 
 def quantity(text: Column) -> Column:
     """``0x`` hex or decimal text to BIGINT; wider values are NULL here (use ``word`` for those)."""
-    digits = F.regexp_replace(F.substring(text, 3, 100), "^0+(?=.)", "")
+    digits = F.regexp_replace(F.substring(text, 3, 1 << 30), "^0+(?=.)", "")
     hexed = F.when((F.length(digits) < 16) | ((F.length(digits) == 16) & (F.substring(digits, 1, 1) < "8")),
                    F.when(digits.rlike("^[0-9a-fA-F]+$"), F.conv(digits, 16, 10).try_cast("bigint")))
     return F.when(text.startswith("0x"), hexed).otherwise(text.try_cast("bigint"))
 
 
+def wide_quantity(text: Column) -> Column:
+    """``0x`` hex or decimal text to DECIMAL(38,0); NULL only for malformed text and from 2**126 on."""
+    digits = F.regexp_replace(F.substring(text, 3, 1 << 30), "^0+(?=.)", "")
+    word = F.lpad(F.when(digits.rlike("^[0-9a-fA-F]{1,64}$"), digits), 64, "0")
+    return F.when(text.startswith("0x"), unsigned(word)).otherwise(text.try_cast("decimal(38,0)"))
+
+
 def words(data: Column) -> Column:
     """The 32-byte words of call data, or NULL when it is not ``0x`` followed by whole words of hex."""
     body = F.substring(data, 3, 1 << 30)

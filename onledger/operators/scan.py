@@ -5,10 +5,11 @@ holds a third of all rows. So the keys with more than ``max_rows`` rows are foun
 its shuffle and reads key columns only. If there are none, a plain window does the work. Otherwise their groups are cut
 into buckets along the sort order: rows are shuffled by (key, bucket) and scanned locally, one summary row per bucket is
 scanned per key, and the two are joined on (key, bucket). No task holds more than one bucket of rows or one summary row per
-bucket. Which keys are cut never changes a result.
+bucket. Which keys are cut never changes a result: NULL keys form groups of their own, rows without a bucket (a NULL sort
+value) stand first, as they do in the sort order, and everything is stitched together null-safely.
 
-Rules for callers: key and bucket columns are not NULL, the bucket grows with the sort order, and sort columns ascend
-(negate a column to sort it downwards) and make the order total. A scan without keys is always cut.
+Rules for callers: the bucket grows with the sort order, and sort columns ascend (negate a column to sort it downwards) and
+make the order total. A scan without keys is always cut.
 """
 
 from __future__ import annotations
@@ -30,15 +31,25 @@ def width_bucket(col, width: int) -> Column:
         "bigint")
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns that may be NULL; the key columns come from the left."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(named[f"_k_{k}"])
+    return left.join(named, condition, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def cut(rows: DataFrame, keys: Sequence[str], bucket: Column, max_rows: int) -> tuple[DataFrame, bool]:
     """Add the bucket column; it is constant for keys of at most ``max_rows`` rows. False if no key had to be cut."""
+    bucket = F.coalesce(bucket.cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
     if not keys:
         return rows.withColumn(BUCKET, bucket), True
     hot = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_rows).select(*keys)
     if hot.isEmpty():
         return rows.withColumn(BUCKET, F.lit(0).cast("bigint")), False
     # at most (all rows / max_rows) keys are hot, so at run time this side is small enough to be broadcast
-    marked = rows.join(hot.withColumn("_hot", F.lit(True)), list(keys), "left")
+    marked = same_keys(rows, hot.withColumn("_hot", F.lit(True)), keys, "left")
     return marked.withColumn(BUCKET, F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("bigint"))).drop("_hot"), True
 
 
@@ -106,7 +117,7 @@ def running(
             offsets[f"_off_{name}"] = F.last(src, ignorenulls=True).over(up if name in lasts else down)
     carried = totals.withColumns(offsets).select(*parts, *offsets)
 
-    out = scanned.join(carried, parts)
+    out = same_keys(scanned, carried, parts)
     for name in inputs:
         loc, off = F.col(f"_loc_{name}"), F.col(f"_off_{name}")
         if name in sums:
@@ -172,7 +183,7 @@ def inventory(
     totals = totals.withColumns({"_om": F.min("_abs").over(up), "_fm": F.min("_abs").over(whole)})
     totals = totals.withColumn("head_final", F.col("_fb") - (F.col("_fs") - F.least(zero, F.col("_fm"))))
 
-    out = scanned.join(totals.select(*parts, "_os", "_ob", "_om", "head_final"), parts)
+    out = same_keys(scanned, totals.select(*parts, "_os", "_ob", "_om", "head_final"), parts)
     return _stock(out, rows.columns, zero)
 
 

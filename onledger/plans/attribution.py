@@ -62,19 +62,22 @@ def flatten_frames(traces: DataFrame, key: str = "tx", column: str = "trace", va
 
 
 def native_deltas(frames: DataFrame, amount: Column, key: str = "tx") -> DataFrame:
-    """Native value in minus value out per (transaction, wallet)."""
-    rows = frames.filter(F.col("kind").isin(*VALUE_FRAMES)).withColumn("_v", F.coalesce(amount, F.lit(0)))
-    sides = F.array(F.struct(F.col("sender").alias("wallet"), (-F.col("_v")).alias("delta")),
+    """Native value in minus value out per (transaction, wallet).
+
+    A frame without a value moves nothing. A value that cannot be held makes the wallet's delta NULL, never smaller.
+    """
+    rows = frames.filter(F.col("kind").isin(*VALUE_FRAMES)).withColumn("_v", F.when(F.col("value").isNull(), 0).otherwise(amount))
+    sides = F.array(F.struct(F.col("sender").alias("wallet"), (F.lit(0) - F.col("_v")).alias("delta")),
                     F.struct(F.col("recipient").alias("wallet"), F.col("_v").alias("delta")))
     return (rows.select(key, F.inline(sides)).filter("wallet IS NOT NULL").groupBy(key, "wallet")
-            .agg(F.sum("delta").alias("delta")))
+            .agg(F.when(F.count("delta") == F.count("*"), F.sum("delta")).alias("delta")))
 
 
 def deployment_origins(frames: DataFrame, key: str = "tx") -> DataFrame:
     """Deployer (who issued the creating frame) and initiator (who sent the transaction) of every created contract."""
     made = frames.filter(F.col("kind").isin(*DEPLOY_FRAMES))
     return made.groupBy(key, F.col("recipient").alias("token")).agg(
-        F.min_by(F.struct(F.col("sender").alias("deployer"), F.col("root_sender").alias("initiator")), "path").alias("o")
+        F.min_by(F.struct(F.col("sender").alias("deployer"), F.col("root_sender").alias("initiator")), F.split("path", r"\.").cast("array<int>")).alias("o")
     ).select(key, "token", "o.deployer", "o.initiator")
 
 

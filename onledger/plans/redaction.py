@@ -24,12 +24,21 @@ PATTERNS = (
 )
 _JSON_FIELD = r'(?i)("' + SECRET_NAME + r'"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|\[[^\[\]{}]*\]|\{[^{}]*\})'
 
+#: A credential name, also inside JSON held as text, whose value still stands: nested too deep for the pattern above.
+_LEFT = r'(?i)\\*"' + SECRET_NAME + r'\\*"\s*+:\s*+(?!\\*"\[REDACTED_CREDENTIAL\])'
+
+
+def _within_json(pattern: str) -> str:
+    """A text rule for use in JSON: a value ends at a quote or backslash, so that the document stays valid."""
+    return pattern.replace(r"[^\s,;]+", r'[^\s,;"\\]+')
+
 
 def redact(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Redact text columns in place; adds ``redactions`` (counts by rule) and ``changed``.
 
-    Columns with a credential name are replaced whole. In JSON text the values of credential-named keys go first; then
-    addresses, bearer tokens, API tokens and assignments are replaced, each rule on the result of the one before.
+    Columns with a credential name are replaced whole. In JSON text the values of credential-named keys go first; where such a
+    value is nested deeper, or stands in JSON held as text, the whole document is replaced. Then addresses, bearer tokens, API
+    tokens and assignments are replaced, each rule on the result of the one before; JSON stays valid.
     """
     counts: dict[str, Column] = {"credential_fields": F.lit(0), **{name: F.lit(0) for name, _, _ in PATTERNS}}
     out = rows
@@ -43,12 +52,22 @@ def redact(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         is_json = F.ltrim(text).rlike(r"\A[\{\[]") & F.try_parse_json(text).isNotNull()
         counts["credential_fields"] = counts["credential_fields"] + F.coalesce(
             F.when(is_json, F.regexp_count(text, F.lit(_JSON_FIELD))), F.lit(0))
-        stage = f"_s_{c}"
-        out = pinned(out, stage, F.when(is_json, F.regexp_replace(text, _JSON_FIELD, f'$1"{CREDENTIAL}"')).otherwise(text))
+        json, stage = f"_j_{c}", f"_s_{c}"
+        out = pinned(out, json, F.coalesce(is_json, F.lit(False)))
+        out = pinned(out, stage, F.when(F.col(json), F.regexp_replace(text, _JSON_FIELD, f'$1"{CREDENTIAL}"')).otherwise(text))
+        left = F.coalesce(F.col(json) & F.col(stage).rlike(_LEFT), F.lit(False))
+        counts["credential_fields"] = counts["credential_fields"] + F.when(left, 1).otherwise(0)
+        out = pinned(out, f"_t_{c}", F.when(left, f'"{CREDENTIAL}"').otherwise(F.col(stage)))
+        stage = f"_t_{c}"
         for i, (name, pattern, replacement) in enumerate(PATTERNS):
             here, nxt = F.col(stage), f"_s{i}_{c}"
-            counts[name] = counts[name] + F.coalesce(F.regexp_count(here, F.lit(pattern)), F.lit(0))
-            out = pinned(out, nxt, F.regexp_replace(here, pattern, replacement))
+            inner = _within_json(pattern)
+            seen, cleaned = F.regexp_count(here, F.lit(pattern)), F.regexp_replace(here, pattern, replacement)
+            if inner != pattern:
+                seen = F.when(F.col(json), F.regexp_count(here, F.lit(inner))).otherwise(seen)
+                cleaned = F.when(F.col(json), F.regexp_replace(here, inner, replacement)).otherwise(cleaned)
+            counts[name] = counts[name] + F.coalesce(seen, F.lit(0))
+            out = pinned(out, nxt, cleaned)
             stage = nxt
         out = out.withColumn(f"_new_{c}", F.col(stage))
     changed = F.lit(False)

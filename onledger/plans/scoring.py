@@ -90,8 +90,8 @@ def candidate_score(rows: DataFrame, rules: LaunchRules = LaunchRules(), now: st
         F.when(c("eff_quote").isNotNull(), one((c("eff_quote") == "quoted") & fresh)),
         F.when(c("eff_sim").isNotNull(), one((c("eff_sim") == "passed") & fresh)),
         F.when(simulated, one(fresh & cheap)),
-        F.when(is_number(c("eff_liquidity")), F.least(c("eff_liquidity") / rules.min_liquidity, F.lit(1.0))),
-        F.when(is_number(share) & (share <= 1), F.least(F.lit(1.0), (1 - share) / (1 - rules.max_top10_share))),
+        F.when(is_number(c("eff_liquidity")), F.least(c("eff_liquidity") / rules.min_liquidity, F.lit(1.0)) if rules.min_liquidity > 0 else one(c("eff_liquidity") > 0)),
+        F.when(is_number(share) & (share <= 1), F.least(F.lit(1.0), (1 - share) / (1 - rules.max_top10_share)) if rules.max_top10_share < 1 else F.lit(1.0)),
         F.when(is_number(burned) & (burned <= 1), one(burned >= rules.min_lp_burned)),
         F.when(is_number(c("eff_buyers")), F.least(c("eff_buyers") / 5, F.lit(1.0))),
         F.when(is_number(c("eff_qualified")), F.least(c("eff_qualified"), F.lit(1.0))),

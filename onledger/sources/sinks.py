@@ -51,7 +51,11 @@ def export_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], root:
 
 
 def manifest(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """Relative path, size and SHA-256 of every exported file. Writers cap file sizes, so one file fits in a row."""
+    """Relative path, size and SHA-256 of every exported file.
+
+    A file is one row here, so exports have to bound theirs: write with ``maxRecordsPerFile``, as Spark reads no binary file
+    above 2 GB.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root))
     return files.select(F.regexp_replace("path", r"\A.*" + root.rstrip("/").split("/")[-1] + "/", "").alias("relative_path"),
                         F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -86,9 +90,12 @@ class VersionedTable:
             return None
         return self.spark.read.parquet(f"{self.root}/version={version if version is not None else known[-1]}")
 
-    def read_all(self) -> DataFrame | None:
-        """All committed versions together, for tables whose versions are increments."""
-        known = self.versions()
+    def read_all(self, below: int | None = None) -> DataFrame | None:
+        """All committed versions together, for tables whose versions are increments; only those before ``below`` if given.
+
+        A batch that is run again must not see what its own first run wrote, so it names its version here.
+        """
+        known = [n for n in self.versions() if below is None or n < below]
         if not known:
             return None
         return self.spark.read.parquet(*[f"{self.root}/version={n}" for n in known])
@@ -102,14 +109,15 @@ class VersionedTable:
         return number
 
 
-def append_new(table: VersionedTable, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> int:
+def append_new(table: VersionedTable, batch: DataFrame, keys: Sequence[str], order: Sequence[str], number: int | None = None) -> int:
     """Add rows whose key is not stored yet; of repeated keys in the batch the first counts.
 
-    Only the new rows are written; of what is stored only the key columns are read.
+    Only the new rows are written; of what is stored only the key columns are read. A batch that may run twice passes the
+    number of its version: the second run then neither sees nor keeps what the first one wrote.
     """
     fresh = earliest(batch, keys, order)
-    old = table.read_all()
-    return table.write(fresh if old is None else fresh.join(old.select(*keys), list(keys), "left_anti"))
+    old = table.read_all(number)
+    return table.write(fresh if old is None else fresh.join(old.select(*keys), list(keys), "left_anti"), number)
 
 
 def upsert_latest(current: DataFrame, batch: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -126,13 +134,16 @@ def upsert_known(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], s
         F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in columns])
 
 
-def rebuild_version(table: VersionedTable, archive: VersionedTable, rows: DataFrame, key: str, archived_at: Column) -> int:
-    """Replace derived rows by a new version and keep the superseded ones as JSON with their version."""
-    known = table.versions()
+def rebuild_version(table: VersionedTable, archive: VersionedTable, rows: DataFrame, key: str, archived_at: Column,
+                    number: int | None = None) -> int:
+    """Replace derived rows by a new version and keep the superseded ones as JSON with their version.
+
+    The archive grows by one version per rebuild, under the number of the version it holds (read it with ``read_all``), so
+    neither older records are written again nor a repeated rebuild of the same ``number`` archives anything twice.
+    """
+    known = [n for n in table.versions() if number is None or n < number]
     if known:
-        old = table.read()
-        superseded = old.select(F.lit(known[-1]).alias("version"), F.col(key).cast("string").alias("key"),
-                                archived_at.alias("archived_at"), F.to_json(F.struct("*")).alias("record"))
-        kept = archive.read()
-        archive.write(superseded if kept is None else kept.unionByName(superseded))
-    return table.write(rows)
+        superseded = table.read(known[-1]).select(F.lit(known[-1]).alias("version"), F.col(key).cast("string").alias("key"),
+                                                  archived_at.alias("archived_at"), F.to_json(F.struct("*")).alias("record"))
+        archive.write(superseded, known[-1])
+    return table.write(rows, number)

@@ -94,7 +94,7 @@ def watch_headers(headers: DataFrame, root: str, stop: bool = True) -> None:
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = VersionedTable(spark, f"{root}/known")
-        old = known.read_all()
+        old = known.read_all(number + 1)
         seen = batch.select("number", "hash").distinct()
         stored = None if old is None else old.join(seen.select("number").distinct(), "number", "left_semi")
         both = seen if stored is None else seen.unionByName(stored)
@@ -184,7 +184,7 @@ def normalise_incrementally(rows: DataFrame, root: str, keys: Sequence[str], ide
     """
     def handle(batch: DataFrame, number: int) -> None:
         table = VersionedTable(batch.sparkSession, f"{root}/table")
-        old = table.read_all()
+        old = table.read_all(number + 1)
         mine = batch.select(*keys, *identity, *columns, seq)
         facts = mine.select(*keys, *identity)
         if old is not None:
