@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from onledger.llm import checks
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -45,7 +47,7 @@ def op8(spark, folder):
     return ctw.score(table(spark, folder, "documents"), 7, 2)
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", checks.SUBSTRING_DEDUP)
 def op5(spark, folder):
     from onledger.llm import anchors
 
@@ -73,11 +75,12 @@ def op10(spark, folder):
     return noisyor.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", 3, 1, 0.7)
 
 
-@query("op7_quality_rules")
+@query("op7_quality_rules", checks.quality_rules())
 def op7(spark, folder):
     from onledger.llm import quality
 
-    return quality.judge(table(spark, folder, "documents"))
+    out = quality.judge(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("op6_jaccard_groups")
@@ -87,11 +90,11 @@ def op6(spark, folder):
     return chosen.groups(table(spark, folder, "documents"))
 
 
-@query("op3_winnowing")
+@query("op3_winnowing", checks.DECONTAMINATION)
 def op3(spark, folder):
     from onledger.llm import winnow
 
-    return winnow.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+    return winnow.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10).drop("text_key")
 
 
 @query("op4_url_templates")
