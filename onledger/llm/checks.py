@@ -53,20 +53,20 @@ def quality_rules() -> str:
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
  win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS c
    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
- again AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM win, range(0, 8) t(j) WHERE c > 1 GROUP BY doc_id),
+ again AS MATERIALIZED (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM win, range(0, 8) t(j) WHERE c > 1 GROUP BY doc_id),
  m AS (SELECT w.doc_id, lang, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, length(text) AS n_chars,
    CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, {columns} FROM w LEFT JOIN again USING (doc_id)),
- b AS (SELECT *, n_chars - word_chars AS c_space, greatest({rest}, 0) AS c_rest, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
- r AS (SELECT lang, sum(n_words) AS r_words, {sums} FROM b GROUP BY lang),
+ b AS MATERIALIZED (SELECT *, n_chars - word_chars AS c_space, greatest({rest}, 0) AS c_rest, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+ r AS MATERIALIZED (SELECT lang, sum(n_words) AS r_words, {sums} FROM b GROUP BY lang),
  tok AS (SELECT doc_id, lang, unnest(list_transform(ws, lambda x: lower(x))) AS word FROM b),
  short AS (SELECT * FROM tok WHERE length(word) BETWEEN 1 AND {quality.SHORT}),
- common AS (SELECT lang, word, n / r_words AS q FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rn
+ common AS MATERIALIZED (SELECT lang, word, n / r_words AS q FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rn
    FROM short GROUP BY lang, word) JOIN r USING (lang) WHERE rn <= {quality.COMMON}),
  seen AS (SELECT doc_id, q, CAST(count(*) AS DOUBLE) / any_value(n_words) AS p FROM short JOIN common USING (lang, word) JOIN (SELECT doc_id, n_words FROM b) USING (doc_id)
    GROUP BY doc_id, word, q),
- js AS (SELECT doc_id, sum({_js('p', 'q')} - q / 2) AS js, sum(p) AS p_all FROM seen GROUP BY doc_id),
+ js AS MATERIALIZED (SELECT doc_id, sum({_js('p', 'q')} - q / 2) AS js, sum(p) AS p_all FROM seen GROUP BY doc_id),
  far AS (SELECT b.*, sqrt(greatest({chars}, 0)) AS char_distance, greatest(1 - coalesce(p_all, 0), 0) AS po, greatest(1 - coalesce(q_all, 0), 0) AS qo,
    coalesce(js, 0) + coalesce(q_all, 0) / 2 AS js_words
    FROM b JOIN (SELECT *, {every} AS r_all FROM r) USING (lang) LEFT JOIN (SELECT lang, sum(q) AS q_all FROM common GROUP BY lang) USING (lang) LEFT JOIN js USING (doc_id))

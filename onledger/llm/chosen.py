@@ -4,7 +4,10 @@ Sets of shingles are split recursively: in each of RUNS independent runs a set f
 per level, by a hash that all sets share. Two sets of similarity s sample the same shingle with probability s, so they take the
 same turn. A bucket of at most ``bucket`` sets is searched by brute force; only larger ones are split by the next level. A pair
 at the threshold 0.8 is missed by all 16 runs with probability 7e-12 at the first level, 8e-8 at the second and 1e-5 at the
-third and last, where buckets of any size are searched. Candidates are verified on the full sets.
+third and last. Candidates are verified on the full sets. Sets that the last level leaves in a large bucket are mostly near
+copies of one text: there every pair may be a link, so pairs are not listed. Such a bucket is cut into chunks, every two chunks
+meet in one task, and a task returns for each set only its number of links and one edge to its component there. A pair that
+shares several buckets is counted in the first.
 
 Documents with equal sets are folded first: classes of copies are one set each, and only links between different sets are
 searched. Groups are the connected components of the links.
@@ -113,28 +116,32 @@ def sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     return keyed(docs, id_col, text_col).mapInArrow(run, SETS)
 
 
-def buckets(nodes: DataFrame, bucket: int) -> DataFrame:
-    """(key, node, n): where each set is searched. Keys of one set alone are dropped, keys of too many sets split further."""
-    rows = nodes.select("node", "n", F.explode("paths").alias("p")).select("node", "n", "p.*")
+def buckets(nodes: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Where each set is searched: (key, node, n) of ordinary buckets and (run, key, node, held) of those the last level leaves large.
+
+    Keys of one set alone are dropped, keys of too many sets split further.
+    """
+    rows = nodes.select("node", "n", F.posexplode("paths").alias("run", "p")).select("run", "node", "n", "p.*")
     found = None
     for level, following in (("one", "two"), ("two", "three"), ("three", None)):
         held = rows.groupBy(level).agg(F.count("*").alias("held")).filter("held > 1")
         counted = rows.join(held, level)
-        here = counted.filter(F.col("held") <= bucket) if following else counted
-        here = here.select(F.col(level).alias("key"), "node", "n")
+        here = counted.filter(F.col("held") <= bucket).select(F.col(level).alias("key"), "node", "n")
         found = here if found is None else found.unionByName(here)
+        rows = counted.filter(F.col("held") > bucket)
         if following:
-            rows = counted.filter(F.col("held") > bucket).drop("held")
-    return found
+            rows = rows.drop("held")
+    return found, rows.select("run", F.col("three").alias("key"), "node", "held")
 
 
-def candidates(nodes: DataFrame, bucket: int, threshold: float) -> DataFrame:
-    """Pairs of sets that share a bucket, whose sizes allow the threshold and whose samples agree often enough."""
-    where = B.keep(buckets(nodes, bucket), "near-buckets")
-    a = where.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
-    b = where.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+def candidates(where: DataFrame, dense: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets that share an ordinary bucket and no large one, whose sizes allow the threshold and whose samples agree often enough."""
+    where = where.join(dense.groupBy("node").agg(F.collect_set("key").alias("dense")), "node", "left")
+    a = where.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("dense").alias("dense_a"))
+    b = where.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("dense").alias("dense_b"))
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
-    pairs = a.join(b, "key").filter(fits).select("a", "b").distinct()
+    fits = fits & ~F.coalesce(F.arrays_overlap("dense_a", "dense_b"), F.lit(False))
+    pairs = a.withColumnRenamed("key", "key_a").join(b, (F.col("key_a") == F.col("key")) & fits).select("a", "b").distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     samples = RUNS * LEVELS
@@ -149,12 +156,8 @@ def candidates(nodes: DataFrame, bucket: int, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(alike, "a binary, b binary")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The candidate pairs whose full shingle sets reach the threshold."""
-    import fractions
-
-    share = fractions.Fraction(str(threshold))
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
+def bodies_of(docs: DataFrame, needed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, body): the compressed text of one document for each needed set."""
 
     def pack(batches):
         for batch in batches:
@@ -163,8 +166,98 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
                                               "body": pa.array([B.squeeze(t) for t in texts], pa.binary())})
 
     bodies = keyed(docs, id_col, text_col).mapInArrow(pack, "id long, text_key long, body binary")
-    own = (needed.join(bodies, needed["rep"]["id"].eqNullSafe(bodies["id"]) & (needed["rep"]["text_key"] == bodies["text_key"]))
-           .select("node", "body").dropDuplicates(["node"]))
+    first = needed.distinct().join(nodes.select("node", "rep"), "node")
+    return (first.join(bodies, first["rep"]["id"].eqNullSafe(bodies["id"]) & (first["rep"]["text_key"] == bodies["text_key"]))
+            .select("node", "body").dropDuplicates(["node"]))
+
+
+def common_shingles(left: list, right: list):
+    """Sizes of the intersections of two lists of sets, by products of slices of their incidence matrices."""
+    every, count = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    shared = every[count > 1]
+    places = []
+    for side in (left, right):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        value = np.concatenate(side)
+        at = np.minimum(np.searchsorted(shared, value), max(len(shared) - 1, 0))
+        good = shared[at] == value if len(shared) else np.zeros(len(value), bool)
+        places.append((row[good], at[good]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(shared), 4096):
+        x, y = (np.zeros((len(side), min(4096, len(shared) - lo)), np.float32) for side in (left, right))
+        for m, (row, at) in zip((x, y), places):
+            own = (at >= lo) & (at < lo + 4096)
+            m[row[own], at[own] - lo] = 1
+        out += x @ y.T
+    return np.rint(out).astype(np.int64)
+
+
+def crowded(dense: DataFrame, bodies: DataFrame, threshold: float, width: int, chunk: int) -> DataFrame:
+    """Links within large buckets: (a, b, links), a set, the root of its component among the two chunks that met, and its links there."""
+    import fractions
+
+    share = fractions.Fraction(str(threshold))
+    chunks = F.ceil(F.col("held") / chunk).cast("int")
+    keys = dense.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("run", "key"))).alias("keys"))
+    rows = dense.join(keys, "node").join(bodies, "node").withColumn("own", F.pmod(F.xxhash64("node", "key"), chunks).cast("int"))
+    rows = rows.withColumn("other", F.explode_outer(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.select("run", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "keys", "body")
+
+    def meet(key, table):
+        run, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        node, own = table.column("node").to_pylist(), np.array(table.column("own").to_pylist())
+        order = sorted(range(len(node)), key=lambda r: node[r])
+        matrix = np.zeros((len(node), RUNS), np.int64)
+        for r, found in enumerate(table.column("keys").to_pylist()):
+            for x in found:
+                matrix[r, x["run"]] = x["key"]
+        texts, sets_ = [B.expand(table.column("body")[r].as_py()) for r in range(len(node))], []
+        for lo, hi in slabs(texts):
+            hashes, _, first = shingles(texts[lo:hi], width)
+            sets_.extend(np.split(hashes, first[1:]))
+        left, right = ([r for r in order if own[r] == c] for c in (i, j))
+        out = {"a": [], "b": [], "links": []}
+        if left and right:
+            both = common_shingles([sets_[r] for r in left], [sets_[r] for r in right])
+            size = np.array([len(x) for x in sets_])
+            link = both * share.denominator >= share.numerator * (size[left][:, None] + size[right][None, :] - both)
+            for earlier in range(run):  # met before, in a bucket of that run
+                x, y = matrix[left, earlier], matrix[right, earlier]
+                link &= ~((x[:, None] == y[None, :]) & (x != 0)[:, None])
+            if i == j:
+                np.fill_diagonal(link, False)
+                label, count = np.arange(len(left)), link.sum(1)
+                while True:
+                    near = np.minimum(label, np.where(link, label[None, :], len(left)).min(1))
+                    if (near == label).all():
+                        break
+                    label = near
+                found = [(left[k], left[label[k]], count[k]) for k in range(len(left))]
+            else:
+                label, count = np.arange(len(left)), np.concatenate((link.sum(1), link.sum(0)))
+                while True:
+                    other = np.where(link, label[:, None], len(left)).min(0)
+                    near = np.minimum(label, np.where(link, other[None, :], len(left)).min(1))
+                    if (near == label).all():
+                        break
+                    label = near
+                found = [(left[k], left[label[k]], count[k]) for k in range(len(left))]
+                found += [(right[k], left[other[k]], count[len(left) + k]) for k in range(len(right)) if count[len(left) + k]]
+            for a, b, n in found:
+                if n:
+                    out["a"].append(node[a])
+                    out["b"].append(node[b])
+                    out["links"].append(int(n))
+        return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "links": pa.array(out["links"], pa.int64())})
+
+    return rows.groupBy("run", "key", "i", "j").applyInArrow(meet, "a binary, b binary, links long")
+
+
+def verified(pairs: DataFrame, own: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The candidate pairs whose full shingle sets reach the threshold."""
+    import fractions
+
+    share = fractions.Fraction(str(threshold))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a").join(
         own.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
 
@@ -196,7 +289,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links: smallest node reachable, by taking the smallest neighbouring label and jumping."""
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = B.keep(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "near-labels")
     while True:
         near = (edges.join(labels.select(F.col("node").alias("b"), F.col("root").alias("other")), "b")
@@ -210,7 +303,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("moved")
 
 
-def groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, bucket: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, bucket: int = 64, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group near-duplicate documents.
 
     Result, one row for each input row: doc_id, class_id (smallest id of its group), copy_of (smallest id with the same shingle
@@ -223,9 +316,15 @@ def groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, bucket: int
     nodes = B.keep(own.filter("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("rep"), F.min("doc_id").alias("rep_id"), F.max("n").alias("n"),
         F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "near-nodes")
-    pairs = B.keep(candidates(nodes, bucket, threshold), "near-pairs")
-    links = B.keep(verified(docs, nodes, pairs, threshold, width, id_col, text_col), "near-links")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    ordinary, dense = buckets(nodes, bucket)
+    dense = B.keep(dense, "near-dense")
+    pairs = B.keep(candidates(B.keep(ordinary, "near-buckets"), dense, nodes, threshold), "near-pairs")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(dense.select("node"))
+    bodies = B.keep(bodies_of(docs, needed, nodes, id_col, text_col), "near-bodies")
+    links = verified(pairs, bodies, threshold, width).withColumn("links", F.lit(1).cast("long"))
+    links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "links"))
+    links = B.keep(links.union(crowded(dense, bodies, threshold, width, chunk)), "near-links")
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = components(links).join(degree, "node").join(nodes.select("node", "rep_id"), "node")
     classes = linked.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     known = nodes.select("node", F.col("rep_id").alias("copy_of")).join(

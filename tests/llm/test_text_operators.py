@@ -151,8 +151,8 @@ def test_url_rules_and_templates(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_near_duplicates_equal_brute_force(spark, docs, texts, empty, bucket):
+@pytest.mark.parametrize(("bucket", "chunk"), [(64, 512), (2, 3), (2, 512)])
+def test_near_duplicates_equal_brute_force(spark, docs, texts, empty, bucket, chunk):
     from onledger.llm import chosen
 
     rng = random.Random(9)
@@ -190,7 +190,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts, empty, bucket):
     want = collections.Counter((i, smallest[root(k)], min(sets[keys[k]]), degree[k]) for k in range(len(keys)) for i in sets[keys[k]])
     want.update((i, i, i, 0) for i, t in every if not words(t))
     assert sum(degree.values()) > 20
-    assert bag(chosen.groups(frame, bucket=bucket).collect(), "doc_id", "class_id", "copy_of", "n_links") == want
+    assert bag(chosen.groups(frame, bucket=bucket, chunk=chunk).collect(), "doc_id", "class_id", "copy_of", "n_links") == want
     assert chosen.groups(docs).count() == docs.count()
     assert chosen.groups(empty).count() == 0
 
