@@ -7,7 +7,7 @@ from onledger.catalog.joins import CASES, LOGS, logs
 from onledger.functions import bigint
 from onledger.operators import aggregates as agg
 from onledger.plans import quality, signals
-
+from onledger.operators.scan import same_keys
 
 
 @query("agg_01_status_counts", """
@@ -37,9 +37,13 @@ def conditional(t):
  SELECT token, CAST(count(DISTINCT tx) AS BIGINT) AS txs, CAST(count(DISTINCT wallet) AS BIGINT) AS wallets,
    CAST(count(DISTINCT CASE WHEN side = 'buy' THEN origin END) AS BIGINT) AS buyers FROM swaps GROUP BY token""")
 def distinct(t):
-    return t.swaps.groupBy("token").agg(
-        F.countDistinct("tx").alias("txs"), F.countDistinct("wallet").alias("wallets"),
-        F.countDistinct(F.when(F.col("side") == "buy", F.col("origin"))).alias("buyers"))
+    # One distinct stage per column: several distinct counts in one aggregate would copy every row once for each of them.
+    buyer = F.when(F.col("side") == "buy", F.col("origin"))
+    out = t.swaps.select("token").distinct()
+    for name, column in (("txs", F.col("tx")), ("wallets", F.col("wallet")), ("buyers", buyer)):
+        counted = t.swaps.select("token", column.alias("_v")).distinct().groupBy("token").agg(F.count("_v").alias(name))
+        out = same_keys(out, counted, ["token"])
+    return out
 
 
 @query("agg_04_having", """

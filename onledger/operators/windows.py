@@ -71,8 +71,7 @@ def schedule_gaps(cases: DataFrame, observed: DataFrame, keys: Sequence[str], fi
         F.min(F.when(missing, F.col("step_at"))).alias("first_gap")).withColumn("has_gaps", F.col("missing") > 0)
 
 
-def greedy_pairs(rows: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str],
-                 max_rounds: int = 1000) -> DataFrame:
+def greedy_pairs(rows: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
     """Accept a row if neither its ``left`` nor its ``right`` value was accepted before, in ``order``.
 
     That is the first maximal matching in row order. Repeats of a (left, right) pair change nothing, so only the first of
@@ -82,7 +81,7 @@ def greedy_pairs(rows: DataFrame, group: Sequence[str], left: str, right: str, o
     place = F.struct(*order)
     pairs = rows.groupBy(*group, left, right).agg(F.min(place).alias("_at"))
     open_pairs, accepted = materialize(pairs, "pairs"), None
-    for _ in range(max_rounds):
+    while True:
         by_left = open_pairs.groupBy(*group, left).agg(F.min("_at").alias("_l"))
         by_right = open_pairs.groupBy(*group, right).agg(F.min("_at").alias("_r"))
         won = (open_pairs.join(by_left, [*group, left]).join(by_right, [*group, right])
@@ -94,6 +93,4 @@ def greedy_pairs(rows: DataFrame, group: Sequence[str], left: str, right: str, o
         open_pairs = materialize(rest, "pairs-open")
         if open_pairs.isEmpty():
             break
-    else:
-        raise RuntimeError(f"pairs still open after {max_rounds} rounds")
     return accepted.select(*group, left, right, "_at.*")
