@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as contract  # noqa: E402
+from onledger import catalog  # noqa: E402
 from onledger.bindings import BASE  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,7 +21,8 @@ SAMPLE = ("agg_07_exact_256_bit_sum", "agg_10_dense_histogram", "dec_08_swap_amo
 def test_registry():
     queries, checks = contract.queries(), contract.oracle_sql()
     assert set(checks) <= set(queries) and set(SAMPLE) <= set(checks) and contract.FLAGSHIP in queries
-    assert set(queries) - set(checks) == {"snk_04_file_manifest"}
+    core = set(catalog.load())
+    assert core <= set(queries) and core - set(checks) == {"snk_04_file_manifest"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
