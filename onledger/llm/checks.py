@@ -41,7 +41,7 @@ def _js(p: str, q: str) -> str:
 
 
 def quality_rules() -> str:
-    """The rules of ``quality.judge`` for at most LANGUAGES languages."""
+    """The rules of ``quality.judge``."""
     left = {n: f"length(regexp_replace(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for n, p in quality.CLASSES.items()}
     names = [*left, "space", "rest"]
     columns = ", ".join(f"{c} AS c_{n}" for n, c in left.items())

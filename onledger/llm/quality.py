@@ -18,7 +18,9 @@ CLASSES = {
     "upper": r"[^A-Z]+", "digit": r"[^0-9]+", "symbol": r"[^#*$%&|<>]+", "stop": r"[^.,;:]+", "mark": r"[^!?\"'()\-/@_=+~\[\]{}\\^`]+",
     "wide": r"[\x00-\x7F]+",
 }
-LANGUAGES = 64
+#: Up to so many rows and bytes of text a reference table is broadcast; larger ones are joined by shuffling.
+LIGHT_ROWS = 20_000
+LIGHT_BYTES = 4_000_000
 COMMON = 40
 SHORT = 5
 MIN_WORDS = 50
@@ -81,33 +83,38 @@ def part(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) / 2 + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) / 2
 
 
+def few(table: DataFrame, *texts: str) -> bool:
+    """Whether the rows of a stored table and the bytes of its texts are counted and found few enough to broadcast."""
+    found = table.agg(F.count("*").alias("n"), F.sum(sum((F.octet_length(c) for c in texts), F.lit(0)).cast("long")).alias("b")).first()
+    return found["n"] <= LIGHT_ROWS and (found["b"] or 0) <= LIGHT_BYTES
+
+
 def histogram_distances(base: DataFrame, docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(doc_id, text_key, lang) of ``base`` with char_distance and word_distance."""
     kinds = classes()
-    # Languages with a reference of their own: the most frequent ones, at most LANGUAGES; all others share one.
-    frequent = base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    named = [r["lang"] for r in frequent.collect()]
-    group = lambda c: F.when(c.isin(named), c).otherwise("*") if named else F.lit("*")
-    base = base.withColumn("tongue", group(F.col("lang")))
-    sums = base.groupBy("tongue").agg(*[F.sum(c).cast("double").alias(f"r_{n}") for n, c in kinds.items()], F.sum("n_words").alias("r_words"))
+    sums = base.groupBy("lang").agg(*[F.sum(c).cast("double").alias(f"r_{n}") for n, c in kinds.items()], F.sum("n_words").alias("r_words"))
 
     token = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
-                        group(F.coalesce(docs[lang_col].cast("string"), F.lit(""))).alias("tongue"))
-    token = token.select("tongue", F.xxhash64("text").alias("text_key"), F.explode_outer(words(F.lower("text"))).alias("word"))
+                        F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
+    token = token.select("lang", F.xxhash64("text").alias("text_key"), F.explode_outer(words(F.lower("text"))).alias("word"))
     short = token.filter(F.length("word").between(1, SHORT))
-    rank = Window.partitionBy("tongue").orderBy(F.desc("n"), "word")
-    common = (short.groupBy("tongue", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank))
-              .filter(F.col("r") <= COMMON).drop("r").join(sums.select("tongue", "r_words"), "tongue")
-              .select("tongue", "word", (F.col("n") / F.col("r_words")).alias("q")))
-    common = materialize(common, "quality-common")  # COMMON words for each of LANGUAGES + 1 references
-    seen = (short.join(F.broadcast(common), ["tongue", "word"]).groupBy("text_key", "tongue", "word")
-            .agg(F.count("*").cast("double").alias("n"), F.first("q").alias("q")))
+    rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common = (short.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank))
+              .filter(F.col("r") <= COMMON).drop("r").join(sums.select("lang", "r_words"), "lang")
+              .select("lang", "word", (F.col("n") / F.col("r_words")).alias("q")))
+    common = materialize(common, "quality-common")
+    total = common.groupBy("lang").agg(F.sum("q").alias("q_all"))
+    references = materialize(sums.join(total, "lang", "left"), "quality-references")
+    if few(common, "lang", "word"):
+        seen = (short.join(F.broadcast(common), ["lang", "word"]).groupBy("text_key", "lang", "word")
+                .agg(F.count("*").cast("double").alias("n"), F.first("q").alias("q")))
+    else:  # counted first, so that a frequent word arrives once for each text and the join can be split where it is skewed
+        seen = short.groupBy("text_key", "lang", "word").agg(F.count("*").cast("double").alias("n")).join(common, ["lang", "word"])
     # Equal texts of one language meet under one key; their counts are multiples of each other, their histograms equal.
-    keyed = base.groupBy("text_key", "tongue").agg(F.sum("n_words").cast("double").alias("all_words"))
-    total = common.groupBy("tongue").agg(F.sum("q").alias("q_all"))
-    words_of = (seen.join(keyed, ["text_key", "tongue"]).withColumn("p", F.col("n") / F.col("all_words"))
-                .groupBy("text_key", "tongue").agg(F.sum(part(F.col("p"), F.col("q")) - F.col("q") / 2).alias("js"), F.sum("p").alias("p_all")))
-    out = base.join(F.broadcast(sums), "tongue").join(F.broadcast(total), "tongue", "left").join(words_of, ["text_key", "tongue"], "left")
+    keyed = base.groupBy("text_key", "lang").agg(F.sum("n_words").cast("double").alias("all_words"))
+    words_of = (seen.join(keyed, ["text_key", "lang"]).withColumn("p", F.col("n") / F.col("all_words"))
+                .groupBy("text_key", "lang").agg(F.sum(part(F.col("p"), F.col("q")) - F.col("q") / 2).alias("js"), F.sum("p").alias("p_all")))
+    out = base.join(F.broadcast(references) if few(references, "lang") else references, "lang").join(words_of, ["text_key", "lang"], "left")
     chars = F.lit(0.0)
     r_all = sum((F.col(f"r_{n}") for n in kinds), F.lit(0.0))
     for name, count in kinds.items():

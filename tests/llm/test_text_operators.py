@@ -221,6 +221,26 @@ def test_quality_base_counts_and_verdict(spark, docs, texts, empty):
     assert all(found[i] for i in range(60)) and not found[100] and not found[101]
 
 
+@pytest.mark.parametrize("light_rows", [20_000, 0])
+def test_quality_reference_of_every_language(spark, monkeypatch, light_rows):
+    from onledger.llm import quality
+
+    monkeypatch.setattr(quality, "LIGHT_ROWS", light_rows)
+    rows = []
+    for k in range(90):
+        common = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "abcdefgh"]
+        for j in range(2 if k < 70 else 1):
+            rows.append((len(rows), " ".join(common[(i * (j + 1)) % 8] for i in range(120)), f"l{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality.judge(docs).collect()}
+    alone = [i for i, _, lang in rows if lang >= "l70"]
+    assert len(found) == len(rows)
+    # The only document of a language is its own reference.
+    assert all(abs(found[i].char_distance) < 1e-6 and abs(found[i].word_distance) < 1e-6 for i in alone)
+    one = quality.judge(docs.filter("lang = 'l69'")).collect()
+    assert all(math.isclose(r.word_distance, found[r.doc_id].word_distance, abs_tol=1e-9) for r in one)
+
+
 def kt_tree_log10(training, text, depth=4):
     """Log probability of a text after sequential counts, by the recursive definition of the weighting."""
     from onledger.llm import ctw
