@@ -22,6 +22,7 @@ CLASSES = {
 LIGHT_ROWS = 20_000
 LIGHT_BYTES = 4_000_000
 COMMON = 40
+#: Read by the SQL check only, which still leaves longer words out; the operator counts words of any length.
 SHORT = 5
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
@@ -97,19 +98,19 @@ def histogram_distances(base: DataFrame, docs: DataFrame, text_col: str, lang_co
     token = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
                         F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
     token = token.select("lang", F.xxhash64("text").alias("text_key"), F.explode_outer(words(F.lower("text"))).alias("word"))
-    short = token.filter(F.length("word").between(1, SHORT))
+    token = token.filter(F.col("word") != "")
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = (short.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank))
+    common = (token.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(rank))
               .filter(F.col("r") <= COMMON).drop("r").join(sums.select("lang", "r_words"), "lang")
               .select("lang", "word", (F.col("n") / F.col("r_words")).alias("q")))
     common = materialize(common, "quality-common")
     total = common.groupBy("lang").agg(F.sum("q").alias("q_all"))
     references = materialize(sums.join(total, "lang", "left"), "quality-references")
     if few(common, "lang", "word"):
-        seen = (short.join(F.broadcast(common), ["lang", "word"]).groupBy("text_key", "lang", "word")
+        seen = (token.join(F.broadcast(common), ["lang", "word"]).groupBy("text_key", "lang", "word")
                 .agg(F.count("*").cast("double").alias("n"), F.first("q").alias("q")))
     else:  # counted first, so that a frequent word arrives once for each text and the join can be split where it is skewed
-        seen = short.groupBy("text_key", "lang", "word").agg(F.count("*").cast("double").alias("n")).join(common, ["lang", "word"])
+        seen = token.groupBy("text_key", "lang", "word").agg(F.count("*").cast("double").alias("n")).join(common, ["lang", "word"])
     # Equal texts of one language meet under one key; their counts are multiples of each other, their histograms equal.
     keyed = base.groupBy("text_key", "lang").agg(F.sum("n_words").cast("double").alias("all_words"))
     words_of = (seen.join(keyed, ["text_key", "lang"]).withColumn("p", F.col("n") / F.col("all_words"))

@@ -241,6 +241,30 @@ def test_quality_reference_of_every_language(spark, monkeypatch, light_rows):
     assert all(math.isclose(r.word_distance, found[r.doc_id].word_distance, abs_tol=1e-9) for r in one)
 
 
+def test_quality_common_words_of_any_length(spark):
+    from onledger.llm import quality
+
+    rng = random.Random(3)
+    often = ["because", "zwischen", "などの言葉である", "information", "of"]
+    rows = [(i, " ".join(rng.choice(often) for _ in range(100))) for i in range(30)] + [(30, " ".join(["otherwise"] * 3 + [f"rareword{k}" for k in range(97)]))]
+    counts = {i: collections.Counter(t.split()) for i, t in rows}
+    every = collections.Counter(w for _, t in rows for w in t.split())
+    top = sorted(every, key=lambda w: (-every[w], w.encode()))[:quality.COMMON]
+
+    def distance(p, q):
+        kl = lambda a: sum(x * math.log2(x / ((x + y) / 2)) for x, y in a if x > 0)
+        return math.sqrt(max(kl(zip(p, q)) / 2 + kl(zip(q, p)) / 2, 0))
+
+    def bins(c):
+        shares = [c[w] / sum(c.values()) for w in top]
+        return [*shares, max(1 - sum(shares), 0)]
+
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id long, text string, lang string")).collect()}
+    for i, _ in rows:
+        assert math.isclose(found[i].word_distance, distance(bins(counts[i]), bins(every)), abs_tol=1e-6)
+    assert found[30].word_distance > quality.MAX_WORD_DISTANCE and not found[30].kept
+
+
 def kt_tree_log10(training, text, depth=4):
     """Log probability of a text after sequential counts, by the recursive definition of the weighting."""
     from onledger.llm import ctw
