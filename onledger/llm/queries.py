@@ -102,3 +102,10 @@ def op4(spark, folder):
     from onledger.llm import urls
 
     return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark, folder):
+    from onledger.llm import overlaps
+
+    return overlaps.compare(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
