@@ -47,7 +47,7 @@ class Words:
         for lo in range(0, len(starts), T.SLAB):
             own = starts[lo:lo + T.SLAB]
             first = own[0]
-            out[lo:lo + T.SLAB] = T.Prefix(codes[first:own[-1] + width], which).spans(own - first, own - first + width)
+            out[lo:lo + T.SLAB] = T.sound_windows(codes[first:own[-1] + width], width, which)[own - first]
         return out
 
 

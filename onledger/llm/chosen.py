@@ -42,7 +42,7 @@ def shingles(texts: list[bytes], width: int):
     few = np.flatnonzero((count > 0) & (count < width))
     n = max(len(doc) - width + 1, 0)
     whole = np.flatnonzero(doc[:n] == doc[width - 1:]) if n else np.zeros(0, np.int64)
-    keys = np.concatenate((prefix.windows(width)[whole], prefix.spans(begin[few], begin[few + 1])))
+    keys = np.concatenate(((prefix.windows(width) if width <= T.PART else T.sound_windows(prefix.codes, width))[whole], prefix.spans(begin[few], begin[few + 1])))
     owner = np.concatenate((doc[whole], few))
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]

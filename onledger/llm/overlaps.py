@@ -12,11 +12,14 @@ sides, so chunks are independent, common ones are encoded once per worker, and n
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +31,10 @@ MADE = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links lon
         "times array<int>, pairs array<long>, held array<long>")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BREAK = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
 BLOCK_BYTES = 6 << 20
 SLAB = 60_000
-KNOWN = 400_000
+READ = 6 << 20
+KNOWN = 1_000_000
 _LOADED: dict = {}
 
 
@@ -53,6 +56,7 @@ class Sides:
     """Both tokenizers, the bytes of their entries, and the tokens of the chunks met so far."""
 
     def __init__(self, left: str, right: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -68,14 +72,30 @@ class Sides:
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
         n, m = len(self.a_bytes), len(self.b_bytes)
         self.names = pa.array([f"{i}," for i in range(n)] + [f"{i}|" for i in range(n)] + [f"{i}," for i in range(m)] + [f"{i};" for i in range(m)])
-        self.forget()
+        self.known = pa.array([], pa.string())
+        self.odd: set = set()  # chunks that a side does not give back
+        self.ids, self.count = ([[np.zeros(0, kind)] for _ in range(2)] for kind in (np.int32, np.int64))
+        self.used = np.zeros(0, np.int64)
+        self.ready = None
 
     def forget(self):
-        self.known: dict = {}
-        self.good: list = []
-        self.ids: list = [[], []]  # arrays of ids, one for each lot of new chunks
-        self.count: list = [[], []]
-        self.ready = None
+        """Keep the half of the chunks that was used most; the others come again when they are met."""
+        self.settle()
+        keep = np.sort(np.argsort(-self.used[:len(self.known)], kind="stable")[:KNOWN // 2])
+        place = np.full(len(self.known), -1)
+        place[keep] = np.arange(len(keep))
+        self.known = self.known.take(pa.array(keep))
+        self.odd = {int(place[i]) for i in self.odd} - {-1}
+        for side in (0, 1):
+            count = self.count[side][0][keep]
+            self.ids[side] = [self.ids[side][0][ragged(self.ready[side][keep], count)]]
+            self.count[side] = [count]
+        self.used, self.ready = self.used[keep] // 2, None
+
+    def settle(self):
+        if self.ready is None:
+            self.count, self.ids = ([[np.concatenate(x)] for x in y] for y in (self.count, self.ids))
+            self.ready = [np.cumsum(c[0]) - c[0] for c in self.count]
 
     def encode(self, texts: list):
         """Ids of both sides for each text."""
@@ -86,29 +106,40 @@ class Sides:
         raw = b" " + text.encode()
         return b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
 
-    def learn(self, texts: list):
-        """Number the chunks that are new."""
-        fresh = [t for t in dict.fromkeys(texts) if t not in self.known]
-        if not fresh:
-            return
-        at = len(self.good)
-        a, b = self.encode(fresh)
-        for i, (t, x, y) in enumerate(zip(fresh, a, b)):
-            self.known[t] = at + i
-            self.good.append(self.agrees(t, x, y))
-        for side, found in enumerate((a, b)):
-            self.count[side].append(np.array([len(x) for x in found], np.int64))
-            self.ids[side].append(np.array([i for x in found for i in x], np.int32))
+    def numbers(self, texts: pa.Array):
+        """Numbers of different chunks; new ones are encoded."""
+        place = pc.index_in(texts, value_set=self.known)
+        fresh = texts.filter(place.is_null())
+        at = len(self.known)
+        if len(fresh):
+            self.encode_new(at, fresh.to_pylist())
+            self.known = pa.concat_arrays([self.known, fresh])
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = np.arange(at, len(self.known))
+        return place
+
+    def encode_new(self, at: int, fresh: list):
+        found, raw = self.encode(fresh), [b" " + t.encode() for t in fresh]
+        for side, names in enumerate((self.a_bytes, self.b_bytes)):
+            count = np.array([len(x) for x in found[side]], np.int64)
+            ids = np.fromiter(itertools.chain.from_iterable(found[side]), np.int32, int(count.sum()))
+            if b"".join([names[i] for i in ids.tolist()]) != b"".join(raw) or (np.add.reduceat(self.sizes[side][ids], np.cumsum(count) - count) != [len(r) for r in raw]).any():
+                self.odd.update(at + i for i, t in enumerate(fresh) if not self.agrees(t, found[0][i], found[1][i]))
+            self.count[side].append(count)
+            self.ids[side].append(ids)
         self.ready = None
 
     def tokens(self, side: int, chunks):
         """Ids of the chunks one after another, and how many each chunk has."""
-        if self.ready is None:
-            self.count, self.ids = ([[np.concatenate(x)] for x in y] for y in (self.count, self.ids))
-            self.ready = [np.cumsum(c[0]) - c[0] for c in self.count]
+        self.settle()
         count = self.count[side][0][chunks]
         return self.ids[side][0][ragged(self.ready[side][chunks], count)], count
 
+    def use(self, chunks):
+        count = np.bincount(chunks, minlength=len(self.known))
+        count[:len(self.used)] += self.used
+        self.used = count
+
 
 def sides(left: str, right: bytes) -> Sides:
     key = hashlib.sha256(left.encode() + right).digest()
@@ -137,27 +168,55 @@ class Block:
         self.s, self.ids, self.sha, self.sums, self.pairs, self.size = s, [], [], [], [], 0
         self.waiting: list = []  # (document, chunk numbers, last of its document)
         self.held = 0
+        self.pending: list = []  # (document, text)
+        self.unread = 0
 
     def add(self, doc_id, text: str | None):
-        doc = len(self.ids)
+        if text:
+            self.pending.append((len(self.ids), text))
+            self.unread += len(text)
         self.ids.append(doc_id)
         self.sha.append(None)
         self.size += 64 + len(text or "")
-        if not text:
+        if self.unread >= READ:
+            self.read()
+
+    def read(self):
+        """Cut the pending texts into numbered chunks."""
+        if not self.pending:
             return
-        s = self.s
+        pending, self.pending, self.unread, s = self.pending, [], 0, self.s
         if len(s.known) > KNOWN:
             self.flush()
             s.forget()
-        chunks = BREAK.split(text) if UNSAFE.search(text) else text.split(" ")
-        s.learn(chunks)
-        numbers = np.fromiter((s.known[c] for c in chunks), np.int64, len(chunks))
-        if not all(s.good[i] for i in set(numbers.tolist())):
-            (a,), (b,) = s.encode([text])
-            if not s.agrees(text, a, b):
-                return
-            s.learn([text])  # only the whole text agrees
-            numbers = np.array([s.known[text]])
+        cut = pc.split_pattern(pa.array([t for _, t in pending]), " ")
+        coded = cut.values.dictionary_encode()
+        distinct, edge = coded.dictionary, cut.offsets.to_numpy()
+        safe = pc.and_(pc.equal(pc.utf8_trim_whitespace(distinct), distinct), pc.not_equal(distinct, ""))  # else cut with care
+        number = np.full(len(distinct), -1)
+        number[safe.to_numpy(zero_copy_only=False)] = s.numbers(distinct.filter(safe))
+        chunks = number[coded.indices.to_numpy()]
+        odd = np.zeros(len(s.known) + 1, bool)
+        odd[[-1, *s.odd]] = True
+        odd = odd[chunks]
+        for (doc, text), lo, hi in zip(pending, edge[:-1].tolist(), edge[1:].tolist()):
+            own = chunks[lo:hi]
+            if odd[lo:hi].any():
+                own = self.careful(text)
+            if own is not None:
+                self.put(doc, own)
+
+    def careful(self, text: str):
+        """Chunks of a text with other white space, or that not both sides give back; None if they don't as a whole."""
+        s, parts = self.s, BREAK.split(text)
+        distinct = list(dict.fromkeys(parts))
+        place = dict(zip(distinct, s.numbers(pa.array(distinct)).tolist()))
+        if s.odd.isdisjoint(place.values()):
+            return np.array([place[c] for c in parts], np.int64)
+        (a,), (b,) = s.encode([text])
+        return s.numbers(pa.array([text])) if s.agrees(text, a, b) else None  # only the whole text agrees
+
+    def put(self, doc: int, numbers):
         self.sha[doc] = hashlib.sha256()
         for lo in range(0, len(numbers), SLAB):
             part = numbers[lo:lo + SLAB]
@@ -174,6 +233,7 @@ class Block:
         self.waiting, self.held = [], 0
         chunks = np.concatenate([w[1] for w in waiting])
         doc_of = np.repeat([w[0] for w in waiting], [len(w[1]) for w in waiting])
+        s.use(chunks)
         (a, a_count), (b, b_count) = s.tokens(0, chunks), s.tokens(1, chunks)
         a_doc, b_doc = np.repeat(doc_of, a_count), np.repeat(doc_of, b_count)
         one, two, a_group, b_group, both = align(s.sizes[0][a], a_doc, s.sizes[1][b], b_doc)
@@ -202,6 +262,7 @@ class Block:
         return found // len(kinds), kinds[found % len(kinds)], times
 
     def finish(self, block: int) -> pa.RecordBatch:
+        self.read()
         self.flush()
         n = len(self.ids)
         sums = np.zeros((4, n), np.int64)

@@ -109,3 +109,17 @@ def op11(spark, folder):
     from onledger.llm import overlaps
 
     return overlaps.compare(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+@query("op13_spelling_variants")
+def op13(spark, folder):
+    from onledger.llm import variants
+
+    return variants.group(table(spark, folder, "documents"))
+
+
+@query("op12_minhash_groups")
+def op12(spark, folder):
+    from onledger.llm import collisions
+
+    return collisions.groups(table(spark, folder, "documents"))

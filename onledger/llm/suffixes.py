@@ -10,7 +10,8 @@ runs of equal anchors, so
    megabyte of groups finds the windows that repeat (see ``bwt``);
 3. a group above ``GROUP`` runs (a passage that very many documents share) would not stay bounded. Its windows select again,
    among strings nearly as long as a window, which drops what is around the passage, and the windows left are counted by
-   128-bit hashes, one row for each different window of a block. That is exact as well.
+   128-bit hashes, one row for each different window of a block. Two different windows are taken for equal there with a
+   probability of 2**-128 a pair; everything else compares the bytes themselves.
 """
 
 from __future__ import annotations
@@ -119,8 +120,8 @@ def hot_windows(rows, length, k, hot_keys):
         if len(hot):
             fine, _ = slab.anchors(length - FINE)
             at = slab.starts[hot]
-            second = T.Prefix(T.CODES[1][slab.buffer], 1)
-            out.append((T.mix(fine[hot]), slab.prefix.spans(at, at + length), second.spans(at, at + length), *slab.position(hot)))
+            one, two = (T.sound_windows(T.CODES[i][slab.buffer], length, i)[at] for i in (0, 1))
+            out.append((T.mix(fine[hot]), one, two, *slab.position(hot)))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (*(np.zeros(0, U) for _ in range(3)), *(np.zeros(0, np.int64) for _ in range(2)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -10,6 +12,7 @@ ODD = U(0x9E3779B97F4A7C15)
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 SLAB = 1 << 20
+PART = 64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -44,17 +47,27 @@ def powers(which: int, n: int):
 
 
 class Prefix:
-    """Hashes of arbitrary spans of a sequence of 64-bit codes: polynomial modulo 2**64 with an odd base, then mixed."""
+    """Hashes of arbitrary spans of a sequence of 64-bit codes: polynomial modulo 2**64 with an odd base, then mixed.
+
+    Such a polynomial is sound for short spans only: sequences of 1 024 and more items exist that collide under every odd base.
+    So spans above PART items are digested by BLAKE2 instead. ``windows`` is for widths up to PART, or where a collision does no
+    harm; see ``sound_windows`` for others.
+    """
 
     def __init__(self, codes, which: int = 0):
         n = len(codes)
         power, self.inverse = powers(which, n + 1)
+        self.codes, self.which = codes, which
         self.total = np.zeros(n + 1, U)
         np.cumsum(codes * power[:n], out=self.total[1:])
 
     def spans(self, start, end):
         raw = (self.total[end] - self.total[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(U) * ODD)
+        out = mix(raw + (end - start).astype(U) * ODD)
+        for i in np.flatnonzero(end - start > PART).tolist():
+            digest = hashlib.blake2b(self.codes[start[i]:end[i]].tobytes(), digest_size=8, salt=bytes([self.which]))
+            out[i] = int.from_bytes(digest.digest(), "little")
+        return out
 
     def windows(self, width: int):
         """Hash of every span of the given width, by start."""
@@ -65,6 +78,26 @@ class Prefix:
         return mix((self.total[width:] - self.total[:n - width + 1]) * self.inverse[:n - width + 1] + length)
 
 
+def sound_windows(codes, width: int, which: int = 0):
+    """Hash of every window of the given width, by start, without polynomials of more than PART items.
+
+    A wider window is hashed as the sequence of its parts of PART items and, for what is left, its last part; each level is
+    mixed before the next, which no sequence of codes undoes.
+    """
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    parts = Prefix(codes, which).windows(min(width, PART))
+    if width <= PART:
+        return parts
+    lines = -(-len(parts) // PART)
+    grid = np.zeros(lines * PART, U)
+    grid[:len(parts)] = parts
+    over = sound_windows(np.ascontiguousarray(grid.reshape(lines, PART).T).ravel(), width // PART, which)  # parts that follow each other side by side
+    start = np.arange(n)
+    return mix(over[start % PART * lines + start // PART] * ODD + mix(parts[width - PART:] ^ U(width)))
+
+
 def word_spans(buffer, space=SPACE):
     """Starts and ends of the maximal runs of bytes that are no white space."""
     inside = ~space[buffer]
