@@ -1,7 +1,8 @@
 """Bound inputs: the supplied tables seen as on-chain trading tables.
 
-Each view is one SQL text that both Spark and DuckDB run, so a query and its check start from the same rows. Three macros
-hide the dialect: ``EPOCH(ts)`` whole seconds since 1970, ``IDIV(a, b)`` integer quotient, ``TEXT(x)`` cast to text.
+Each view is one SQL text that both Spark and DuckDB run, so a query and its check start from the same rows. Four macros
+hide the dialect: ``EPOCH(ts)`` whole seconds since 1970, ``IDIV(a, b)`` integer quotient, ``TEXT(x)`` cast to text,
+``ATOMIC(x)`` x times 10**18 in a type of 38 digits.
 """
 
 from __future__ import annotations
@@ -38,11 +39,16 @@ VIEWS: dict[str, str] = {
     "flows": """
       SELECT tx, log_index, pool, wallet, origin, token, ts, block, side, token_amount AS quantity,
         quote_amount AS quote, gas FROM swaps""",
+    # the same in atomic units of a token with 18 decimals, beyond 64 bits
+    "atomic_flows": """
+      SELECT tx, log_index, pool, wallet, origin, token, ts, block, side, ATOMIC(token_amount) AS quantity,
+        quote_amount AS quote, gas FROM swaps""",
     "transfers": """
       SELECT l.l_orderkey AS tx, CAST(l.l_linenumber AS BIGINT) AS log_index, p.p_brand AS token,
         CASE WHEN l.l_linenumber = 1 THEN '0x0' ELSE TEXT(l.l_suppkey) END AS sender,
         TEXT(o.o_custkey) AS recipient, CAST(round(l.l_quantity) AS BIGINT) AS amount, EPOCH(l.l_shipdate) AS ts
       FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey""",
+    "atomic_transfers": "SELECT tx, log_index, token, sender, recipient, ATOMIC(amount) AS amount, ts FROM transfers",
     # one row per order: transaction header
     "txs": """
       SELECT o_orderkey AS tx, o_custkey AS origin, o_orderstatus AS status_code, o_orderpriority AS priority,
@@ -167,7 +173,7 @@ VIEWS["observed"] = VIEWS["observed"].replace("FLAGS", ", ".join(
     f"CASE WHEN id % 3 = 0 THEN 'pass' ELSE CASE (id + {3 * k}) % 40 WHEN 0 THEN 'fail' WHEN 1 THEN NULL ELSE 'pass' END END"
     f" AS {flag}" for k, flag in enumerate(RISK_FLAGS)))
 
-_MACRO = re.compile(r"\b(EPOCH|IDIV|TEXT)\(")
+_MACRO = re.compile(r"\b(EPOCH|IDIV|TEXT|ATOMIC)\(")
 
 
 def _expand(text: str, spark: bool) -> str:
@@ -186,6 +192,9 @@ def _expand(text: str, spark: bool) -> str:
             new = f"unix_seconds(CAST({args[0]} AS TIMESTAMP))" if spark else f"CAST(floor(epoch({args[0]})) AS BIGINT)"
         elif name == "IDIV":
             new = f"(({args[0]}) div ({args[1]}))" if spark else f"(({args[0]}) // ({args[1]}))"
+        elif name == "ATOMIC":
+            new = (f"CAST(CAST({args[0]} AS DECIMAL(19,0)) * 1000000000000000000 AS DECIMAL(38,0))" if spark
+                   else f"(CAST({args[0]} AS HUGEINT) * 1000000000000000000)")
         else:
             new = f"CAST({args[0]} AS STRING)" if spark else f"CAST({args[0]} AS VARCHAR)"
         text = text[:hit.start()] + new + text[i:]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from onledger.catalog import query
 from onledger.catalog import rawlogs as raw
 from onledger.functions import decode as d
+from onledger.functions import wide
 from onledger.plans import attribution as at
 from onledger.plans import ledger
 from onledger.sources.readers import parse_logs, parse_receipts
@@ -109,38 +110,39 @@ def referential_orphans(t):
 
 def traces(t):
     """Call trees three levels deep: the order, its lines, and a refund below some lines."""
+    atomic = lambda x: F.concat(x.cast("string"), F.lit("0" * 18))
     leaf = F.when(C("gas") > 500, F.array(F.struct(
         F.lit("CALL").alias("type"), C("wallet").cast("string").alias("from"), C("origin").cast("string").alias("to"),
-        C("gas").cast("string").alias("value"))))
+        atomic(C("gas")).alias("value"))))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("call", "DELEGATECALL", "CREATE", "SELFDESTRUCT")]),
                         (C("log_index") % 4 + 1).cast("int"))
     line = F.struct(
         kind.alias("type"), F.lit(str(ROUTER)).alias("from"), C("wallet").cast("string").alias("to"),
-        C("quote_amount").cast("string").alias("value"), F.when(C("side") == "sell", "execution reverted").alias("error"),
+        atomic(C("quote_amount")).alias("value"), F.when(C("side") == "sell", "execution reverted").alias("error"),
         leaf.alias("calls"))
     lines = t.swaps.groupBy("tx").agg(F.collect_list(line).alias("calls"))
     return t.txs.join(lines, "tx").select("tx", F.to_json(F.struct(
         F.lit("CALL").alias("type"), C("origin").cast("string").alias("from"), F.lit(str(ROUTER)).alias("to"),
-        C("total_cents").cast("string").alias("value"),
+        atomic(C("total_cents")).alias("value"),
         F.when((C("status_code") == "P") & (C("tx") % 3 == 0), "out of gas").alias("error"), "calls")).alias("trace"))
 
 
 LIVE = f""" live AS (SELECT s.*, x.total_cents, x.origin AS root FROM swaps s JOIN txs x USING (tx)
    WHERE NOT (x.status_code = 'P' AND tx % 3 = 0)),
- fr AS (SELECT DISTINCT tx, TEXT(root) AS sender, '{ROUTER}' AS recipient, total_cents AS v, 'CALL' AS kind FROM live
-   UNION ALL SELECT tx, '{ROUTER}', TEXT(wallet), quote_amount,
+ fr AS (SELECT DISTINCT tx, TEXT(root) AS sender, '{ROUTER}' AS recipient, ATOMIC(total_cents) AS v, 'CALL' AS kind FROM live
+   UNION ALL SELECT tx, '{ROUTER}', TEXT(wallet), ATOMIC(quote_amount),
      CASE log_index % 4 WHEN 0 THEN 'CALL' WHEN 1 THEN 'DELEGATECALL' WHEN 2 THEN 'CREATE' ELSE 'SELFDESTRUCT' END
      FROM live WHERE side = 'buy'
-   UNION ALL SELECT tx, TEXT(wallet), TEXT(root), gas, 'CALL' FROM live WHERE side = 'buy' AND gas > 500)"""
+   UNION ALL SELECT tx, TEXT(wallet), TEXT(root), ATOMIC(gas), 'CALL' FROM live WHERE side = 'buy' AND gas > 500)"""
 
 
 @query("pip_04_trace_native_delta", "WITH" + LIVE + """,
  d AS (SELECT tx, sender AS wallet, -v AS v FROM fr WHERE kind <> 'DELEGATECALL'
    UNION ALL SELECT tx, recipient, v FROM fr WHERE kind <> 'DELEGATECALL')
- SELECT tx, wallet, CAST(sum(v) AS DECIMAL(38,0)) AS delta FROM d GROUP BY tx, wallet""")
+ SELECT tx, wallet, TEXT(sum(v)) AS delta FROM d GROUP BY tx, wallet""")
 def trace_native_delta(t):
     frames = at.flatten_frames(traces(t))
-    return at.native_deltas(frames, d.wide_quantity(C("value")))
+    return at.native_deltas(frames, d.wide_quantity(C("value"))).withColumn("delta", wide.to_text(C("delta")))
 
 
 @query("pip_05_deployment_origin", "WITH" + LIVE + """
@@ -299,5 +301,5 @@ def pool_keys(t):
     logs = logs.withColumn("made", d.pool_created(C("address"), C("topics"), C("words")))
     creation = logs.filter("pool % 9 <> 2 AND made IS NOT NULL").select("tx", C("made.pool").alias("pool"), "words")
     pools = t.part.filter("p_partkey % 3 = 2").select((C("p_partkey") * 3).alias("tx"), raw.hash32(C("p_partkey")).alias("pool"))
-    tick = d.signed(F.try_element_at("words", F.lit(2))).cast("bigint")
+    tick = wide.to_decimal(d.signed(F.try_element_at("words", F.lit(2)))).cast("bigint")
     return at.pool_keys(pools, creation, tick)

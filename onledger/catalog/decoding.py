@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from onledger.catalog import query
 from onledger.catalog import rawlogs as raw
 from onledger.functions import decode as d
-from onledger.functions import timing
+from onledger.functions import timing, wide
+from onledger.functions.pin import pinned
 from onledger.functions.guards import clamp, finite, fraction
 from onledger.sources.readers import parse_logs
 
@@ -45,10 +46,10 @@ def address(t):
 
 
 @query("dec_04_signed_word", """
- SELECT tx, log_index, pool, wallet, CASE WHEN side = 'buy' THEN quote_amount ELSE -quote_amount END AS amount FROM swaps""")
+ SELECT tx, log_index, pool, wallet, TEXT(CASE WHEN side = 'buy' THEN quote_amount ELSE -quote_amount END) AS amount FROM swaps""")
 def signed_word(t):
     value = F.when(C("side") == "buy", C("quote_amount")).otherwise(-C("quote_amount"))
-    return t.spread().swaps.select(*KEY, d.signed(raw.word(value)).cast("bigint").alias("amount"))
+    return t.spread().swaps.select(*KEY, wide.to_text(d.signed(raw.word(value))).alias("amount"))
 
 
 @query("dec_05_event_kind", """
@@ -89,25 +90,25 @@ def pool_key(t):
 
 @query("dec_08_swap_amounts", """
  WITH s AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS sgn FROM swaps)
- SELECT tx, log_index, pool, wallet, CASE WHEN pool % 2 = 0 THEN quote_amount * sgn ELSE -token_amount * sgn END AS amount0,
-   CASE WHEN pool % 2 = 0 THEN -token_amount * sgn ELSE quote_amount * sgn END AS amount1 FROM s""")
+ SELECT tx, log_index, pool, wallet, TEXT(CASE WHEN pool % 2 = 0 THEN quote_amount * sgn ELSE -ATOMIC(token_amount) * sgn END) AS amount0,
+   TEXT(CASE WHEN pool % 2 = 0 THEN -ATOMIC(token_amount) * sgn ELSE quote_amount * sgn END) AS amount1 FROM s""")
 def swap_amounts(t):
     pair = d.swap_amounts(C("log_topics"), C("words"))
-    return parsed(t).withColumn("p", pair).select(
-        *KEY, C("p.amount0").cast("bigint").alias("amount0"), C("p.amount1").cast("bigint").alias("amount1"))
+    return pinned(parsed(t), "p", pair).select(
+        *KEY, wide.to_text(C("p.amount0")).alias("amount0"), wide.to_text(C("p.amount1")).alias("amount1"))
 
 
 @query("dec_09_transfer", """
  SELECT tx, log_index, '0x' || lpad(lower(to_hex(CAST(regexp_extract(token, '(\\d+)$', 1) AS BIGINT))), 40, '0') AS token,
    '0x' || lpad(lower(to_hex(CASE WHEN sender = '0x0' THEN 0 ELSE CAST(sender AS BIGINT) END)), 40, '0') AS sender,
-   '0x' || lpad(lower(to_hex(CAST(recipient AS BIGINT))), 40, '0') AS recipient, amount
+   '0x' || lpad(lower(to_hex(CAST(recipient AS BIGINT))), 40, '0') AS recipient, TEXT(amount) AS amount
  FROM transfers WHERE tx % 9 <> 0""")
 def transfer(t):
     rows = raw.transfer_logs(t.spread().transfers)
     rows = rows.withColumn("words", d.words(C("data")))
     moved = d.transfer(C("address"), C("topics"), C("words"))
     return rows.withColumn("m", moved).filter("m IS NOT NULL").select(
-        "tx", "log_index", "m.token", "m.sender", "m.recipient", d.unsigned(C("m.word")).cast("bigint").alias("amount"))
+        "tx", "log_index", "m.token", "m.sender", "m.recipient", wide.to_text(d.unsigned(C("m.word"))).alias("amount"))
 
 
 @query("dec_10_text", """
@@ -139,14 +140,14 @@ def units(t):
 
 @query("dec_13_direction", """
  SELECT tx, log_index, pool, wallet, '0x' || lpad(lower(to_hex(CAST(regexp_extract(token, '(\\d+)$', 1) AS BIGINT))), 40, '0')
-   AS token, side, token_amount, quote_amount FROM swaps""")
+   AS token, side, TEXT(ATOMIC(token_amount)) AS token_amount, TEXT(quote_amount) AS quote_amount FROM swaps""")
 def direction(t):
     pair = d.swap_amounts(C("log_topics"), C("words"))
-    rows = parsed(t).withColumn("p", pair)
+    rows = pinned(parsed(t), "p", pair)
     made = d.direction(C("token0"), C("token1"), C("p.amount0"), C("p.amount1"))
-    return rows.select(*KEY, made.alias("m")).select(
-        *KEY, "m.token", "m.side", C("m.token_amount").cast("bigint").alias("token_amount"),
-        C("m.quote_amount").cast("bigint").alias("quote_amount"))
+    return pinned(rows, "m", made).select(
+        *KEY, "m.token", "m.side", wide.to_text(C("m.token_amount")).alias("token_amount"),
+        wide.to_text(C("m.quote_amount")).alias("quote_amount"))
 
 
 @query("dec_14_json_paths", """

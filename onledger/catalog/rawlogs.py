@@ -12,6 +12,18 @@ def word(value: Column) -> Column:
     return F.when(value < 0, F.lpad(plain, 64, "f")).otherwise(F.lpad(plain, 64, "0"))
 
 
+def wide_word(value: Column) -> Column:
+    """DECIMAL(38,0) below 2**127 as a 32-byte two's-complement word: the two low halves of the value, or of minus it less one, flipped."""
+    half = 1 << 64
+    dec = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    below = value < 0
+    n = F.when(below, F.lit(-1).cast("decimal(1,0)") - value).otherwise(value).cast("decimal(38,0)")
+    low = F.pmod(n, dec(half))
+    high = ((n - low).cast("decimal(38,0)") / dec(half)).cast("decimal(20,0)")
+    part = lambda x: F.lpad(F.lower(F.conv(F.when(below, dec(half - 1) - x).otherwise(x).cast("decimal(20,0)").cast("string"), 10, 16)), 16, "0")
+    return F.concat(F.when(below, "f" * 32).otherwise("0" * 32), part(high), part(low))
+
+
 def hexq(value: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(value)))
 
@@ -33,19 +45,22 @@ def token_number(token: Column) -> Column:
 
 
 def swap_logs(swaps: DataFrame) -> DataFrame:
-    """Swap logs in three layouts (by pool number), with pool and quote side known from the pool number."""
+    """Swap logs in three layouts (by pool number), with pool and quote side known from the pool number. Token amounts are in
+    atomic units of 18 decimals, beyond 64 bits."""
     c = F.col
     sign = F.when(c("side") == "buy", 1).otherwise(-1)
     native0 = c("pool") % 2 == 0
-    base = swaps.withColumns({"dq": c("quote_amount") * sign, "dt": -c("token_amount") * sign, "version": 2 + c("pool") % 3})
-    base = base.withColumns({"a0": F.when(native0, c("dq")).otherwise(c("dt")),
-                             "a1": F.when(native0, c("dt")).otherwise(c("dq"))})
+    base = swaps.withColumns({"dq": c("quote_amount") * sign, "dt": (c("token_amount").cast("decimal(19,0)") * F.lit(10 ** 18) * -sign).cast("decimal(38,0)"), "version": 2 + c("pool") % 3})
+    base = base.withColumns({"a0": F.when(native0, c("dq").cast("decimal(38,0)")).otherwise(c("dt")),
+                             "a1": F.when(native0, c("dt")).otherwise(c("dq").cast("decimal(38,0)"))})
     zero = F.lit(0).cast("bigint")
     z = word(zero)
     who = hash32(c("wallet"))
-    v2 = data(*[word(F.greatest(x, zero)) for x in (c("a0"), c("a1"), -c("a0"), -c("a1"))])
-    v3 = data(word(c("a0")), word(c("a1")), z, z, z)
-    v4 = data(word(-c("a0")), word(-c("a1")), z, z, z, z)
+    none = F.lit(0).cast("decimal(38,0)")
+    minus = lambda x: (none - x).cast("decimal(38,0)")
+    v2 = data(*[wide_word(F.greatest(x, none)) for x in (c("a0"), c("a1"), minus(c("a0")), minus(c("a1")))])
+    v3 = data(wide_word(c("a0")), wide_word(c("a1")), z, z, z)
+    v4 = data(wide_word(minus(c("a0"))), wide_word(minus(c("a1"))), z, z, z, z)
     pick = lambda a, b, e: F.when(c("version") == 2, a).when(c("version") == 3, b).otherwise(e)
     topics = pick(F.array(F.lit(d.TOPIC_SWAP_V2), who, who), F.array(F.lit(d.TOPIC_SWAP_V3), who, who),
                   F.array(F.lit(d.TOPIC_SWAP_V4), hash32(c("pool")), who))

@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from onledger.catalog import query
+from onledger.functions import amounts, wide
 from onledger.operators import lots
 from onledger.plans import wallets
 
 # The check matches pairs of overlapping intervals, a different method from the job's lookups along the position line.
 FIFO_CTES = """
  o AS (SELECT *, row_number() OVER (PARTITION BY wallet, token
-         ORDER BY ts, tx, log_index, pool, origin, quantity, quote, gas, side) AS rn FROM flows),
+         ORDER BY ts, tx, log_index, pool, origin, quantity, quote, gas, side) AS rn FROM atomic_flows),
  r AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER w AS s,
          sum(CASE WHEN side = 'buy' THEN quantity ELSE 0 END) OVER w AS bought
        FROM o WINDOW w AS (PARTITION BY wallet, token ORDER BY rn)),
@@ -20,7 +21,7 @@ FIFO_CTES = """
  ep AS (SELECT *, coalesce(sum(CASE WHEN unknown THEN 1 ELSE 0 END) OVER (PARTITION BY wallet, token ORDER BY rn
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM p),
  fb AS (SELECT *, side = 'buy' AND row_number() OVER (PARTITION BY wallet, token, side
-         ORDER BY ts, tx, log_index, pool, origin, quantity, quote, gas, side) = 1 AS first_buy FROM flows),
+         ORDER BY ts, tx, log_index, pool, origin, quantity, quote, gas, side) = 1 AS first_buy FROM atomic_flows),
  er AS (SELECT *, 1 + coalesce(sum(CASE WHEN first_buy THEN 1 ELSE 0 END) OVER (PARTITION BY token
          ORDER BY ts, tx, log_index, pool, origin, quantity, quote, gas, side, wallet
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entry_rank FROM fb),
@@ -48,63 +49,68 @@ FIFO_CTES = """
 """
 
 
+def texts(*names):
+    return [wide.to_text(F.col(n)).alias(n) for n in names]
+
+
 @query("win_06_running_inventory", """
  WITH """ + FIFO_CTES + """
- SELECT wallet, token, ts, tx, log_index, pool, origin, side, quantity, CAST(bought AS BIGINT) AS bought,
-   CAST(held AS BIGINT) AS held_before, unknown FROM p""")
+ SELECT wallet, token, ts, tx, log_index, pool, origin, side, TEXT(quantity) AS quantity, TEXT(bought) AS bought,
+   TEXT(held) AS held_before, unknown FROM p""")
 def running_inventory(t):
-    placed = lots.positions(t.flows)
-    return placed.select("wallet", "token", "ts", "tx", "log_index", "pool", "origin", "side", "quantity", "bought",
-                         "held_before", (F.col("short") > 0).alias("unknown"))
+    placed = lots.positions(amounts.exact(t.atomic_flows))
+    return placed.select("wallet", "token", "ts", "tx", "log_index", "pool", "origin", "side", *texts("quantity", "bought", "held_before"),
+                         (F.col("short") > wide.zero()).alias("unknown"))
 
 
 @query("win_03_entry_rank", """
  WITH """ + FIFO_CTES + """
  SELECT token, wallet, ts, tx, log_index, pool, origin, side, CAST(entry_rank AS BIGINT) AS entry_rank FROM er""")
 def entry_rank(t):
-    return lots.entry_ranks(t.flows).select("token", "wallet", "ts", "tx", "log_index", "pool", "origin", "side",
+    return lots.entry_ranks(t.atomic_flows).select("token", "wallet", "ts", "tx", "log_index", "pool", "origin", "side",
                                             "entry_rank")
 
 
 @query("jon_14_fifo_match", """
  WITH """ + FIFO_CTES + """
- SELECT wallet, token, state, CAST(count(*) AS BIGINT) AS lots, CAST(sum(quantity) AS BIGINT) AS units,
+ SELECT wallet, token, state, CAST(count(*) AS BIGINT) AS lots, TEXT(sum(quantity)) AS units,
    CAST(sum(cost) AS BIGINT) AS cost FROM lots GROUP BY wallet, token, state""")
 def fifo_match(t):
-    all_lots, _ = wallets.fifo(t.spread().flows)
+    all_lots, _ = wallets.fifo(t.spread().atomic_flows)
     return all_lots.groupBy("wallet", "token", "state").agg(
-        F.count("*").alias("lots"), F.sum("quantity").alias("units"), F.sum("cost").alias("cost"))
+        F.count("*").alias("lots"), wide.to_text(wide.total(F.col("quantity"))).alias("units"), F.sum("cost").cast("bigint").alias("cost"))
 
 
 @query("pip_08_fifo_outcomes", """
  WITH """ + FIFO_CTES + """
  SELECT wallet, token, opened_at, closed_at, round(pnl, 6) AS pnl, round(return_pct, 6) AS return_pct, hold_seconds,
-   entry_rank, quantity FROM outcomes""")
+   entry_rank, TEXT(quantity) AS quantity FROM outcomes""")
 def fifo_outcomes(t):
-    all_lots, _ = wallets.fifo(t.spread().flows)
+    all_lots, _ = wallets.fifo(t.spread().atomic_flows)
     return wallets.fifo_outcomes(all_lots).withColumns(
-        {"pnl": F.round("pnl", 6), "return_pct": F.round("return_pct", 6)})
+        {"pnl": F.round("pnl", 6), "return_pct": F.round("return_pct", 6), "quantity": wide.to_text(F.col("quantity"))})
 
 
 @query("pip_08_unknown_basis", """
  WITH """ + FIFO_CTES + """
- SELECT wallet, token, tx, log_index, ts, quantity, CAST(held AS BIGINT) AS held, 'unmatched_sell_basis' AS reason
+ SELECT wallet, token, tx, log_index, ts, TEXT(quantity) AS quantity, TEXT(held) AS held, 'unmatched_sell_basis' AS reason
  FROM p WHERE unknown""")
 def unknown_basis(t):
-    return lots.unknown_basis(lots.positions(t.flows)).select(
-        "wallet", "token", "tx", "log_index", "ts", "quantity", F.col("held_before").alias("held"), "reason")
+    return lots.unknown_basis(lots.positions(amounts.exact(t.atomic_flows))).select(
+        "wallet", "token", "tx", "log_index", "ts", *texts("quantity"), wide.to_text(F.col("held_before")).alias("held"), "reason")
 
 
 @query("pip_09_open_lots", """
  WITH """ + FIFO_CTES + """
- SELECT wallet, token, opened_at, quantity, CAST(quantity - coalesce(used, 0) AS BIGINT) AS remaining,
+ SELECT wallet, token, opened_at, TEXT(quantity) AS quantity, TEXT(quantity - coalesce(used, 0)) AS remaining,
    round(cost * (quantity - coalesce(used, 0)) / quantity, 6) AS remaining_cost,
    round(coalesce(got, 0) - cost * coalesce(used, 0) / quantity, 6) AS realized, entry_rank
  FROM lots WHERE state = 'open'""")
 def open_lots(t):
-    all_lots, _ = wallets.fifo(t.spread().flows)
+    all_lots, _ = wallets.fifo(t.spread().atomic_flows)
     return wallets.open_lots(all_lots).withColumns(
-        {"remaining_cost": F.round("remaining_cost", 6), "realized": F.round("realized", 6)})
+        {"remaining_cost": F.round("remaining_cost", 6), "realized": F.round("realized", 6),
+         "quantity": wide.to_text(F.col("quantity")), "remaining": wide.to_text(F.col("remaining"))})
 
 
 @query("pip_10_wallet_profile", """
@@ -114,7 +120,7 @@ def open_lots(t):
          FROM outcomes GROUP BY wallet),
  op AS (SELECT wallet, count(*) AS opens FROM lots WHERE state = 'open' GROUP BY wallet),
  un AS (SELECT wallet, count(*) AS unk FROM p WHERE unknown GROUP BY wallet),
- en AS (SELECT wallet, count(DISTINCT CASE WHEN side = 'buy' THEN token END) AS entered FROM flows GROUP BY wallet),
+ en AS (SELECT wallet, count(DISTINCT CASE WHEN side = 'buy' THEN token END) AS entered FROM atomic_flows GROUP BY wallet),
  j AS (SELECT en.wallet, entered, coalesce(n, 0) AS n, coalesce(wins, 0) AS wins, coalesce(toks, 0) AS toks, med,
          med_rank, hold, coalesce(pnl, 0) AS pnl, coalesce(opens, 0) AS opens, coalesce(unk, 0) AS unk
        FROM en LEFT JOIN res USING (wallet) LEFT JOIN op USING (wallet) LEFT JOIN un USING (wallet)),
@@ -125,8 +131,8 @@ def open_lots(t):
    round(pnl, 4) AS realized_pnl, opens AS open_lots, unk AS unknown_basis, score,
    n >= 10 AND toks >= 5 AND score >= 70 AND coalesce(med > 0, false) AND unk = 0 AS eligible FROM sc""")
 def wallet_profile(t):
-    all_lots, unknown = wallets.fifo(t.spread().flows)
-    out = wallets.wallet_profile(t.flows, all_lots, unknown)
+    all_lots, unknown = wallets.fifo(t.spread().atomic_flows)
+    out = wallets.wallet_profile(t.atomic_flows, all_lots, unknown)
     return out.withColumns({
         "median_return_pct": F.round("median_return_pct", 6), "mean_hold_seconds": F.round("mean_hold_seconds", 6),
         "realized_pnl": F.round("realized_pnl", 4)})

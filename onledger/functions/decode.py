@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from onledger.functions import wide
+
 # --- fixed values: event signatures (hashes of the public event declarations) -----------------------------------------
 TOPIC_PAIR_CREATED_V2 = "0x0d3648bd0f6ba80134a33ba9275ac585d9d315f0ad8355cddefde31afa28d0e9"
 TOPIC_POOL_CREATED_V3 = "0x783cca1c0412dd0d695e784568c96da2e9c22ff989357a2e8b1d9b2b4e6b7118"
@@ -52,10 +54,10 @@ def quantity(text: Column) -> Column:
 
 
 def wide_quantity(text: Column) -> Column:
-    """``0x`` hex or decimal text to DECIMAL(38,0); NULL only for malformed text and from 2**126 on."""
+    """``0x`` hex (up to 256 bits) or decimal text as a wide value; NULL only for malformed text."""
     digits = F.regexp_replace(F.substring(text, 3, 1 << 30), "^0+(?=.)", "")
     word = F.lpad(F.when(digits.rlike("^[0-9a-fA-F]{1,64}$"), digits), 64, "0")
-    return F.when(text.startswith("0x"), unsigned(word)).otherwise(text.try_cast("decimal(38,0)"))
+    return F.when(text.startswith("0x"), wide.of_word(word)).otherwise(wide.of_text(text))
 
 
 def words(data: Column) -> Column:
@@ -78,39 +80,14 @@ def address(word: Column) -> Column:
     return F.when(F.substring(word, 1, 24) == "0" * 24, F.concat(F.lit("0x"), F.lower(F.substring(word, 25, 40))))
 
 
-_HALF = "18446744073709551616"  # 2**64
-
-
-def _half(word: Column, start: int) -> Column:
-    return F.conv(F.substring(word, start, 16), 16, 10).cast("decimal(20,0)")
-
-
-def _join(high: Column, low: Column) -> Column:
-    """Two 64-bit halves, the upper one below 2**62, as DECIMAL(38,0)."""
-    return (high * F.lit(_HALF).cast("decimal(20,0)") + low).cast("decimal(38,0)")
-
-
-def negate(value: Column) -> Column:
-    """Minus a DECIMAL(38,0). Unary minus would round to 34 digits, a subtraction does not."""
-    return (F.lit(0).cast("decimal(1,0)") - value).cast("decimal(38,0)")
-
-
-def magnitude(value: Column) -> Column:
-    return F.when(value < 0, negate(value)).otherwise(value)
-
-
 def unsigned(word: Column) -> Column:
-    """Word as DECIMAL(38,0); NULL from 2**126 on (use limbs for those). Words of up to 64 bits take the short way."""
-    return (F.when(word.startswith("0" * 48), _half(word, 49).cast("decimal(38,0)"))
-            .when(word.rlike("^0{32}[0-3]"), _join(_half(word, 33), _half(word, 49))))
+    """Word as a wide value; NULL unless it is 64 hex digits."""
+    return wide.of_word(word)
 
 
 def signed(word: Column) -> Column:
-    """Two's-complement word as DECIMAL(38,0): a word of leading ``f`` is minus its complement minus one."""
-    top = F.lit(_HALF).cast("decimal(20,0)") - 1
-    negative = word.rlike("^[fF]{32}[c-fC-F]")
-    flipped = _join(top - _half(word, 33), top - _half(word, 49))
-    return F.when(negative, negate(flipped) - 1).otherwise(unsigned(word)).cast("decimal(38,0)")
+    """Two's-complement word as a wide value."""
+    return wide.of_signed_word(word)
 
 
 def event_kind(topics: Column) -> Column:
@@ -147,23 +124,23 @@ def pool_created(emitter: Column, topics: Column, w: Column) -> Column:
     return (F.when(v2, shape(address(word(1)), 2, topic(2), topic(3), F.lit(V2_DEFAULT_FEE).cast("bigint"), none))
             .when(v3, shape(address(word(2)), 3, topic(2), topic(3), quantity(F.try_element_at(topics, F.lit(4))), none))
             .when(v4, shape(F.lower(F.try_element_at(topics, F.lit(2))), 4, topic(3), topic(4),
-                            unsigned(word(1)).cast("bigint"), address(word(3)))))
+                            quantity(F.concat(F.lit("0x"), word(1))), address(word(3)))))
 
 
 def swap_amounts(topics: Column, w: Column) -> Column:
-    """(amount0, amount1) as seen by the pool. The singleton reports the caller's side, so its signs are turned."""
+    """(amount0, amount1) as seen by the pool, as wide values. The singleton reports the caller's side, so its signs are turned."""
     first = F.element_at(topics, 1)
 
     def at(i, read):
         return read(F.try_element_at(w, F.lit(i)))
 
     def pair(a, b):
-        return F.struct(a.cast("decimal(38,0)").alias("amount0"), b.cast("decimal(38,0)").alias("amount1"))
+        return F.struct(a.alias("amount0"), b.alias("amount1"))
 
     return (F.when((first == TOPIC_SWAP_V2) & (F.size(w) == 4),
-                   pair(at(1, unsigned) - at(3, unsigned), at(2, unsigned) - at(4, unsigned)))
+                   pair(wide.minus(at(1, unsigned), at(3, unsigned)), wide.minus(at(2, unsigned), at(4, unsigned))))
             .when((first == TOPIC_SWAP_V3) & (F.size(w) == 5), pair(at(1, signed), at(2, signed)))
-            .when((first == TOPIC_SWAP_V4) & (F.size(w) == 6), pair(negate(at(1, signed)), negate(at(2, signed)))))
+            .when((first == TOPIC_SWAP_V4) & (F.size(w) == 6), pair(wide.negate(at(1, signed)), wide.negate(at(2, signed)))))
 
 
 def transfer(emitter: Column, topics: Column, w: Column) -> Column:
@@ -202,16 +179,15 @@ def units(amount: Column, decimals: Column) -> Column:
 def direction(token0: Column, token1: Column, amount0: Column, amount1: Column, quotes=NATIVE) -> Column:
     """Which side is the quote currency, and whether the pool sold (buy) or took (sell) the token.
 
-    Exactly one side must be a quote currency and the amounts must have opposite signs.
+    Exactly one side must be a quote currency and the amounts, wide values, must have opposite signs.
     """
     q0, q1 = token0.isin(*quotes), token1.isin(*quotes)
-    token = F.when(q0, token1).otherwise(token0)
     token_amount = F.when(q0, amount1).otherwise(amount0)
     quote_amount = F.when(q0, amount0).otherwise(amount1)
-    ok = (q0 != q1) & (F.sign(amount0) * F.sign(amount1) < 0)
+    ok = (q0 != q1) & (wide.sign(amount0) * wide.sign(amount1) < 0)
     return F.when(ok, F.struct(
-        token.alias("token"), F.when(token_amount < 0, "buy").otherwise("sell").alias("side"),
-        magnitude(token_amount).alias("token_amount"), magnitude(quote_amount).alias("quote_amount")))
+        F.when(q0, token1).otherwise(token0).alias("token"), F.when(wide.negative(token_amount), "buy").otherwise("sell").alias("side"),
+        wide.magnitude(token_amount).alias("token_amount"), wide.magnitude(quote_amount).alias("quote_amount")))
 
 
 def canonical_hash(**fields: Column) -> Column:

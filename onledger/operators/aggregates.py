@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onledger.functions import amounts
+
 # --- fixed values: half-width of the rank band kept for the exact median, and the sketch accuracy that guarantees it ---
 MEDIAN_BAND = 0.001
 SKETCH_ACCURACY = 10_000
@@ -41,12 +43,13 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) ->
 
 def top_share(rows: DataFrame, keys: Sequence[str], value: str, holder: str, n: int, name: str) -> DataFrame:
     """Share of the total held by the ``n`` largest holders. The rank filter is applied before the shuffle too."""
+    of = amounts.of_column(rows, value)
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(holder))
     top = (rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-           .groupBy(*keys).agg(F.sum(value).alias("_top")))
-    total = rows.groupBy(*keys).agg(F.sum(value).alias("_all"), F.count("*").alias("holders"))
+           .groupBy(*keys).agg(of.total(F.col(value)).alias("_top")))
+    total = rows.groupBy(*keys).agg(of.total(F.col(value)).alias("_all"), F.count("*").alias("holders"))
     return total.join(top, list(keys)).withColumn(
-        name, F.when(F.col("_all") != 0, F.col("_top").cast("double") / F.col("_all").cast("double")))
+        name, F.when(F.col("_all") != of.zero(), of.double(F.col("_top")) / of.double(F.col("_all"))))
 
 
 def null_profile(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:

@@ -4,6 +4,9 @@ Every unit ever bought by a (wallet, token) has a position: lots tile the line [
 that starts at the oldest unit on hand. What a lot earned is then the difference of one cumulative function of position
 ("proceeds up to here") at the two ends of the lot, and what a sale cost is the same with "cost up to here". Both are
 looked up by carrying the last marker forward along the position line, so rows are never multiplied.
+
+Quantities are of any type ``functions.amounts`` knows: wide values hold every 256-bit amount and their sums. Money is a number;
+what a part of a lot cost or earned is a DOUBLE.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onledger.functions import amounts
 from onledger.operators.scan import inventory, running, width_bucket
 from onledger.params import ScanRules
 
@@ -29,15 +33,16 @@ def positions(flows: DataFrame, order: Sequence[str] = FLOW_ORDER, scan: ScanRul
 
 def unknown_basis(placed: DataFrame) -> DataFrame:
     """Sales above the known stock; they never count as a result and void the lots on hand."""
-    return placed.filter("side = 'sell' AND short > 0").withColumn("reason", F.lit("unmatched_sell_basis"))
+    return placed.filter((F.col("side") == "sell") & (F.col("short") > amounts.of_column(placed, "short").zero())).withColumn("reason", F.lit("unmatched_sell_basis"))
 
 
 def _carry(markers: DataFrame, lookups: DataFrame, keys: Sequence[str], weight: str, scan: ScanRules) -> DataFrame:
     """For each lookup position: the last marker at or before it, and the running sum of ``weight`` up to it."""
     both = markers.unionByName(lookups, allowMissingColumns=True)
+    bucket = amounts.of_column(both, "pos").bucket(F.col("pos"), scan.bucket_units)
     return running(
-        both, keys, ["pos", "kind"], width_bucket("pos", scan.bucket_units), max_rows=scan.max_rows,
-        sums={"cum": (F.coalesce(F.col(f"marker.{weight}"), F.lit(0).cast("bigint")), True)},
+        both, keys, ["pos", "kind"], bucket, max_rows=scan.max_rows,
+        sums={"cum": (F.coalesce(F.col(f"marker.{weight}"), F.lit(0).cast(both.schema["marker"].dataType[weight].dataType)), True)},
         lasts={"found": (F.col("marker"), True)},
     ).filter("marker IS NULL")
 
@@ -47,23 +52,27 @@ def fifo_lots(placed: DataFrame, scan: ScanRules = ScanRules(), keys: Sequence[s
 
     closed: closing time, pnl, return percent, hold seconds. open: remaining quantity and cost, realised so far.
     """
-    sales = placed.filter("side = 'sell' AND short = 0").select(
+    of = amounts.of_column(placed, "quantity")
+    c, zero = F.col, of.zero()
+    begin = of.minus(c("bought"), c("held_before"))
+    sales = placed.filter((c("side") == "sell") & (c("short") == zero)).select(
         *keys,
-        (F.col("bought") - F.col("held_before")).alias("pos"),
+        begin.alias("pos"),
         F.lit(1).alias("kind"),
         F.struct(
-            (F.col("bought") - F.col("held_before")).alias("start"),
-            F.col("quantity").alias("size"),
-            (F.col("quote") - F.col("gas")).alias("proceeds"),
-            F.col("ts").alias("ts"),
+            begin.alias("start"),
+            of.plus(begin, c("quantity")).alias("end"),
+            c("quantity").alias("size"),
+            (c("quote") - c("gas")).alias("proceeds"),
+            c("ts").alias("ts"),
         ).alias("marker"),
     )
-    start, end = F.col("bought") - F.col("quantity"), F.col("bought")
-    upto = F.least(end, F.greatest(start, F.col("head_final")))
+    start, end = of.minus(c("bought"), c("quantity")), c("bought")
+    upto = F.least(end, F.greatest(start, c("head_final")))
     lots = placed.filter("side = 'buy'").select(
         *keys,
         start.alias("lot_start"), end.alias("lot_end"), upto.alias("used_end"),
-        (F.col("quote") + F.col("gas")).alias("cost"), F.col("ts").alias("opened_at"), "entry_rank",
+        (c("quote") + c("gas")).alias("cost"), c("ts").alias("opened_at"), "entry_rank",
     )
     ends = F.array(
         F.struct(F.col("lot_start").alias("pos"), F.lit(2).alias("kind")),
@@ -72,11 +81,12 @@ def fifo_lots(placed: DataFrame, scan: ScanRules = ScanRules(), keys: Sequence[s
     lookups = lots.withColumn("e", F.explode(ends)).select("*", "e.pos", "e.kind").drop("e")
     hit = _carry(sales, lookups, keys, "proceeds", scan)
 
-    covered = F.least(F.col("pos") - F.col("found.start"), F.col("found.size"))
+    covered = F.least(of.minus(c("pos"), c("found.start")), c("found.size"))
+    proceeds = c("found.proceeds")
     hit = hit.withColumns({
-        "whole": F.col("cum") - F.coalesce(F.col("found.proceeds"), F.lit(0)),
-        "part": F.coalesce(F.col("found.proceeds") * covered / F.col("found.size"), F.lit(0.0)),
-        "inside": F.col("found").isNotNull() & (F.col("pos") <= F.col("found.start") + F.col("found.size")),
+        "whole": c("cum") - F.coalesce(proceeds, F.lit(0).cast(_kind(hit, "cum"))),
+        "part": F.coalesce(proceeds.cast("double") * of.double(covered) / of.double(c("found.size")), F.lit(0.0)),
+        "inside": c("found").isNotNull() & (c("pos") <= c("found.end")),
     })
     ident = [*keys, "lot_start", "lot_end", "used_end", "cost", "opened_at", "entry_rank"]
     lower, upper = F.col("kind") == 2, F.col("kind") == 0
@@ -85,30 +95,30 @@ def fifo_lots(placed: DataFrame, scan: ScanRules = ScanRules(), keys: Sequence[s
         F.max(F.when(upper, F.col("whole"))).alias("whole_hi"), F.max(F.when(upper, F.col("part"))).alias("part_hi"),
         F.max(F.when(upper, F.col("inside"))).alias("ended"), F.max(F.when(upper, F.col("found.ts"))).alias("closed_at"),
     )
-    got = (F.col("whole_hi") - F.col("whole_lo")) + (F.col("part_hi") - F.col("part_lo"))
-    size = F.col("lot_end") - F.col("lot_start")
-    left = F.col("lot_end") - F.col("used_end")
-    state = (
-        F.when(left > 0, "open")
-        .when(F.col("ended"), "closed")
-        .otherwise("dropped")
-    )
+    got = (c("whole_hi") - c("whole_lo")).cast("double") + (c("part_hi") - c("part_lo"))
+    size, left = of.minus(c("lot_end"), c("lot_start")), of.minus(c("lot_end"), c("used_end"))
+    state = F.when(c("used_end") < c("lot_end"), "open").when(c("ended"), "closed").otherwise("dropped")
     out = paired.withColumns({"state": state, "got": got, "quantity": size, "remaining": left})
-    closed, opened = F.col("state") == "closed", F.col("state") == "open"
-    pnl = F.col("got") - F.col("cost")
+    out = out.withColumns({"_cost": c("cost").cast("double"), "_size": of.double(c("quantity")), "_left": of.double(c("remaining"))})
+    closed, opened = c("state") == "closed", c("state") == "open"
+    pnl = c("got") - c("_cost")
     return out.select(
         *keys, "state", "opened_at", "entry_rank", "quantity", "cost", "lot_start",
-        F.when(closed, F.col("closed_at")).alias("closed_at"),
+        F.when(closed, c("closed_at")).alias("closed_at"),
         F.when(closed, pnl).alias("pnl"),
-        F.when(closed, F.when(F.col("cost") == 0, 0.0).otherwise(pnl / F.col("cost") * 100)).alias("return_pct"),
-        F.when(closed, F.col("closed_at") - F.col("opened_at")).alias("hold_seconds"),
-        F.when(opened, F.col("remaining")).alias("remaining"),
-        F.when(opened, F.col("cost") * F.col("remaining") / F.col("quantity")).alias("remaining_cost"),
-        F.when(opened, F.when(F.col("used_end") > F.col("lot_start"), F.col("got")).otherwise(0.0)
-               - F.col("cost") * (F.col("quantity") - F.col("remaining")) / F.col("quantity")).alias("realized"),
+        F.when(closed, F.when(c("cost") == 0, 0.0).otherwise(pnl / c("_cost") * 100)).alias("return_pct"),
+        F.when(closed, c("closed_at") - c("opened_at")).alias("hold_seconds"),
+        F.when(opened, c("remaining")).alias("remaining"),
+        F.when(opened, c("_cost") * c("_left") / c("_size")).alias("remaining_cost"),
+        F.when(opened, F.when(c("used_end") > c("lot_start"), c("got")).otherwise(0.0)
+               - c("_cost") * of.double(of.minus(c("quantity"), c("remaining"))) / c("_size")).alias("realized"),
     )
 
 
+def _kind(rows: DataFrame, column: str):
+    return rows.schema[column].dataType
+
+
 def audit_sales(placed: DataFrame, scan: ScanRules = ScanRules(), keys: Sequence[str] = FLOW_KEYS,
                 carry_cols: Sequence[str] = ("tx", "ts", "log_index")) -> DataFrame:
     """Cost of each sale when some lots have no known cost (opening stock, transfers in).
@@ -116,51 +126,51 @@ def audit_sales(placed: DataFrame, scan: ScanRules = ScanRules(), keys: Sequence
     ``placed`` needs ``cost`` on buys (NULL = unknown) and ``proceeds`` on sales (NULL = transfer out, which consumes lots
     without a result). Surplus units and units of unknown cost make the result NULL.
     """
-    start = F.col("bought") - F.col("quantity")
+    of = amounts.of_column(placed, "quantity")
+    c, zero = F.col, of.zero()
+    money = placed.schema["cost"].dataType
+    nothing = F.lit(0).cast(money)
+    start = of.minus(c("bought"), c("quantity"))
     lots = placed.filter("side = 'buy'").select(
         *keys, start.alias("pos"), F.lit(1).alias("kind"),
-        F.struct(start.alias("start"), F.col("quantity").alias("size"),
-                 F.coalesce(F.col("cost"), F.lit(0).cast("bigint")).alias("cost"),
-                 F.when(F.col("cost").isNull(), F.col("quantity")).otherwise(F.lit(0).cast("bigint")).alias("blind"),
-                 ).alias("marker"),
+        F.struct(start.alias("start"), c("quantity").alias("size"), F.coalesce(c("cost"), nothing).alias("cost"),
+                 F.when(c("cost").isNull(), c("quantity")).otherwise(zero).alias("blind")).alias("marker"),
     )
-    begin = F.col("bought") - F.col("held_before")
+    begin = of.minus(c("bought"), c("held_before"))
     sales = placed.filter("side = 'sell' AND proceeds IS NOT NULL").select(
-        *keys, *carry_cols, F.col("quantity").alias("sold"), F.col("proceeds"), F.col("short"),
-        begin.alias("sale_start"), (begin + F.col("taken")).alias("sale_end"))
-    ends = F.array(F.struct(F.col("sale_start").alias("pos"), F.lit(2).alias("kind")),
-                   F.struct(F.col("sale_end").alias("pos"), F.lit(0).alias("kind")))
+        *keys, *carry_cols, c("quantity").alias("sold"), "proceeds", "short",
+        begin.alias("sale_start"), of.plus(begin, c("taken")).alias("sale_end"))
+    ends = F.array(F.struct(c("sale_start").alias("pos"), F.lit(2).alias("kind")),
+                   F.struct(c("sale_end").alias("pos"), F.lit(0).alias("kind")))
     lookups = sales.withColumn("e", F.explode(ends)).select("*", "e.pos", "e.kind").drop("e")
     both = lots.unionByName(lookups, allowMissingColumns=True)
-    zero = F.lit(0).cast("bigint")
     hit = running(
-        both, keys, ["pos", "kind", *carry_cols], width_bucket("pos", scan.bucket_units), max_rows=scan.max_rows,
-        sums={"cum_cost": (F.coalesce(F.col("marker.cost"), zero), True),
-              "cum_blind": (F.coalesce(F.col("marker.blind"), zero), True)},
-        lasts={"found": (F.col("marker"), True)},
+        both, keys, ["pos", "kind", *carry_cols], of.bucket(c("pos"), scan.bucket_units), max_rows=scan.max_rows,
+        sums={"cum_cost": (F.coalesce(c("marker.cost"), nothing), True),
+              "cum_blind": (F.coalesce(c("marker.blind"), zero), True)},
+        lasts={"found": (c("marker"), True)},
     ).filter("marker IS NULL")
-    covered = F.least(F.col("pos") - F.col("found.start"), F.col("found.size"))
+    hit = hit.withColumn("covered", F.least(of.minus(c("pos"), c("found.start")), c("found.size")))
+    beyond = F.when(F.coalesce(c("found.blind"), zero) > zero, of.minus(c("found.size"), c("covered"))).otherwise(zero)
     hit = hit.withColumns({
-        "c_whole": F.col("cum_cost") - F.coalesce(F.col("found.cost"), zero),
-        "c_part": F.coalesce(F.col("found.cost") * covered / F.col("found.size"), F.lit(0.0)),
-        "u": F.col("cum_blind") - F.when(F.coalesce(F.col("found.blind"), zero) > 0, F.col("found.size") - covered)
-        .otherwise(zero),
+        "c_whole": c("cum_cost") - F.coalesce(c("found.cost"), F.lit(0).cast(_kind(hit, "cum_cost"))),
+        "c_part": F.coalesce(c("found.cost").cast("double") * of.double(c("covered")) / of.double(c("found.size")), F.lit(0.0)),
+        "u": of.minus(c("cum_blind"), beyond),
     })
     ident = [*keys, *carry_cols, "sold", "proceeds", "short", "sale_start", "sale_end"]
-    lower, upper = F.col("kind") == 2, F.col("kind") == 0
+    lower, upper = c("kind") == 2, c("kind") == 0
     paired = hit.groupBy(*ident).agg(
-        *[F.max(F.when(side, F.col(c))).alias(f"{c}_{tag}") for c in ("c_whole", "c_part", "u")
+        *[F.max(F.when(side, c(n))).alias(f"{n}_{tag}") for n in ("c_whole", "c_part", "u")
           for side, tag in ((lower, "lo"), (upper, "hi"))])
-    used = F.col("sale_end") > F.col("sale_start")
-    unknown = F.col("short") + F.when(used, F.col("u_hi") - F.col("u_lo")).otherwise(zero)
-    cost = F.when(used, (F.col("c_whole_hi") - F.col("c_whole_lo")) + (F.col("c_part_hi") - F.col("c_part_lo"))
-                  ).otherwise(0.0)
+    used = c("sale_end") > c("sale_start")
+    unknown = of.plus(c("short"), F.when(used, of.minus(c("u_hi"), c("u_lo"))).otherwise(zero))
+    cost = F.when(used, (c("c_whole_hi") - c("c_whole_lo")).cast("double") + (c("c_part_hi") - c("c_part_lo"))).otherwise(0.0)
     out = paired.withColumns({"unknown_quantity": unknown, "_cost": cost})
-    known = F.col("unknown_quantity") == 0
+    known = c("unknown_quantity") == zero
     return out.select(
         *keys, *carry_cols, "sold", "proceeds", "unknown_quantity",
-        F.when(known, F.col("_cost")).alias("cost"),
-        F.when(known, F.col("proceeds") - F.col("_cost")).alias("pnl"),
+        F.when(known, c("_cost")).alias("cost"),
+        F.when(known, c("proceeds").cast("double") - c("_cost")).alias("pnl"),
     )
 
 

@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onledger.functions import amounts
 from onledger.params import ScanRules
 
 BUCKET = "_bucket"
@@ -67,12 +68,13 @@ def running(
     """Add running columns to ``rows``.
 
     ``sums`` — running sum; ``lasts`` — most recent non-null value; ``nexts`` — nearest following non-null value.
-    Each entry is ``name: (value, include_current_row)``.
+    Each entry is ``name: (value, include_current_row)``. Sums take numbers and wide values.
     """
     sums, lasts, nexts = dict(sums or {}), dict(lasts or {}), dict(nexts or {})
     inputs = {**sums, **lasts, **nexts}
     base, split = cut(rows, keys, bucket, max_rows)
     base = base.withColumns({f"_in_{name}": spec[0] for name, spec in inputs.items()})
+    kinds = {name: amounts.of_column(base, f"_in_{name}") for name in sums}
     parts = [*keys, BUCKET] if split else list(keys)
 
     ahead = Window.partitionBy(*parts).orderBy(*order)
@@ -82,7 +84,7 @@ def running(
         end = 0 if inclusive else -1
         src = F.col(f"_in_{name}")
         if name in sums:
-            local[f"_loc_{name}"] = F.sum(src).over(ahead.rowsBetween(_FIRST, end))
+            local[f"_loc_{name}"] = kinds[name].total(src, ahead.rowsBetween(_FIRST, end))
         elif name in lasts:
             local[f"_loc_{name}"] = F.last(src, ignorenulls=True).over(ahead.rowsBetween(_FIRST, end))
         else:
@@ -91,8 +93,7 @@ def running(
     if not split:
         for name in inputs:
             loc = F.col(f"_loc_{name}")
-            zero = F.lit(0).cast(base.schema[f"_in_{name}"].dataType) if name in sums else None
-            scanned = scanned.withColumn(name, F.coalesce(loc, zero) if name in sums else loc)
+            scanned = scanned.withColumn(name, F.coalesce(loc, kinds[name].zero()) if name in sums else loc)
         return scanned.select(*rows.columns, *inputs)
 
     place = F.struct(*order)
@@ -100,7 +101,7 @@ def running(
     for name in inputs:
         src = F.col(f"_in_{name}")
         if name in sums:
-            summary.append(F.sum(src).alias(f"_tot_{name}"))
+            summary.append(kinds[name].total(src).alias(f"_tot_{name}"))
         else:
             pick = F.max_by if name in lasts else F.min_by
             summary.append(pick(src, F.when(src.isNotNull(), place)).alias(f"_tot_{name}"))
@@ -112,7 +113,7 @@ def running(
     for name in inputs:
         src = F.col(f"_tot_{name}")
         if name in sums:
-            offsets[f"_off_{name}"] = F.sum(src).over(up)
+            offsets[f"_off_{name}"] = kinds[name].total(src, up)
         else:
             offsets[f"_off_{name}"] = F.last(src, ignorenulls=True).over(up if name in lasts else down)
     carried = totals.withColumns(offsets).select(*parts, *offsets)
@@ -121,8 +122,8 @@ def running(
     for name in inputs:
         loc, off = F.col(f"_loc_{name}"), F.col(f"_off_{name}")
         if name in sums:
-            zero = F.lit(0).cast(base.schema[f"_in_{name}"].dataType)
-            value = F.coalesce(off, zero) + F.coalesce(loc, zero)
+            zero = kinds[name].zero()
+            value = kinds[name].plus(F.coalesce(off, zero), F.coalesce(loc, zero))
         else:
             value = F.coalesce(loc, off)
         out = out.withColumn(name, value)
@@ -148,50 +149,53 @@ def inventory(
     With S the running signed sum and m the lower of 0 and the least S seen before the row, stock before the row is
     S_before - m. Bucket summaries carry (sum, least prefix), which combine associatively.
     """
-    zero = F.lit(0).cast("bigint")
     base, split = cut(rows, keys, bucket, max_rows)
     base = base.withColumns({"_q": quantity, "_b": is_buy})
+    of = amounts.of_column(base, "_q")
+    zero = of.zero()
     base = base.withColumns({
-        "_x": F.when(F.col("_b"), F.col("_q")).otherwise(-F.col("_q")),
-        "_y": F.when(F.col("_b"), F.col("_q")).otherwise(F.lit(0).cast(base.schema["_q"].dataType)),
+        "_x": F.when(F.col("_b"), F.col("_q")).otherwise(of.negate(F.col("_q"))),
+        "_y": F.when(F.col("_b"), F.col("_q")).otherwise(zero),
     })
     parts = [*keys, BUCKET] if split else list(keys)
     ahead = Window.partitionBy(*parts).orderBy(*order)
     local = base.withColumns({
-        "_s": F.sum("_x").over(ahead.rowsBetween(_FIRST, 0)),
-        "_bt": F.sum("_y").over(ahead.rowsBetween(_FIRST, 0)),
+        "_s": of.total(F.col("_x"), ahead.rowsBetween(_FIRST, 0)),
+        "_bt": of.total(F.col("_y"), ahead.rowsBetween(_FIRST, 0)),
     })
     scanned = local.withColumn("_low", F.min("_s").over(ahead.rowsBetween(_FIRST, -1)))
 
     if not split:
-        # one task has the whole group: its sums and its least prefix are whole-group windows
-        group = Window.partitionBy(*keys)
-        out = scanned.withColumns({"_os": zero, "_ob": zero, "_om": zero, "head_final": F.sum("_y").over(group) - (
-            F.sum("_x").over(group) - F.least(zero, F.min("_s").over(group)))})
-        return _stock(out, rows.columns, zero)
+        # one task has the whole group: its least prefix is a whole-group window, its sums are those of its last row
+        group = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_FIRST, Window.unboundedFollowing)
+        out = scanned.withColumns({"_fs": F.last("_s").over(group), "_fb": F.last("_bt").over(group), "_fm": F.min("_s").over(group)})
+        out = out.withColumns({"_os": zero, "_ob": zero, "_om": zero,
+                               "head_final": of.minus(F.col("_fb"), of.minus(F.col("_fs"), F.least(zero, F.col("_fm"))))})
+        return _stock(out, rows.columns, of)
 
     up = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_FIRST, -1)
     whole = Window.partitionBy(*keys)
-    totals = local.groupBy(*parts).agg(F.sum("_x").alias("_tx"), F.sum("_y").alias("_ty"), F.min("_s").alias("_tm"))
+    totals = local.groupBy(*parts).agg(of.total(F.col("_x")).alias("_tx"), of.total(F.col("_y")).alias("_ty"), F.min("_s").alias("_tm"))
     totals = totals.withColumns({
-        "_os": F.coalesce(F.sum("_tx").over(up), zero),
-        "_ob": F.coalesce(F.sum("_ty").over(up), zero),
-        "_fs": F.sum("_tx").over(whole),
-        "_fb": F.sum("_ty").over(whole),
+        "_os": F.coalesce(of.total(F.col("_tx"), up), zero),
+        "_ob": F.coalesce(of.total(F.col("_ty"), up), zero),
+        "_fs": of.total(F.col("_tx"), whole),
+        "_fb": of.total(F.col("_ty"), whole),
     })
-    totals = totals.withColumn("_abs", F.col("_os") + F.col("_tm"))
+    totals = totals.withColumn("_abs", of.plus(F.col("_os"), F.col("_tm")))
     totals = totals.withColumns({"_om": F.min("_abs").over(up), "_fm": F.min("_abs").over(whole)})
-    totals = totals.withColumn("head_final", F.col("_fb") - (F.col("_fs") - F.least(zero, F.col("_fm"))))
+    totals = totals.withColumn("head_final", of.minus(F.col("_fb"), of.minus(F.col("_fs"), F.least(zero, F.col("_fm")))))
 
     out = same_keys(scanned, totals.select(*parts, "_os", "_ob", "_om", "head_final"), parts)
-    return _stock(out, rows.columns, zero)
+    return _stock(out, rows.columns, of)
 
 
-def _stock(out: DataFrame, columns: Sequence[str], zero: Column) -> DataFrame:
+def _stock(out: DataFrame, columns: Sequence[str], of: amounts.Plain) -> DataFrame:
     """Stock columns from local sums and what came before the bucket."""
-    out = out.withColumn("bought", F.col("_ob") + F.col("_bt"))
-    out = out.withColumn("_m", F.least(zero, F.col("_om"), F.col("_os") + F.col("_low")))
-    out = out.withColumn("held_before", F.col("_os") + F.col("_s") - F.col("_x") - F.col("_m"))
-    out = out.withColumn("taken", F.when(F.col("_b"), zero).otherwise(F.least("_q", "held_before")))
-    out = out.withColumn("short", F.when(F.col("_b"), zero).otherwise(F.col("_q") - F.col("taken")))
+    zero, c = of.zero(), F.col
+    out = out.withColumns({"bought": of.plus(c("_ob"), c("_bt")), "_now": of.plus(c("_os"), c("_s"))})
+    out = out.withColumn("_m", F.least(zero, c("_om"), of.plus(c("_os"), c("_low"))))
+    out = out.withColumn("held_before", of.minus(of.minus(c("_now"), c("_x")), c("_m")))
+    out = out.withColumn("taken", F.when(c("_b"), zero).otherwise(F.least("_q", "held_before")))
+    out = out.withColumn("short", F.when(c("_b"), zero).otherwise(of.minus(c("_q"), c("taken"))))
     return out.select(*columns, "bought", "held_before", "taken", "short", "head_final")

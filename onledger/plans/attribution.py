@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onledger.functions import amounts
 from onledger.operators.rules import failed
 from onledger.operators.scan import row_numbers, width_bucket
 from onledger.params import ScanRules
@@ -64,13 +65,15 @@ def flatten_frames(traces: DataFrame, key: str = "tx", column: str = "trace", va
 def native_deltas(frames: DataFrame, amount: Column, key: str = "tx") -> DataFrame:
     """Native value in minus value out per (transaction, wallet).
 
-    A frame without a value moves nothing. A value that cannot be held makes the wallet's delta NULL, never smaller.
+    A frame without a value moves nothing. A malformed value makes the wallet's delta NULL, never smaller.
     """
-    rows = frames.filter(F.col("kind").isin(*VALUE_FRAMES)).withColumn("_v", F.when(F.col("value").isNull(), 0).otherwise(amount))
-    sides = F.array(F.struct(F.col("sender").alias("wallet"), (F.lit(0) - F.col("_v")).alias("delta")),
+    rows = frames.filter(F.col("kind").isin(*VALUE_FRAMES)).withColumn("_v", amount)
+    of = amounts.of_column(rows, "_v")
+    rows = rows.withColumn("_v", F.when(F.col("value").isNull(), of.zero()).otherwise(F.col("_v")))
+    sides = F.array(F.struct(F.col("sender").alias("wallet"), of.negate(F.col("_v")).alias("delta")),
                     F.struct(F.col("recipient").alias("wallet"), F.col("_v").alias("delta")))
     return (rows.select(key, F.inline(sides)).filter("wallet IS NOT NULL").groupBy(key, "wallet")
-            .agg(F.when(F.count("delta") == F.count("*"), F.sum("delta")).alias("delta")))
+            .agg(F.when(F.count("delta") == F.count("*"), of.total(F.col("delta"))).alias("delta")))
 
 
 def deployment_origins(frames: DataFrame, key: str = "tx") -> DataFrame:

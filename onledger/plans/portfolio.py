@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onledger.functions import amounts, wide
 from onledger.functions.guards import holds
 from onledger.operators import joins, lots
 from onledger.operators.aggregates import latest, top_share
@@ -20,16 +21,17 @@ EVENT_ORDER = ("ts", "tx", "log_index", "pool", "origin", "quantity", "side")
 
 
 def place_audit_events(events: DataFrame, opening: DataFrame, scan: ScanRules = ScanRules()) -> DataFrame:
-    """Events after the opening stock, which counts as a first purchase of unknown cost.
+    """Events after the opening stock, which counts as a first purchase of unknown cost. Quantities become wide values.
 
     events: wallet, token, ts, tx, log_index, pool, origin, side, quantity, cost (buys), proceeds (sales), gas. opening: wallet, token, quantity.
     """
     zero = F.lit(0).cast("bigint")
-    none = F.lit(None).cast("bigint")
-    stock = opening.filter("quantity > 0").select(
+    money = "decimal(38,0)"
+    none = F.lit(None).cast(money)
+    stock = amounts.exact(opening).filter(F.col("quantity") > wide.zero()).select(
         "wallet", "token", F.lit(-1).cast("bigint").alias("ts"), zero.alias("tx"), zero.alias("log_index"), zero.alias("pool"),
-        zero.alias("origin"), F.lit("buy").alias("side"), "quantity", none.alias("cost"), none.alias("proceeds"), zero.alias("gas"))
-    rows = events.select(*stock.columns).unionByName(stock)
+        zero.alias("origin"), F.lit("buy").alias("side"), "quantity", none.alias("cost"), none.alias("proceeds"), zero.cast(money).alias("gas"))
+    rows = amounts.exact(events, money=("cost", "proceeds", "gas")).select(*stock.columns).unionByName(stock)
     return materialize(lots.positions(rows, EVENT_ORDER, scan), "audit-events")
 
 
@@ -45,15 +47,17 @@ def wallet_audit(placed: DataFrame, sales: DataFrame, balances: DataFrame) -> Da
     """
     c = F.col
     moved = placed.filter("ts >= 0")
-    signed = F.when(c("side") == "buy", c("quantity")).otherwise(-c("quantity"))
-    delta = moved.groupBy("wallet", "token").agg(F.sum(signed).alias("delta"), _COUNT().alias("events"), F.sum("gas").alias("fees"))
-    stock = placed.groupBy("wallet", "token").agg((F.max("bought") - F.max("head_final")).alias("left"))
+    of = amounts.of_column(placed, "quantity")
+    balances = amounts.exact(balances, ("opening", "ending"))
+    signed = F.when(c("side") == "buy", c("quantity")).otherwise(of.negate(c("quantity")))
+    delta = moved.groupBy("wallet", "token").agg(of.total(signed).alias("delta"), _COUNT().alias("events"), F.sum("gas").alias("fees"))
+    stock = placed.groupBy("wallet", "token").agg(of.minus(F.max("bought"), F.max("head_final")).alias("left"))
     tokens = delta.join(balances, ["wallet", "token"], "left").join(stock, ["wallet", "token"])
-    tokens = tokens.withColumn("reconciled", holds(c("opening") + c("delta") == c("ending")))
+    tokens = tokens.withColumn("reconciled", holds(of.plus(c("opening"), c("delta")) == c("ending")))
     tokens = materialize(tokens, "audit-tokens")
     per_wallet = tokens.groupBy("wallet").agg(
         F.sum("events").alias("transfer_events"), _COUNT().alias("tokens"), F.count_if("reconciled").alias("tokens_reconciled"),
-        F.count_if(c("opening") > 0).alias("tokens_with_opening"), F.count_if(c("left") > 0).alias("open_positions"),
+        F.count_if(c("opening") > of.zero()).alias("tokens_with_opening"), F.count_if(c("left") > of.zero()).alias("open_positions"),
         F.sum("fees").alias("fees"))
     judged = sales.join(tokens.select("wallet", "token", "reconciled"), ["wallet", "token"])
     good = c("pnl").isNotNull() & c("reconciled")
@@ -102,14 +106,16 @@ def explorer_crosscheck(history: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def holder_ledger(transfers: DataFrame, supply: DataFrame) -> DataFrame:
-    """Holder count and top-ten share per token, only if no balance is negative and they add up to the supply."""
-    balances = net_deltas(transfers, ["token"]).withColumnRenamed("delta", "amount")
+    """Holder count and top-ten share per token, only if no balance is negative and they add up to the supply. Amounts
+    become wide values."""
+    balances = net_deltas(amounts.exact(transfers, ("amount",)), ["token"]).withColumnRenamed("delta", "amount")
     balances = materialize(balances, "balances")
-    check = balances.groupBy("token").agg(F.min("amount").alias("_low"), F.sum("amount").alias("_sum"))
-    held = top_share(balances.filter("amount > 0"), ["token"], "amount", "wallet", 10, "top10_share")
+    supply, zero = amounts.exact(supply, ("supply",)), wide.zero()
+    check = balances.groupBy("token").agg(F.min("amount").alias("_low"), wide.total(F.col("amount")).alias("_sum"))
+    held = top_share(balances.filter(F.col("amount") > zero), ["token"], "amount", "wallet", 10, "top10_share")
     joined = supply.join(check, "token", "left").join(held, "token", "left")
     c = F.col
-    reason = (F.when(~holds(c("supply") > 0), "no_supply").when(c("_low") < 0, "negative_balance")
+    reason = (F.when(~holds(c("supply") > zero), "no_supply").when(c("_low") < zero, "negative_balance")
               .when(~holds(c("_sum") == c("supply")), "supply_mismatch"))
     ok = c("reason").isNull()
     return joined.withColumn("reason", reason).select(
@@ -141,13 +147,12 @@ def concentrated_price(sqrt_price: Column, quote_index: Column, decimals: Column
 
 
 def constant_product_quote(amount: Column, reserve_in: Column, reserve_out: Column) -> Column:
-    """Exact output of a constant-product pool with a 0.3 % fee; NULL without reserves or beyond 38 digits."""
-    wide = "decimal(38,0)"
-    paid = F.try_multiply(amount.cast(wide), F.lit(997).cast("decimal(4,0)"))
-    num = F.try_multiply(paid, reserve_out.cast(wide)).cast(wide)
-    den = F.try_add(F.try_multiply(reserve_in.cast(wide), F.lit(1000).cast("decimal(4,0)")), paid).cast(wide)
-    whole = (num - num % den) / den
-    return F.when((reserve_in > 0) & (reserve_out > 0), whole.cast(wide))
+    """Exact output, as a wide value, of a constant-product pool with a 0.3 % fee, from wide values; NULL without reserves.
+
+    The product of amount and reserve may have 512 bits; it is kept as limbs until it is divided.
+    """
+    good = (reserve_in > wide.zero()) & (reserve_out > wide.zero()) & (amount >= wide.zero())
+    return F.when(good, wide.fee_quote(amount, reserve_in, reserve_out, 997, 1000))
 
 
 def trade_ledger(fills: DataFrame, scan: ScanRules = ScanRules(), order: Sequence[str] = ("ts", "fill_id")) -> DataFrame:

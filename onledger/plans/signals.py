@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onledger.functions import bigint
+from onledger.functions import amounts, bigint
 
 MINT = "0x0"
 
@@ -31,9 +31,10 @@ def _two_sides(transfers: DataFrame, keep: Sequence[str], plus: Column, minus: C
 
 
 def net_deltas(transfers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Net amount per key and wallet; the mint address is not a wallet."""
-    moves = _two_sides(transfers, keys, F.col("amount"), -F.col("amount"), "amount")
-    return moves.groupBy(*keys, "wallet").agg(F.sum("amount").alias("delta"))
+    """Net amount per key and wallet, of numbers or wide values; the mint address is not a wallet."""
+    of = amounts.of_column(transfers, "amount")
+    moves = _two_sides(transfers, keys, F.col("amount"), of.negate(F.col("amount")), "amount")
+    return moves.groupBy(*keys, "wallet").agg(of.total(F.col("amount")).alias("delta"))
 
 
 def signed_word_balances(transfers: DataFrame) -> DataFrame:

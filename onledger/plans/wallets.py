@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onledger.functions import amounts
 from onledger.functions.guards import clamp
 from onledger.operators import lots
 from onledger.operators.aggregates import exact_median
@@ -15,9 +16,10 @@ from onledger.session import materialize
 def fifo(flows: DataFrame, scan: ScanRules = ScanRules()) -> tuple[DataFrame, DataFrame]:
     """(lots, sales of unknown basis) of a table of wallet cash flows.
 
-    Each scan reads its input twice (rows and bucket summaries), so stages are written once instead of recomputed.
+    Quantities become wide values, so 256-bit amounts and their running sums are exact. Each scan reads its input twice (rows
+    and bucket summaries), so stages are written once instead of recomputed.
     """
-    flows = materialize(flows.select("wallet", "token", *lots.FLOW_ORDER), "flows")
+    flows = materialize(amounts.exact(flows.select("wallet", "token", *lots.FLOW_ORDER)), "flows")
     ranked = materialize(lots.entry_ranks(flows, scan), "ranked-flows")
     placed = materialize(lots.positions(ranked, scan=scan), "placed-flows")
     return lots.fifo_lots(placed, scan), lots.unknown_basis(placed)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from onledger.functions import bigint
 from onledger.functions import decode as d
+from onledger.functions import wide
 from onledger.functions.guards import clamp, finite, fraction, freshness
 from onledger.plans.redaction import redact
+from onledger.plans.signals import net_deltas
 
 
 def word(n):
@@ -20,8 +22,21 @@ def test_three_swap_layouts_agree(table):
             (d.TOPIC_SWAP_V4, "0x" + word(-100) + word(20) + word(0) * 4),
             (d.TOPIC_SWAP_V3, "0x" + word(100))]
     df = table("topic string, data string", rows).withColumn("w", d.words(F.col("data")))
-    out = df.select(d.swap_amounts(F.array("topic"), F.col("w")).alias("p")).select("p.*").collect()
-    assert [(r.amount0, r.amount1) for r in out] == [(100, -20)] * 3 + [(None, None)]
+    out = df.select(d.swap_amounts(F.array("topic"), F.col("w")).alias("p")).select(*[wide.to_text(F.col(f"p.{c}")).alias(c) for c in ("amount0", "amount1")]).collect()
+    assert [(r.amount0, r.amount1) for r in out] == [("100", "-20")] * 3 + [(None, None)]
+
+
+def test_no_swap_of_wide_words_is_lost(table):
+    values = [2**126, 2**255 - 1, -2**255, -2**126 - 1, 2**200]
+    rows = [(d.TOPIC_SWAP_V3, "0x" + word(v) + word(-1 if v > 0 else 1) + word(0) * 3, v) for v in values] + [
+        (d.TOPIC_SWAP_V2, "0x" + word(2**256 - 1) + word(0) + word(0) + word(2**256 - 2), 2**256 - 1)]
+    df = table("topic string, data string, v string", [(t, x, str(v)) for t, x, v in rows]).withColumn("w", d.words(F.col("data")))
+    df = df.select("v", d.swap_amounts(F.array("topic"), F.col("w")).alias("p"))
+    made = d.direction(F.lit(d.NATIVE[1]), F.lit("0xt"), F.col("p.amount0"), F.col("p.amount1"))
+    out = df.select("v", made.alias("m")).select("v", "m.side", wide.to_text(F.col("m.quote_amount")).alias("q")).collect()
+    assert [(r.side, int(r.q)) for r in out] == [("buy" if v > 0 else "sell", abs(v)) for *_, v in rows]
+    nets = df.select(F.lit("t").alias("token"), F.lit("0x0").alias("sender"), F.lit("w").alias("recipient"), F.col("p.amount0").alias("amount"))
+    assert int(net_deltas(nets, ["token"]).select(wide.to_text(F.col("delta")).alias("d")).first().d) == sum(v for *_, v in rows)
 
 
 def test_spoofed_emitter_creates_no_pool(table):
@@ -43,9 +58,9 @@ def test_token_id_transfer_is_ignored_and_addresses_are_checked(table):
 
 
 def test_signed_and_unsigned_limits(table):
-    values = [0, 1, -1, 2**63, -(2**63), 2**64 - 1, -(2**64), 2**125, -(2**125), 2**126 - 1]
-    df = table("w string", [(word(v),) for v in values] + [(word(2**200),)])
-    assert [None if r.v is None else int(r.v) for r in df.select(d.signed(F.col("w")).alias("v")).collect()] == [*values, None]
+    values = [0, 1, -1, 2**60, -(2**60), -(2**60) - 1, 2**63, -(2**63), 2**64 - 1, -(2**64), 2**125, -(2**125), 2**126, 2**200, 2**255 - 1, -(2**255)]
+    df = table("w string", [(word(v),) for v in values])
+    assert [int(r.v) for r in df.select(wide.to_text(d.signed(F.col("w"))).alias("v")).collect()] == values
 
 
 def test_quantity_and_words_reject_malformed(table):

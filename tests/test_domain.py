@@ -4,6 +4,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from onledger.functions import wide
 from onledger.bindings import RISK_FLAGS
 from onledger.operators.rules import SCREENS, apply_screen
 from onledger.params import FollowerRules, LaunchRules, ScreenRules, rules_hash
@@ -153,7 +154,8 @@ def test_holder_ledger_and_pool_prices(table):
     assert (out[0].status, out[0].holders, out[0].top10_share) == ("reconciled", 2, 1.0)
     assert [r.reason for r in out] == [None, "negative_balance", "no_supply"]
     q = table("a long, i long, o long", [(100, 1000, 1000), (100, 0, 1000)])
-    assert [None if r.v is None else int(r.v) for r in q.select(portfolio.constant_product_quote(F.col("a"), F.col("i"), F.col("o")).alias("v")).collect()] == [90, None]
+    quote = portfolio.constant_product_quote(*[wide.of(F.col(n)) for n in ("a", "i", "o")])
+    assert [r.v for r in q.select(wide.to_text(quote).alias("v")).collect()] == ["90", None]
     p = table("quote_reserve long, token_reserve long, decimals int, rate double, lp_supply long, lp_burned long", [(10**18, 10**18, 18, 2000.0, 0, 0)])
     r = portfolio.v2_state_metrics(p).collect()[0]
     assert (r.price, r.liquidity, r.lp_burned_fraction, r.lp_burn_status) == (pytest.approx(2000.0), 4000.0, None, "undefined")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from onledger.functions import wide
 from onledger.functions import decode as d
 from onledger.operators import scan
 from onledger.plans import attribution as at
@@ -39,17 +40,20 @@ def test_cut_inventory_keeps_null_keys(table):
 
 def test_quantities_of_any_length(table):
     rows = table("n int, t string", [(1, "0x" + "0" * 100 + "ff"), (2, hex(10**19)), (3, str(10**20)), (4, "0xzz"), (5, hex(2**200)), (6, None)])
-    out = {r.n: (r.q, r.w) for r in rows.select("n", d.quantity(F.col("t")).alias("q"), d.wide_quantity(F.col("t")).alias("w")).collect()}
-    assert out[1] == (255, 255) and out[2] == (None, 10**19) and out[3] == (None, 10**20)
-    assert out[4] == out[5] == out[6] == (None, None)
+    out = {r.n: (r.q, r.w) for r in rows.select("n", d.quantity(F.col("t")).alias("q"), wide.to_text(d.wide_quantity(F.col("t"))).alias("w")).collect()}
+    assert out[1] == (255, "255") and out[2] == (None, str(10**19)) and out[3] == (None, str(10**20)) and out[5] == (None, str(2**200))
+    assert out[4] == out[6] == (None, None)
 
 
 def test_native_deltas_of_large_values_and_path_order(table):
     frames = table("tx long, path string, root_sender string, kind string, sender string, recipient string, value string", [
         (1, "0", "a", "CALL", "a", "b", hex(10 * 10**18)), (1, "0.1", "a", "CALL", "b", "c", None), (2, "0", "a", "CALL", "a", "b", hex(2**200)),
         (3, "0.10", "r", "CREATE", "late", "t", None), (3, "0.2", "r", "CREATE", "early", "t", None)])
-    out = {(r.tx, r.wallet): r.delta for r in at.native_deltas(frames.filter("tx < 3"), d.wide_quantity(F.col("value"))).collect()}
-    assert out == {(1, "a"): -(10**19), (1, "b"): 10**19, (1, "c"): 0, (2, "a"): None, (2, "b"): None}
+    deltas = at.native_deltas(frames.filter("tx < 3"), d.wide_quantity(F.col("value"))).withColumn("delta", wide.to_text(F.col("delta")))
+    assert {(r.tx, r.wallet): int(r.delta) for r in deltas.collect()} == {
+        (1, "a"): -(10**19), (1, "b"): 10**19, (1, "c"): 0, (2, "a"): -(2**200), (2, "b"): 2**200}
+    broken = at.native_deltas(frames.filter("tx = 1").withColumn("value", F.lit("0xzz")), d.wide_quantity(F.col("value")))
+    assert all(r.delta is None for r in broken.collect())
     assert [r.deployer for r in at.deployment_origins(frames.filter("tx = 3")).collect()] == ["early"]
 
 
