@@ -8,9 +8,10 @@ below MISS. Counting every collision of long lists is avoided in two ways:
   ``posts - T + EXTRA`` of both. Only those are joined, and pairs need EXTRA collisions there before their signatures are
   compared.
 * skip: lists of more than ``long`` sets (near copies of one text, a very common shingle) are left out of that join. Since only
-  components are asked for, their members are compared with a few representatives of the list each, in linear work. What is
-  then still in different components meets by chunks: members outside a list's largest component ask the chunks of the list,
-  and only their best collisions with each other component are verified, more of them in every round until none is left.
+  components are asked for, their members are compared with a few representatives of the list, and those that stay outside the
+  list's largest component with a few others of that component, all in linear work. What is then still in different components
+  meets by chunks: members outside the largest component ask the chunks of the list, and only their best collisions with each
+  other component are verified, more of them in every round until none is left.
 
 Equal sets are folded first. Components are those of the verified links.
 """
@@ -33,7 +34,9 @@ COORDINATES = 64
 MISS = 1e-7
 EXTRA = 4
 REPRESENTATIVES = 4
+STARS = 3
 CHUNK = 2048
+BATCH = 8192
 U = np.uint64
 SEEDS = T.mix(np.arange(5001, 5001 + COORDINATES, dtype=U) * T.ODD)
 SIGNED = "doc_id long, text_key long, node binary, n int, posts array<long>, sketch binary"
@@ -116,17 +119,23 @@ def colliding(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(alike, "a binary, b binary")
 
 
-def with_representatives(crowd: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every member of a long list with the list's representatives, those with the least hashes."""
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n")).alias(f"r{i}") for i in range(REPRESENTATIVES)]
-    chosen = crowd.groupBy("post").agg(*least).select("post", F.explode(F.array(*[F.col(f"r{i}") for i in range(REPRESENTATIVES)])).alias("r"))
-    met = crowd.join(chosen, "post").filter((F.col("node") != F.col("r.node")) & fitting(F.col("n"), F.col("r.n"), threshold))
+def with_representatives(crowd: DataFrame, labels: DataFrame | None, turn: int, threshold: float) -> DataFrame:
+    """(a, b): members of a long list with the list's representatives, those with the least hashes of this turn.
+
+    With labels, only members outside the list's largest component, and representatives of that component.
+    """
+    rows = crowd if labels is None else undecided(crowd, labels)
+    reps, asks = (rows, rows) if labels is None else (rows.filter("NOT asks"), rows.filter("asks"))
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(turn * REPRESENTATIVES + i)).alias("h"), "node", "n")).alias(f"r{i}") for i in range(REPRESENTATIVES)]
+    chosen = reps.groupBy("post").agg(*least).select("post", F.explode(F.array(*[F.col(f"r{i}") for i in range(REPRESENTATIVES)])).alias("r"))
+    met = asks.join(chosen, "post").filter((F.col("node") != F.col("r.node")) & fitting(F.col("n"), F.col("r.n"), threshold))
     return met.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct()
 
 
 def undecided(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of long lists that span several components: post, node, n, label, asks (it is outside the list's largest component)."""
-    rows = crowd.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_node = crowd.groupBy("node", "n").agg(F.collect_list("post").alias("lists")).join(labels.withColumnRenamed("root", "label"), "node", "left")
+    rows = per_node.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("lists").alias("post"))
     sizes = rows.groupBy("post", "label").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("post").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("members")).filter("labels > 1")
     return rows.join(largest, "post").withColumn("asks", F.col("label") != F.col("top.label")).select(
@@ -136,48 +145,59 @@ def undecided(crowd: DataFrame, labels: DataFrame) -> DataFrame:
 def best_across(rows: DataFrame, nodes: DataFrame, lists: DataFrame, matches: int, threshold: float, most: int) -> DataFrame:
     """(a, b, more): pairs of different components that share a long list and collide often enough.
 
-    Of each asking set the ``most`` best pairs with each other component in a chunk; ``more`` says that there were others.
+    Of each asking set the ``most`` best pairs with each other component in a chunk; ``more`` says that there were others. Lists
+    of one chunk are dealt many to a task.
     """
     share = fractions.Fraction(str(threshold))
+    batches = max(1, rows.count() // BATCH)
     rows = rows.join(nodes.select("node", "sketch"), "node").join(lists, "node")
     chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
     spread = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), chunks(c)).cast("int")
     body = ["post", "node", "n", "label", "sketch", "lists"]
-    held = rows.withColumn("i", F.explode(F.sequence(F.lit(0), chunks("asking") - 1))).select(*body, "i", spread("members", 1).alias("j"), F.lit(False).alias("asks"))
+    held = rows.withColumn("i", F.explode(F.sequence(F.lit(0), chunks("asking") - 1))).select(*body, "members", "i", spread("members", 1).alias("j"), F.lit(False).alias("asks"))
     asks = rows.filter("asks").withColumn("j", F.explode(F.sequence(F.lit(0), chunks("members") - 1))).select(
-        *body, spread("asking", 2).alias("i"), "j", F.lit(True).alias("asks"))
+        *body, "members", spread("asking", 2).alias("i"), "j", F.lit(True).alias("asks"))
+    small = F.col("members") <= CHUNK
+    both = held.unionByName(asks).withColumns({"batch": F.when(small, F.pmod(F.xxhash64("post"), F.lit(batches))), "alone": F.when(~small, F.col("post"))})
 
     def meet(key, table):
-        out = {"a": [], "b": [], "more": []}
+        posts = table.column("post").to_numpy()
         nodes_, labels = (np.array(table.column(c).to_pylist(), object) for c in ("node", "label"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
         size, on = table.column("n").to_numpy().astype(np.int64), table.column("asks").to_numpy(zero_copy_only=False)
-        shared = [set(x) for x in table.column("lists").to_pylist()]
+        lists_ = table.column("lists")
         kinds = np.unique(labels, return_inverse=True)[1]
-        other = np.flatnonzero(~on)
-        for x in np.flatnonzero(on).tolist():
-            low, high = np.minimum(size[other], size[x]), np.maximum(size[other], size[x])
-            fit = other[(kinds[other] != kinds[x]) & (low * share.denominator >= high * share.numerator)]
-            equal = (sketch[fit] == sketch[x]).sum(1)
-            good = equal >= matches
-            taken: dict = {}
-            for y in fit[good][np.argsort(-equal[good], kind="stable")].tolist():
-                if min(shared[x] & shared[y]) != key[0].as_py():
-                    continue  # met in another list
-                taken[kinds[y]] = taken.get(kinds[y], 0) + 1
-                if taken[kinds[y]] <= most:
-                    a, b = sorted((nodes_[x], nodes_[y]))
-                    out["a"].append(a)
-                    out["b"].append(b)
-                    out["more"].append(False)
-                elif taken[kinds[y]] == most + 1:
-                    out["more"][-1] = True
+        out = {"a": [], "b": [], "more": []}
+        order = np.argsort(posts, kind="stable")
+        edge = np.concatenate((np.flatnonzero(np.diff(posts[order], prepend=posts[order][:1] - 1)), [len(order)]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = order[lo:hi]
+            here, asking = own[~on[own]], own[on[own]]
+            for at in range(0, len(asking), max(1, (1 << 16) // max(len(here), 1))):
+                some = asking[at:at + max(1, (1 << 16) // max(len(here), 1))]
+                equal = (sketch[some][:, None, :] == sketch[here][None, :, :]).sum(2)
+                low, high = np.minimum(size[some][:, None], size[here][None, :]), np.maximum(size[some][:, None], size[here][None, :])
+                good = (equal >= matches) & (kinds[some][:, None] != kinds[here][None, :]) & (low * share.denominator >= high * share.numerator)
+                for k in np.flatnonzero(good.any(1)).tolist():
+                    x, found = some[k], np.flatnonzero(good[k])
+                    mine, taken = set(lists_[x].as_py()), {}
+                    for y in here[found[np.argsort(-equal[k, found], kind="stable")]].tolist():
+                        if taken.get(kinds[y], 0) > most or min(mine & set(lists_[y].as_py())) != posts[x]:
+                            continue  # enough, or met in another list
+                        taken[kinds[y]] = taken.get(kinds[y], 0) + 1
+                        if taken[kinds[y]] <= most:
+                            a, b = sorted((nodes_[x], nodes_[y]))
+                            out["a"].append(a)
+                            out["b"].append(b)
+                            out["more"].append(False)
+                        else:
+                            out["more"][-1] = True
         return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "more": pa.array(out["more"], pa.bool_())})
 
-    return held.unionByName(asks).groupBy("post", "i", "j").applyInArrow(meet, "a binary, b binary, more boolean")
+    return both.groupBy("batch", "alone", "i", "j").applyInArrow(meet, "a binary, b binary, more boolean")
 
 
-def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at least ``threshold``.
 
     Result, one row for each input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id is
@@ -193,21 +213,34 @@ def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int =
         F.first("posts").alias("posts"), F.first("sketch").alias("sketch")), "signed-sets")
     posted = B.keep(prefixes(nodes, matches, long), "posted")
     crowd = posted.filter(F.col("held") > long).select("post", "node", "n")
-    pairs = counted(posted.filter(F.col("held") <= long), threshold).unionByName(with_representatives(crowd, threshold)).distinct()
-    links = confirmed(pairs, low, nodes, matches, threshold, width)
+    bodies = B.keep(bodies_of(low, posted.select("node"), nodes, "id", "text"), "signed-bodies")
+
+    def confirmed(pairs):
+        """Pairs whose signatures collide often enough and whose full sets reach the threshold."""
+        good = B.keep(colliding(pairs, nodes, matches), "signed-pairs")
+        return B.keep(verified(good, bodies, threshold, width), "signed-links")
+
+    pairs = counted(posted.filter(F.col("held") <= long), threshold).unionByName(with_representatives(crowd, None, 0, threshold)).distinct()
+    links = confirmed(pairs)
+    labels = components(links)
+    for turn in range(1, STARS):
+        near = confirmed(with_representatives(crowd, labels, turn, threshold))
+        if near.isEmpty():
+            break
+        links = links.unionByName(near)
+        labels = components(links)
     lists = crowd.groupBy("node").agg(F.collect_list("post").alias("lists"))
     most = 4
     while True:
-        labels = components(links)
         rows = B.keep(undecided(crowd, labels), "signed-undecided")
-        if rows.isEmpty():
-            break
         found = B.keep(best_across(rows, nodes, lists, matches, threshold, most), "signed-across")
         if found.isEmpty():
             break
-        links = B.keep(links.unionByName(confirmed(found.select("a", "b").distinct(), low, nodes, matches, threshold, width)), "signed-links")
-        if found.filter("more").isEmpty():
+        near = confirmed(found.select("a", "b").distinct())
+        if not near.isEmpty():
+            links = links.unionByName(near)
             labels = components(links)
+        if found.filter("more").isEmpty():
             break
         most *= 16
     linked = labels.join(nodes.select("node", "rep_id"), "node")
@@ -215,11 +248,3 @@ def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int =
     known = nodes.select("node", "rep_id").join(linked.join(classes, "root").select("node", "component_id"), "node", "left")
     out = own.select("doc_id", "n", "node").join(known, "node", "left").withColumn("component_id", F.coalesce("component_id", "rep_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, matches: int, threshold: float, width: int) -> DataFrame:
-    """(a, b): pairs whose signatures collide often enough and whose full sets reach the threshold."""
-    pairs = B.keep(colliding(pairs, nodes, matches), "signed-pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    bodies = B.keep(bodies_of(docs, needed, nodes, "id", "text"), "signed-bodies")
-    return B.keep(verified(pairs, bodies, threshold, width), "signed-links")
