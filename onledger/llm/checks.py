@@ -61,10 +61,9 @@ WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text
  b AS MATERIALIZED (SELECT *, n_chars - word_chars AS c_space, greatest({rest}, 0) AS c_rest, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
  r AS MATERIALIZED (SELECT lang, sum(n_words) AS r_words, {sums} FROM b GROUP BY lang),
  tok AS (SELECT doc_id, lang, unnest(list_transform(ws, lambda x: lower(x))) AS word FROM b),
- short AS (SELECT * FROM tok WHERE length(word) BETWEEN 1 AND {quality.SHORT}),
  common AS MATERIALIZED (SELECT lang, word, n / r_words AS q FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rn
-   FROM short GROUP BY lang, word) JOIN r USING (lang) WHERE rn <= {quality.COMMON}),
- seen AS (SELECT doc_id, q, CAST(count(*) AS DOUBLE) / any_value(n_words) AS p FROM short JOIN common USING (lang, word) JOIN (SELECT doc_id, n_words FROM b) USING (doc_id)
+   FROM tok GROUP BY lang, word) JOIN r USING (lang) WHERE rn <= {quality.COMMON}),
+ seen AS (SELECT doc_id, q, CAST(count(*) AS DOUBLE) / any_value(n_words) AS p FROM tok JOIN common USING (lang, word) JOIN (SELECT doc_id, n_words FROM b) USING (doc_id)
    GROUP BY doc_id, word, q),
  js AS MATERIALIZED (SELECT doc_id, sum({_js('p', 'q')} - q / 2) AS js, sum(p) AS p_all FROM seen GROUP BY doc_id),
  far AS (SELECT b.*, sqrt(greatest({chars}, 0)) AS char_distance, greatest(1 - coalesce(p_all, 0), 0) AS po, greatest(1 - coalesce(q_all, 0), 0) AS qo,

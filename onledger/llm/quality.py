@@ -22,8 +22,6 @@ CLASSES = {
 LIGHT_ROWS = 20_000
 LIGHT_BYTES = 4_000_000
 COMMON = 40
-#: Read by the SQL check only, which still leaves longer words out; the operator counts words of any length.
-SHORT = 5
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.45

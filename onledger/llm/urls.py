@@ -1,9 +1,9 @@
 """URL filter: rules by host and path, and for other URLs a tree of path templates per host. DataFrame functions only.
 
-The tree is built one level at a time on counts of paths, never on single pages. Digits are generalised first; a segment that
-holds too small a share of its parent becomes a wildcard; siblings whose next segments are distributed alike (a chi-square
-test against all siblings together) merge into one branch. A template is rejected if the pages that rules decide say so: their
-smoothed share of blocks is high, and they are enough of the template's pages to speak for the others.
+The tree is built one level at a time, down to the deepest path, on counts of paths, never on single pages. Digits are generalised
+first; a segment that holds too small a share of its parent becomes a wildcard; two siblings are alike if a chi-square test cannot
+tell what follows them apart. Of alike siblings the first is a leader that the others join. A branch of fewer pages than SUPPORT
+is not split further. A template is rejected by the smoothed share of blocks among its pages that rules decide.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from onledger.session import materialize
 
 #: The rules of the registered query, host and path together.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH = 3
 SHARE = 0.02
 SUPPORT = 5
-SMOOTH = 4.0
+SMOOTH = 4.0  # pages that are taken to have been seen before, half of them blocked: a pure template needs 16 blocked pages
+PRIOR = 0.5
 PURITY = 0.9
-COVERED = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,58 +42,81 @@ def matched(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def segments(path: Column) -> list[Column]:
-    """Generalised segments of the first levels; what follows is one tail, and a last slash counts as a segment."""
-    cut = F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/")
-    out = [F.coalesce(F.get(cut, i + 1), F.lit("")) for i in range(DEPTH)]
-    return [*out, F.when(F.size(cut) > DEPTH + 1, "**").otherwise("")]
+def segments(path: Column) -> Column:
+    """Generalised segments; a last slash counts as one."""
+    return F.slice(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+
+
+def alike(cell: DataFrame) -> DataFrame:
+    """(node, v, leader): which earlier sibling a branch joins, if any. cell: node, v, following, o (pages).
+
+    A parent has at most 1 / SHARE + 1 branches, so a pair of branches meets at most so often for each following segment. Two
+    branches of a and b pages are compared by the two-sample chi-square over the segments that follow either.
+    """
+    branch = cell.groupBy("node", "v").agg(F.sum("o").alias("pages"), F.count("*").alias("kinds"))
+    x = branch.select("node", F.col("v").alias("a"), F.col("pages").alias("n_a"), F.col("kinds").alias("k_a"))
+    y = branch.select("node", F.col("v").alias("b"), F.col("pages").alias("n_b"), F.col("kinds").alias("k_b"))
+    pairs = x.join(y, "node").filter(F.col("a") < F.col("b"))
+    one = cell.select("node", "following", F.col("v").alias("a"), F.col("o").alias("o_a"))
+    two = cell.select("node", "following", F.col("v").alias("b"), F.col("o").alias("o_b"))
+    met = one.join(two, ["node", "following"]).filter(F.col("a") < F.col("b")).join(pairs, ["node", "a", "b"])
+    ratio = F.sqrt(F.col("n_b") / F.col("n_a"))
+    both = met.groupBy("node", "a", "b").agg(
+        F.sum((ratio * F.col("o_a") - F.col("o_b") / ratio) ** 2 / (F.col("o_a") + F.col("o_b"))).alias("x"),
+        F.sum("o_a").alias("c_a"), F.sum("o_b").alias("c_b"), F.count("*").alias("shared"))
+    p = pairs.join(both, ["node", "a", "b"], "left").fillna(0, ["x", "c_a", "c_b", "shared"])
+    # a segment that follows one branch only adds what its share of the other's pages would be
+    x2 = F.col("x") + (F.col("n_a") - F.col("c_a")) * F.col("n_b") / F.col("n_a") + (F.col("n_b") - F.col("c_b")) * F.col("n_a") / F.col("n_b")
+    df = F.col("k_a") + F.col("k_b") - F.col("shared") - 1
+    same = p.filter(x2 <= df + 3 * F.sqrt(2 * df)).select("node", "a", "b")
+    leads = same.select("node", "a").distinct().join(same.select("node", F.col("b").alias("a")).distinct(), ["node", "a"], "left_anti")
+    return same.join(leads, ["node", "a"]).groupBy("node", F.col("b").alias("v")).agg(F.min("a").alias("leader"))
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """Add the template of each level (t1, t2, ...) to counted paths (host, s1, s2, ..., n)."""
-    for i in range(1, DEPTH + 1):
-        above = ["host", *[f"t{j}" for j in range(1, i)]]
-        own, name, following = f"s{i}", f"t{i}", f"s{i + 1}"
-        child = paths.groupBy(*above, own).agg(F.sum("n").alias("n_child"))
-        parent = child.groupBy(*above).agg(F.sum("n_child").alias("n_parent"))
-        child = child.join(parent, above).withColumn("v", F.when((F.col("n_child") >= F.lit(SHARE) * F.col("n_parent")) & (
-            F.col("n_child") >= SUPPORT), F.col(own)).otherwise("*")).select(*above, own, "v")
-        paths = materialize(paths.join(child, [*above, own]), "url-level")
-        cell = paths.groupBy(*above, "v", following).agg(F.sum("n").alias("o"))
-        node = cell.groupBy(*above, "v").agg(F.sum("o").alias("n_node"))
-        pooled = cell.groupBy(*above, following).agg(F.sum("o").alias("n_cell"))
-        whole = pooled.groupBy(*above).agg(F.sum("n_cell").alias("n_all"), (F.count("*") - 1).alias("df"))
-        expected = F.col("n_node") * F.col("n_cell") / F.col("n_all")
-        test = (cell.join(node, [*above, "v"]).join(pooled, [*above, following]).join(whole, above)
-                .groupBy(*above, "v").agg(F.sum((F.col("o") - expected) ** 2 / expected - expected).alias("x"), F.first("n_node").alias("n_node"),
-                                          F.first("df").alias("df")))
-        # Cells that a branch lacks add what was expected there, which is the rest of its count.
-        alike = F.col("x") + F.col("n_node") <= F.col("df") + 3 * F.sqrt(2 * F.col("df"))
-        test = test.select(*above, "v", F.when(alike, "~").otherwise(F.col("v")).alias(name))
-        paths = materialize(paths.join(test, [*above, "v"]).drop("v"), "url-level")
-    return paths
+    """(host, segs, template) of counted paths (host, segs, n)."""
+    paths = materialize(paths.withColumns({"node": F.to_json(F.struct("host")), "done": F.lit(False)}), "url-level")
+    finished, level = paths.filter("done"), 0
+    while True:
+        here = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
+        pages = paths.groupBy("node").agg(F.sum("n").alias("n_node"))
+        ended = F.size("segs") <= level
+        rows = paths.join(pages, "node").withColumn("done", ended | (F.col("n_node") < SUPPORT))
+        rows = rows.withColumn("node", F.when(F.col("done") & ~ended, F.concat("node", F.lit("/**"))).otherwise(F.col("node"))).drop("n_node")
+        rows = materialize(rows, "url-level")
+        finished = finished.unionByName(rows.filter("done"))
+        open_ = rows.filter("NOT done").withColumns({"seg": here, "following": F.get("segs", F.lit(level + 1))})
+        if open_.isEmpty():
+            return finished
+        child = open_.groupBy("node", "seg").agg(F.sum("n").alias("n_child"))
+        parent = child.groupBy("node").agg(F.sum("n_child").alias("n_parent"))
+        child = child.join(parent, "node").withColumn("v", F.when((F.col("n_child") >= F.lit(SHARE) * F.col("n_parent")) & (
+            F.col("n_child") >= SUPPORT), F.col("seg")).otherwise("*")).select("node", "seg", "v")
+        open_ = materialize(open_.join(child, ["node", "seg"]), "url-level")
+        cell = open_.groupBy("node", "v", "following").agg(F.sum("n").alias("o")).withColumn("following", F.coalesce("following", F.lit("/")))  # no segment holds a slash
+        joined = open_.join(alike(cell), ["node", "v"], "left")
+        name = F.when(F.col("leader").isNull(), F.col("v")).otherwise(F.col("leader"))
+        paths = materialize(joined.withColumn("node", F.concat("node", F.lit("/"), name)).select("host", "segs", "n", "l", "b", "node", "done"), "url-level")
+        level += 1
 
 
 def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Decide on every URL.
 
     Result, one row for each input row: page_id, host, path, rule (null if none fits), verdict (allow or block), template (host
-    and template of the path, ``~`` for merged branches, ``*`` for rare segments). Null URLs and those without ``://`` have an
-    empty host and path and are judged like any other template; without any labelled page everything is allowed.
+    and template of the path; merged branches have their leader's name, ``*`` stands for rare segments, ``**`` for the rest of a
+    small branch). Null URLs and those without ``://`` have an empty host and path and are judged like any other template. A
+    template without labelled pages keeps the prior, which allows it. Ties of
+    counts need no order, repeated rows count again, and columns other than the two named are ignored.
     """
     host, path = parts(pages[url].cast("string"))
     own = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
     own = own.withColumn("m", matched(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "m.rule", "m.verdict")
-    levels = [f"s{i + 1}" for i in range(DEPTH + 1)]
-    own = own.select("*", *[c.alias(n) for n, c in zip(levels, segments(F.col("path")))])
-    labelled = F.count("verdict").alias("labelled")
-    counted = materialize(own.groupBy("host", *levels).agg(F.count("*").alias("n"), labelled, F.count_if(F.col("verdict") == "block").alias("blocked")), "url-paths")
-    tree = templates(counted)
-    names = ["host", *[f"t{i + 1}" for i in range(DEPTH)]]
-    total = counted.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
-    prior = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
-    leaf = tree.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    leaf = leaf.select(*names, (((F.col("b") + SMOOTH * prior) / (F.col("l") + SMOOTH) >= PURITY) & (F.col("l") >= COVERED * F.col("n"))).alias("reject"))
-    known = tree.join(leaf, names).select("host", *levels, "reject", F.concat_ws("/", *names).alias("template"))
-    return own.join(known, ["host", *levels], "left").select(
+    own = own.withColumn("segs", segments(F.col("path")))
+    counted = own.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("verdict").alias("l"), F.count_if(F.col("verdict") == "block").alias("b"))
+    tree = materialize(templates(counted), "url-tree")
+    leaf = tree.groupBy("node").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+    leaf = leaf.select("node", ((F.col("b") + SMOOTH * PRIOR) / (F.col("l") + SMOOTH) >= PURITY).alias("reject"))
+    known = tree.join(leaf, "node").select("host", "segs", "reject", F.col("node").alias("template"))
+    return own.join(known, ["host", "segs"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("reject"), "block").otherwise("allow")).alias("verdict"), "template")
