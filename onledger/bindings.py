@@ -118,7 +118,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN o_orderkey % 15 <> 0 THEN o_totalprice * (0.999E0 + (o_orderkey % 5) * 0.0005E0) END AS sma_slow,
         CASE WHEN o_orderkey % 16 <> 0 THEN (o_orderkey % 20) / 19.0E0 END AS rising_fraction FROM orders""",
     "creators": """
-      SELECT token, min(wallet) AS deployer, max(origin) AS initiator FROM swaps WHERE pool % 100 = 0 GROUP BY token""",
+      SELECT token, min(wallet) AS deployer, max(origin) AS initiator FROM swaps GROUP BY token""",
     # flat evidence collected for one assessment per order
     "observed": """
       SELECT id, ts, CASE WHEN id % 97 = 0 THEN 'bad' ELSE token END AS token, pool, block, observed_at, launch_age,

@@ -271,16 +271,16 @@ def buyer_coverage(t):
   c AS (SELECT tx, min(ts) AS ts, min(block) AS block, min(token) AS token, min(CASE side WHEN 'buy' THEN 0 ELSE 1 END) AS sell
     FROM swaps, n WHERE ts BETWEEN now - 15552000 AND now AND tx % 4 <> 0 GROUP BY tx),
   r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY sell, ts DESC, tx) AS token_rank FROM c),
-  b AS (SELECT token, count(DISTINCT wallet) AS buyers FROM swaps WHERE side = 'buy' AND tx % 4 = 0 AND pool % 500 = 0 GROUP BY token),
-  a AS (SELECT DISTINCT token FROM swaps WHERE pool % 300 = 0)
+  b AS (SELECT token, count(DISTINCT wallet) AS buyers FROM swaps WHERE side = 'buy' AND tx % 4 = 0 GROUP BY token),
+  a AS (SELECT DISTINCT token FROM swaps WHERE token NOT LIKE '%3')
  SELECT tx, token, ts, block, sell, token_rank, CAST(coalesce(buyers, 0) AS BIGINT) AS buyers, a.token IS NOT NULL AS assessed
  FROM r LEFT JOIN b USING (token) LEFT JOIN a USING (token)
  ORDER BY coalesce(buyers, 0) >= 2, sell, assessed DESC, token_rank, ts DESC, tx LIMIT 60""")
 def attribution_backlog(t):
     now = t.swap_keys.select(F.max("ts")).scalar()
-    buyers = t.swaps.filter("side = 'buy' AND tx % 4 = 0 AND pool % 500 = 0").groupBy("token").agg(
+    buyers = t.swaps.filter("side = 'buy' AND tx % 4 = 0").groupBy("token").agg(
         F.countDistinct("wallet").alias("buyers"))
-    return at.backlog(t.swaps, t.txs.filter("tx % 4 = 0"), buyers, t.swaps.filter("pool % 300 = 0"), now, 15552000, 60)
+    return at.backlog(t.swaps, t.txs.filter("tx % 4 = 0"), buyers, t.swaps.filter("token NOT LIKE '%3'"), now, 15552000, 60)
 
 
 @query("pip_42_creator_history", """

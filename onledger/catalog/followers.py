@@ -170,7 +170,7 @@ def top_ranked(t):
 
 SIGNAL_INPUT = """ an AS (SELECT p_partkey AS id, p_brand AS token, p_partkey AS pool, 946684800 + (p_partkey % 10) * 8640000 AS anchor_at FROM part),
  ev AS (SELECT tx, token, pool, ts, CASE WHEN side = 'buy' THEN quote_amount ELSE -quote_amount END AS signed_quote, tx % 61 <> 0 AS evidence_ok
-   FROM swaps WHERE block <= 2200),
+   FROM swaps),
  cr AS (SELECT token, deployer, initiator, CASE WHEN deployer % 4 <> 0 THEN 'verified' ELSE 'not_found' END AS status FROM creators),
  rk AS (SELECT DISTINCT wallet, 930000000 AS available_before FROM samples WHERE wallet % 3 = 0)"""
 FIRST_FLOW = """SELECT tx, wallet % 25 AS wallet, token, ts, ts + tx % 100 AS seen_at, side, quote_amount AS quote, origin % 30 AS origin FROM swaps"""
