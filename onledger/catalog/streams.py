@@ -139,10 +139,11 @@ def refresh_requests(t):
         return finished(t, stateful.stream_requests(findings), "requests")
 
 
-@query("str_08_fifo_state", "WITH" + FIFO_CTES + """,
- lim AS (SELECT max(ts) - 8640000 AS wm FROM flows)
- SELECT wallet, token, opened_at, closed_at, quantity, round(pnl, 6) AS pnl, 'closed' AS kind FROM outcomes, lim WHERE closed_at < wm
- UNION ALL SELECT wallet, token, ts, ts, quantity, NULL, 'unknown_basis' FROM p, lim WHERE unknown AND ts < wm""")
+@query("str_08_fifo_state", "WITH" + FIFO_CTES + """
+ SELECT wallet, token, opened_at, closed_at, CAST(quantity // 1000000000000000000 AS BIGINT) AS quantity, round(pnl, 6) AS pnl, 'closed' AS kind
+ FROM outcomes WHERE closed_at < (SELECT max(ts) - 8640000 FROM swap_keys)
+ UNION ALL SELECT wallet, token, ts, ts, CAST(quantity // 1000000000000000000 AS BIGINT), NULL, 'unknown_basis'
+ FROM p WHERE unknown AND ts < (SELECT max(ts) - 8640000 FROM swap_keys)""")
 def fifo_state(t):
     part = t.part.select(C("p_partkey").alias("pool"), C("p_brand").alias("token"))
     orders = t.orders.select(C("o_orderkey").alias("tx"), C("o_custkey").alias("origin"))
