@@ -9,6 +9,7 @@ import argparse
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -57,6 +58,7 @@ def session(cpus="8"):
 
     return (SparkSession.builder.master(f"local[{cpus}]").appName("parity").config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+            .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parity-"))
             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate())
 
 
