@@ -8,10 +8,10 @@ below MISS. Counting every collision of long lists is avoided in two ways:
   ``posts - T + EXTRA`` of both. Only those are joined, and pairs need EXTRA collisions there before their signatures are
   compared.
 * skip: lists of more than ``long`` sets (near copies of one text, a very common shingle) are left out of that join. Since only
-  components are asked for, their members are compared with a few representatives of the list, and those that stay outside the
-  list's largest component with a few others of that component, all in linear work. What is then still in different components
-  meets by chunks: members outside the largest component ask the chunks of the list, and only their best collisions with each
-  other component are verified, more of them in every round until none is left.
+  components are asked for, their members are compared with a few representatives of the list, and in lists of more than CHUNK
+  sets those that stay outside the largest component with a few others of that component, all in linear work. What is then still
+  in different components meets by chunks: members outside the largest component ask the chunks of the list, their best
+  collisions with each other component are verified first, and where that leaves some, all of them.
 
 Equal sets are folded first. Components are those of the verified links.
 """
@@ -35,6 +35,7 @@ MISS = 1e-7
 EXTRA = 4
 REPRESENTATIVES = 4
 STARS = 3
+FIRST = 64
 CHUNK = 2048
 BATCH = 8192
 U = np.uint64
@@ -197,6 +198,16 @@ def best_across(rows: DataFrame, nodes: DataFrame, lists: DataFrame, matches: in
     return both.groupBy("batch", "alone", "i", "j").applyInArrow(meet, "a binary, b binary, more boolean")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after more links: components of the components."""
+    by = labels.select("node", "root")
+    both = links.join(by.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(by.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    both = B.keep(both.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")), "signed-merge")
+    joined = components(both.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    new = both.select(F.col("a").alias("node"), F.col("x").alias("root")).union(both.select("b", "y")).distinct().join(by.select("node"), "node", "left_anti")
+    return B.keep(by.unionByName(new).join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "signed-labels")
+
+
 def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity of at least ``threshold``.
 
@@ -213,6 +224,7 @@ def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int =
         F.first("posts").alias("posts"), F.first("sketch").alias("sketch")), "signed-sets")
     posted = B.keep(prefixes(nodes, matches, long), "posted")
     crowd = posted.filter(F.col("held") > long).select("post", "node", "n")
+    large = posted.filter(F.col("held") > CHUNK).select("post", "node", "n")
     bodies = B.keep(bodies_of(low, posted.select("node"), nodes, "id", "text"), "signed-bodies")
 
     def confirmed(pairs):
@@ -221,28 +233,24 @@ def groups(docs: DataFrame, width: int = 2, threshold: float = 0.8, long: int =
         return B.keep(verified(good, bodies, threshold, width), "signed-links")
 
     pairs = counted(posted.filter(F.col("held") <= long), threshold).unionByName(with_representatives(crowd, None, 0, threshold)).distinct()
-    links = confirmed(pairs)
-    labels = components(links)
+    labels = components(confirmed(pairs))
     for turn in range(1, STARS):
-        near = confirmed(with_representatives(crowd, labels, turn, threshold))
-        if near.isEmpty():
+        stars = B.keep(with_representatives(large, labels, turn, threshold), "signed-stars")
+        near = None if stars.isEmpty() else confirmed(stars)
+        if near is None or near.isEmpty():
             break
-        links = links.unionByName(near)
-        labels = components(links)
+        labels = merged(labels, near)
     lists = crowd.groupBy("node").agg(F.collect_list("post").alias("lists"))
-    most = 4
-    while True:
+    for most in (FIRST, 1 << 62):
         rows = B.keep(undecided(crowd, labels), "signed-undecided")
         found = B.keep(best_across(rows, nodes, lists, matches, threshold, most), "signed-across")
         if found.isEmpty():
             break
         near = confirmed(found.select("a", "b").distinct())
         if not near.isEmpty():
-            links = links.unionByName(near)
-            labels = components(links)
+            labels = merged(labels, near)
         if found.filter("more").isEmpty():
             break
-        most *= 16
     linked = labels.join(nodes.select("node", "rep_id"), "node")
     classes = linked.groupBy("root").agg(F.min("rep_id").alias("component_id"))
     known = nodes.select("node", "rep_id").join(linked.join(classes, "root").select("node", "component_id"), "node", "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from onledger.session import materialize
+
 SCORED = "doc_id long, score double"
 
 
@@ -16,24 +18,25 @@ def fold(doc_id, modulus: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int) -> tuple[list, list]:
-    """Texts and labels of at most ``max_rows`` training rows and about ``max_bytes``: those with the smallest hash of their id.
+    """Texts and labels of at most ``max_rows`` training rows and ``max_bytes`` of text, in order of a hash of their id.
 
-    A document with several labels takes the largest; null labels and null ids give no training row.
+    A document with several labels takes the largest, one with several texts the smallest; null labels and null ids give no
+    training row. Both bounds are applied before anything is fetched; a first text that is larger alone still counts. Rows come
+    in order of their ids.
     """
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
              .filter("doc_id is not null and label is not null").filter(fold(F.col("doc_id"), modulus) != held)
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"))
-            .join(F.broadcast(chosen), "doc_id"))  # max_rows rows of two numbers
-    texts, wanted, size = [], [], 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or b"")):
-        size += len(r["text"] or b"")
-        if size > max_bytes and texts:
-            break
-        texts.append(bytes(r["text"] or b""))
-        wanted.append(r["label"])
-    return texts, wanted
+            .join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
+            .groupBy("doc_id", "label").agg(F.coalesce(F.min("text"), F.lit(b"")).alias("text")))
+    rows = materialize(rows, "labelled")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over at most max_rows ids and sizes
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("size")).withColumn("upto", F.sum("size").over(order))
+    within = sizes.filter((F.col("upto") <= max_bytes) | (F.col("upto") == F.col("size"))).select("doc_id")
+    found = sorted((r["doc_id"], bytes(r["text"]), r["label"]) for r in rows.join(F.broadcast(within), "doc_id").toLocalIterator())
+    return [t for _, t, _ in found], [y for *_, y in found]
 
 
 def slabs(texts, size: int = 1 << 20):

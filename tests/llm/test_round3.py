@@ -128,3 +128,17 @@ def test_url_tree_equals_brute_force(spark):
     want = collections.Counter((r.page_id, r.verdict if r.rule else "block" if reject[r.host, tuple(re.sub("[0-9]+", "{n}", r.path).split("/")[1:])] else "allow") for r in out)
     assert bag(out, "page_id", "verdict") == want
     assert any(r.verdict == "block" and not r.rule for r in out) and any(r.verdict == "allow" and not r.rule for r in out)
+
+
+def test_sample_bounds(spark):
+    from onledger.llm import labelled
+
+    rows = [(i, "t" * (10 + i % 3)) for i in range(200)] + [(7, "a repeated id"), (8, None), (None, "x"), (500, "y" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 1), (4, None), (500, 1)], "doc_id long, good int")
+    texts, wanted = labelled.sample(docs, labels, "good", 5, 0, 1000, 10**6)
+    assert 140 < len(texts) < 201 and len(texts) == len(wanted)
+    few, _ = labelled.sample(docs, labels, "good", 5, 0, 20, 10**6)
+    assert len(few) == 20
+    small, _ = labelled.sample(docs, labels, "good", 5, 0, 1000, 200)
+    assert 10 <= len(small) and sum(map(len, small)) <= 200 and set(small) <= set(texts)
