@@ -59,14 +59,15 @@ def receipts_and_traces(t):
 
 @query("src_05_candles", """
  SELECT start, low_cents / 100.0::DOUBLE AS low, close_cents / 100.0::DOUBLE AS close, start + 60 AS available_at FROM candles
- WHERE start % 10800 <> 0 AND start % 14400 <> 0 AND start % 18000 <> 0""")
+ WHERE start % 10800 <> 0 AND start % 14400 <> 0 AND start % 18000 <> 0 AND start % 7 <> 3""")
 def candles(t):
     s = C("start")
     doc = F.to_json(F.array(F.when(s % 10800 == 0, s + 7).otherwise(s).cast("double"), C("low_cents") / 100.0, C("high_cents") / 100.0,
                             C("open_cents") / 100.0, F.when(s % 14400 == 0, 0.0).otherwise(C("close_cents") / 100.0), F.lit(1.0)))
     short = F.when(s % 18000 == 0, F.to_json(F.array(s.cast("double")))).otherwise(doc)
-    rows = t.candles.select(F.from_json(short, "array<double>").alias("candle"))
-    return readers.parse_candles(rows).select("start", "low", "close", "available_at")
+    asked = F.when(s % 7 == 3, s + 3600).otherwise(s - s % 3600)
+    rows = t.candles.select(F.from_json(short, "array<double>").alias("candle"), asked.alias("bucket"))
+    return readers.parse_candles(rows, bucket="bucket").select("start", "low", "close", "available_at")
 
 
 @query("src_06_explorer_history", """
@@ -83,10 +84,31 @@ def explorer_history(t):
     docs = rows.groupBy("origin", "part").agg(F.collect_list("item").alias("transactions")).select(
         C("origin").cast("string").alias("wallet"), (C("part") * 100).alias("start_block"), (C("part") * 100 + 95).alias("end_block"),
         "transactions")
+    return readers.explode_history(saved_history(t, docs)).select("wallet", "hash", "block", "copies", F.array_join("violations", ",").alias("violations"))
+
+
+def saved_history(t, docs):
+    """Documents written as files of one JSON array each, and read back."""
     path = work_dir(t.spark, "history")
-    docs.write.json(path)
-    saved = t.spark.read.schema(readers.HISTORY).json(path)
-    return readers.explode_history(saved).select("wallet", "hash", "block", "copies", F.array_join("violations", ",").alias("violations"))
+    arrays = docs.groupBy(F.pmod(F.xxhash64("wallet"), F.lit(64)).alias("part")).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
+    arrays.repartition(64, "part").select("value", "part").write.partitionBy("part").text(path)
+    return readers.read_history(t.spark, path).drop("part")
+
+
+@query("src_06_history_jobs", """
+ WITH h AS (SELECT TEXT(origin) AS wallet, IDIV(block, 100) * 100 AS start_block, CAST(count(*) AS BIGINT) AS n FROM txs GROUP BY 1, 2)
+ SELECT wallet, start_block, start_block + 95 + CASE WHEN CAST(wallet AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END AS end_block,
+   CASE WHEN CAST(wallet AS BIGINT) % 7 = 0 THEN 'unavailable' ELSE 'matched' END AS status,
+   CASE WHEN CAST(wallet AS BIGINT) % 7 <> 0 THEN n END AS transactions FROM h""")
+def history_jobs(t):
+    part = (F.floor(C("block") / 100) * 100).cast("bigint")
+    item = F.struct(C("tx").cast("string").alias("hash"), C("block").cast("string").alias("blockNumber"))
+    docs = t.txs.groupBy(C("origin").cast("string").alias("wallet"), part.alias("start_block")).agg(F.collect_list(item).alias("transactions"))
+    docs = docs.select("wallet", "start_block", (C("start_block") + 95).alias("end_block"), "transactions")
+    late = F.when(C("wallet").cast("bigint") % 7 == 0, 1).otherwise(0)
+    jobs = docs.select("wallet", "start_block", (C("end_block") + late).alias("end_block"))
+    found = readers.history_for_jobs(saved_history(t, docs), jobs)
+    return found.select("wallet", "start_block", "end_block", "status", F.when(C("status") == "matched", F.size("transactions")).cast("bigint").alias("transactions"))
 
 
 @query("snk_01_csv_projection", """

@@ -76,13 +76,37 @@ def parse_receipts(rows: DataFrame, raw: str = "raw") -> DataFrame:
     }).drop("r")
 
 
-def parse_candles(rows: DataFrame, column: str = "candle") -> DataFrame:
-    """``[start, low, high, open, close, volume]`` arrays: aligned to the minute, with a finite positive close."""
+def parse_candles(rows: DataFrame, column: str = "candle", width: int = 60, bucket: str | None = None, bucket_width: int = 3600) -> DataFrame:
+    """``[start, low, high, open, close, volume]`` arrays: aligned to the width, with a finite positive close.
+
+    ``bucket`` names the start of the interval a row was asked for; candles outside it are dropped, an unknown one drops all.
+    """
     at = lambda i: F.try_element_at(F.col(column), F.lit(i))
     start, close = at(1).cast("bigint"), finite(at(5))
     out = rows.withColumns({"start": start, "low": at(2), "high": at(3), "open": at(4), "close": close, "volume": at(6)})
-    return out.filter((F.size(column) >= 5) & (F.col("start") % 60 == 0) & (F.col("close") > 0)).withColumn(
-        "available_at", F.col("start") + 60)
+    out = out.filter((F.size(column) >= 5) & (F.col("start") % width == 0) & (F.col("close") > 0))
+    if bucket:
+        out = out.filter((F.col("start") >= F.col(bucket)) & (F.col("start") < F.col(bucket) + bucket_width))
+    return out.withColumn("available_at", F.col("start") + width)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Saved explorer history: files that each hold one JSON array of wallet documents."""
+    return spark.read.schema(HISTORY).option("multiLine", True).json(path)
+
+
+def history_for_jobs(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs (wallet, start_block, end_block) with the transactions of the document saved for exactly that wallet and interval.
+
+    Of several such documents the one with the most transactions counts. Without one the job is unavailable, whatever other
+    intervals of the wallet are saved.
+    """
+    keys = ["wallet", "start_block", "end_block"]
+    saved = documents.withColumn("wallet", F.lower("wallet")).groupBy(*keys).agg(F.max_by("transactions", F.size("transactions")).alias("transactions"))
+    out = jobs.withColumn("wallet", F.lower("wallet")).join(saved, keys, "left")
+    found = F.col("transactions").isNotNull()
+    return out.withColumns({"status": F.when(found, "matched").otherwise("unavailable"),
+                            "reason": F.when(~found, "saved history does not match wallet and interval")})
 
 
 def explode_history(documents: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Write-then-read and stream-equals-batch, with restarts."""
 
+import json
 import pytest
 from conftest import rows_of
 from pyspark.errors import StreamingQueryException
@@ -121,3 +122,20 @@ def test_step_model():
     assert done == [] and lots[0][1] == 6
     lots, done = stateful.step(lots, (3, 0, 0, 0, 0, 7, 80, 0, "sell"))
     assert lots == [] and done[0][-1] == "unknown_basis"
+
+
+def test_candles_inside_their_bucket(table):
+    rows = table("candle array<double>, bucket long", [([3600.0, 1.0, 2.0, 1.5, 2.5, 9.0], 3600), ([7200.0, 1.0, 2.0, 1.5, 2.5, 9.0], 3600), ([3660.0, 1.0, 2.0, 1.5, 2.5, 9.0], None)])
+    assert rows_of(readers.parse_candles(rows, bucket="bucket"), "start") == [(3600,)]
+    assert readers.parse_candles(rows, width=300).count() == 2
+
+
+def test_saved_history_is_an_array_and_must_match_the_job(spark, table, tmp_path):
+    docs = [{"wallet": "0xAB", "start_block": 1, "end_block": 9, "transactions": [{"hash": "0x1", "blockNumber": "3", "from": "0xab", "to": "0xc"}]},
+            {"wallet": "0xCD", "start_block": 1, "end_block": 8, "transactions": []}]
+    (tmp_path / "a.json").write_text(json.dumps(docs, indent=1))
+    saved = readers.read_history(spark, str(tmp_path))
+    assert saved.count() == 2 and rows_of(readers.explode_history(saved), "wallet", "hash", "block") == [("0xab", "0x1", 3)]
+    jobs = table("wallet string, start_block long, end_block long", [("0xab", 1, 9), ("0xab", 1, 10), ("0xcd", 1, 8), ("0xef", 1, 8)])
+    assert rows_of(readers.history_for_jobs(saved, jobs), "wallet", "end_block", "status") == [
+        ("0xab", 9, "matched"), ("0xab", 10, "unavailable"), ("0xcd", 8, "matched"), ("0xef", 8, "unavailable")]
