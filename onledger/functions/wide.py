@@ -61,15 +61,15 @@ def _number(value: int) -> str:
     return "named_struct(" + ", ".join(f"'w{i}', {parts[i]}L" for i in reversed(range(LIMBS))) + ")"
 
 
-def _settled(parts: str) -> str:
-    """Value of an array of BIGINT limbs, lowest first, that lie between -3 and 4 times the base. A carry runs into the highest
-    limb, and with it any NULL."""
-    a, x, end = _fresh(3)
-    now = f"({x} + {a}.c)"
-    step = f"named_struct('c', ({now} + {4 * BASE}L) div {BASE}L - 4L, 'd', concat({a}.d, array(pmod({now}, {BASE}L))))"
-    top = f"element_at({end}.d, {LIMBS}) + {end}.c * {BASE}L"
-    value = _struct([*[f"element_at({end}.d, {i + 1})" for i in range(LIMBS - 1)], f"({top})"])
-    return f"aggregate({parts}, named_struct('c', 0L, 'd', {_NONE}), ({a}, {x}) -> {step}, {end} -> {value})"
+def _settled(parts: list[str]) -> str:
+    """Value of BIGINT limbs, lowest first, that lie between -3 and 4 times the base. A carry runs into the highest limb, and with
+    it any NULL."""
+    out, carry = [], None
+    for p in parts[:-1]:
+        now = p if carry is None else f"({p} + {carry})"
+        out.append(f"pmod({now}, {BASE}L)")
+        carry = f"(({now} + {4 * BASE}L) div {BASE}L - 4L)"
+    return _struct([*out, f"({parts[-1]} + {carry})"])
 
 
 def _digits(parts: str) -> str:
@@ -80,22 +80,27 @@ def _digits(parts: str) -> str:
     return f"aggregate({parts}, named_struct('c', 0L, 'd', {_NONE}), ({a}, {x}) -> {step})"
 
 
-def _settled_sums(parts: str) -> str:
+def _settled_sums(array: str) -> str:
     """Value of an array of decimal limbs. The highest, which has the sign, is left out of the division."""
-    return _named(lambda low, top: _struct([*[f"element_at({low}.d, {i + 1})" for i in range(LIMBS - 1)], f"({low}.c + {top})"]),
-                  _digits(f"slice({parts}, 1, {LIMBS - 1})"), f"CAST(element_at({parts}, {LIMBS}) AS BIGINT)")
+    out, carry = [], None
+    for i in range(LIMBS - 1):
+        p = f"element_at({array}, {i + 1})"
+        now = p if carry is None else f"CAST({p} + {carry} AS {_DEC})"
+        out.append(f"CAST(pmod({now}, {BASE}BD) AS BIGINT)")
+        carry = f"({now} div {BASE}BD)"
+    return _struct([*out, f"(CAST(element_at({array}, {LIMBS}) AS BIGINT) + {carry})"])
 
 
 def _plus(x: str, y: str) -> str:
-    return _settled("array(" + ", ".join(f"{p} + {q}" for p, q in zip(_limbs(x), _limbs(y))) + ")")
+    return _settled([f"({p} + {q})" for p, q in zip(_limbs(x), _limbs(y))])
 
 
 def _minus(x: str, y: str) -> str:
-    return _settled("array(" + ", ".join(f"{p} - {q}" for p, q in zip(_limbs(x), _limbs(y))) + ")")
+    return _settled([f"({p} - {q})" for p, q in zip(_limbs(x), _limbs(y))])
 
 
 def _negate(x: str) -> str:
-    return _settled("array(" + ", ".join(f"-{p}" for p in _limbs(x)) + ")")
+    return _settled([f"(-{p})" for p in _limbs(x)])
 
 
 def _negative(x: str) -> str:
@@ -120,21 +125,19 @@ def _word(word: str, two: bool) -> str:
         return f"transform({weights}, {w} -> aggregate({terms}, CAST(0 AS {_DEC}), ({a}, {y}) -> CAST({a} + {y} AS {_DEC})))"
 
     long_way = _named(_settled_sums, _named(added, chunks))
-    lone = lambda x: _settled(f"array({x}" + ", 0L" * (LIMBS - 1) + ")")
     short = f"CAST(conv(substring({word}, 50, 15), 16, 10) AS BIGINT)"
-    out = f"CASE WHEN {word} RLIKE '^0{{49}}[0-9a-fA-F]{{15}}$' THEN {lone(short)}"
+    out = f"CASE WHEN {word} RLIKE '^0{{49}}[0-9a-fA-F]{{15}}$' THEN {_struct([f'{short} % {BASE}L', f'({short} div {BASE}L)', '0L', '0L', '0L'])}"
     if two:
-        out += f" WHEN {word} RLIKE '^[fF]{{49}}[0-9a-fA-F]{{15}}$' THEN {lone(f'{short} - {1 << 60}L')}"
+        out += f" WHEN {word} RLIKE '^[fF]{{49}}[0-9a-fA-F]{{15}}$' THEN {_named(lambda v: _settled([v] + ['0L'] * (LIMBS - 1)), f'{short} - {1 << 60}L')}"
         out += f" WHEN {word} RLIKE '^[89a-fA-F][0-9a-fA-F]{{63}}$' THEN {_named(lambda v: _minus(v, _number(1 << 256)), long_way)}"
     return out + f" WHEN {word} RLIKE '^[0-9a-fA-F]{{64}}$' THEN {long_way} END"
 
 
 def _from_text(text: str) -> str:
     def read(text, digits):
-        x, = _fresh()
-        parts = "array(" + ", ".join(f"CAST(substring({digits}, {18 * (LIMBS - 1 - i) + 1}, 18) AS BIGINT)" for i in range(LIMBS)) + ")"
-        signed = f"CASE WHEN startswith({text}, '-') THEN transform({parts}, {x} -> -{x}) ELSE {parts} END"
-        return f"CASE WHEN {text} RLIKE '^-?0*[0-9]{{1,90}}$' THEN {_settled(signed)} END"
+        parts = [f"CAST(substring({digits}, {18 * (LIMBS - 1 - i) + 1}, 18) AS BIGINT)" for i in range(LIMBS)]
+        return (f"CASE WHEN NOT {text} RLIKE '^-?0*[0-9]{{1,90}}$' THEN NULL WHEN startswith({text}, '-') THEN {_settled([f'(-{p})' for p in parts])} "
+                f"ELSE {_struct(parts)} END")
 
     return _named(read, text, f"lpad(regexp_replace({text}, '^-?0*', ''), {18 * LIMBS}, '0')")
 
