@@ -166,7 +166,10 @@ def best_across(rows: DataFrame, nodes: DataFrame, lists: DataFrame, matches: in
         nodes_, labels = (np.array(table.column(c).to_pylist(), object) for c in ("node", "label"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
         size, on = table.column("n").to_numpy().astype(np.int64), table.column("asks").to_numpy(zero_copy_only=False)
-        lists_ = table.column("lists")
+        lists_ = table.column("lists").combine_chunks()
+        many = np.diff(lists_.offsets.to_numpy())
+        shared = np.full((len(many), int(many.max())), np.iinfo(np.int64).max)
+        shared[np.arange(shared.shape[1]) < many[:, None]] = lists_.values.to_numpy()[lists_.offsets.to_numpy()[0]:lists_.offsets.to_numpy()[-1]]
         kinds = np.unique(labels, return_inverse=True)[1]
         out = {"a": [], "b": [], "more": []}
         order = np.argsort(posts, kind="stable")
@@ -181,18 +184,17 @@ def best_across(rows: DataFrame, nodes: DataFrame, lists: DataFrame, matches: in
                 good = (equal >= matches) & (kinds[some][:, None] != kinds[here][None, :]) & (low * share.denominator >= high * share.numerator)
                 for k in np.flatnonzero(good.any(1)).tolist():
                     x, found = some[k], np.flatnonzero(good[k])
-                    mine, taken = set(lists_[x].as_py()), {}
-                    for y in here[found[np.argsort(-equal[k, found], kind="stable")]].tolist():
-                        if taken.get(kinds[y], 0) > most or min(mine & set(lists_[y].as_py())) != posts[x]:
-                            continue  # enough, or met in another list
-                        taken[kinds[y]] = taken.get(kinds[y], 0) + 1
-                        if taken[kinds[y]] <= most:
-                            a, b = sorted((nodes_[x], nodes_[y]))
-                            out["a"].append(a)
-                            out["b"].append(b)
-                            out["more"].append(False)
-                        else:
-                            out["more"][-1] = True
+                    both = shared[here[found]]
+                    met = np.where(np.isin(both, shared[x, :many[x]]), both, np.iinfo(np.int64).max).min(1) == posts[x]  # else in another list
+                    found = found[met]
+                    found = found[np.lexsort((-equal[k, found], kinds[here[found]]))]  # by component, best first
+                    kind = kinds[here[found]]
+                    place = np.arange(len(found)) - np.searchsorted(kind, kind)
+                    for y in here[found[place < most]].tolist():
+                        a, b = sorted((nodes_[x], nodes_[y]))
+                        out["a"].append(a)
+                        out["b"].append(b)
+                        out["more"].append(bool((place >= most).any()))
         return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "more": pa.array(out["more"], pa.bool_())})
 
     return both.groupBy("batch", "alone", "i", "j").applyInArrow(meet, "a binary, b binary, more boolean")
