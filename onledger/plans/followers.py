@@ -64,6 +64,9 @@ def net_exit(output: Column, rate: Column, tax: Column, rules: FollowerRules) ->
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))
 
 
+REASONS = "array('stop_loss', 'take_profit', 'time_exit')"
+
+
 def exit_reason(value: Column, cost: float, elapsed: Column, rules: FollowerRules) -> Column:
     return (F.when(value <= cost * (1 - rules.stop_loss), "stop_loss")
             .when(value >= cost * (1 + rules.take_profit), "take_profit")
@@ -105,9 +108,13 @@ def replay_paths(cases: DataFrame, quotes: DataFrame, candles: DataFrame, candle
     value = F.when(usable, net_exit(F.col("quantity") * F.col("price") / 1e6, F.col("rate"), F.lit(0.0), rules))
     seen = seen.withColumn("value", value)
     why = exit_reason(F.col("value"), rules.position_size, F.col("stamp") - F.col("entry_at"), rules)
-    walked = seen.withColumn("why", why).groupBy("case_key").agg(
-        F.min_by(F.struct("due", "stamp", "value", "why"), F.when(F.col("why").isNotNull(), F.col("due"))).alias("hit"),
+    # numbers only, so the steps are combined in a hash table; a struct or a text would be sorted by case
+    hit = F.when(F.col("why").isNotNull(), F.col("due"))
+    walked = seen.withColumn("why", F.array_position(F.expr(REASONS), why)).groupBy("case_key").agg(
+        F.min(hit).alias("due"), *[F.min_by(n, hit).alias(n) for n in ("stamp", "value", "why")],
         F.min(F.when(F.col("value").isNull(), F.col("due"))).alias("gap"))
+    walked = walked.select("case_key", "gap", F.when(F.col("due").isNotNull(), F.struct(
+        "due", "stamp", "value", F.get(F.expr(REASONS), F.col("why") - 1).alias("why"))).alias("hit"))
 
     out = entry.join(walked, "case_key", "left")
     ended = F.col("hit").isNotNull()
