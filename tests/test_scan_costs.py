@@ -32,3 +32,16 @@ def test_hot_inventories_too(spark):
     assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
     plain = scan.inventory(hot(spark), ["k"], ["ts"], scan.width_bucket("ts", 100), F.col("v"), F.col("ts") % 2 == 0)
     assert rows_of(out, *out.columns) == rows_of(plain, *out.columns)
+
+
+def test_sums_since_marks_in_one_scan(spark):
+    rows = spark.range(900).select((F.col("id") % 2).alias("k"), F.col("id").alias("ts"), F.col("id").alias("v"))
+    mark, want, run = F.col("ts") % 7 == 3, {}, {0: 0, 1: 0}
+    for i in range(900):
+        run[i % 2] += i
+        want[i] = run[i % 2]
+        run[i % 2] = 0 if i % 7 == 3 else run[i % 2]
+    for most in (100, 10_000):
+        out = scan.since_marks(rows, ["k"], ["ts"], scan.width_bucket("ts", 5), F.col("v"), mark, "s", most)
+        assert plan(out).count("Exchange hashpartitioning") == 1
+        assert {r.ts: r.s for r in out.collect()} == want
