@@ -45,3 +45,16 @@ def test_sums_since_marks_in_one_scan(spark):
         out = scan.since_marks(rows, ["k"], ["ts"], scan.width_bucket("ts", 5), F.col("v"), mark, "s", most)
         assert plan(out).count("Exchange hashpartitioning") == 1
         assert {r.ts: r.s for r in out.collect()} == want
+
+
+def test_ledger_and_report_join_the_swaps_once(spark, monkeypatch):
+    from onledger import catalog
+    from onledger.bindings import Tables
+    from onledger.catalog import portfolio
+
+    items = catalog.load()
+    for name in ("pip_39_trade_ledger", "pip_38_portfolio_report"):
+        made = []
+        monkeypatch.setattr(portfolio, "materialize", lambda rows, label: made.append(label) or rows.limit(0))
+        out = items[name].job(Tables(spark, "/root/testdata/sf0.001"))
+        assert made == ["swaps"] and "orders.parquet" not in plan(out)
