@@ -58,3 +58,11 @@ def test_ledger_and_report_join_the_swaps_once(spark, monkeypatch):
         monkeypatch.setattr(portfolio, "materialize", lambda rows, label: made.append(label) or rows.limit(0))
         out = items[name].job(Tables(spark, "/root/testdata/sf0.001"))
         assert made == ["swaps"] and "orders.parquet" not in plan(out)
+
+
+def test_entry_ranks_join_the_flows_once(spark):
+    from onledger import catalog
+    from onledger.bindings import Tables
+
+    out = catalog.load()["win_03_entry_rank"].job(Tables(spark, "/root/testdata/sf0.001"))
+    assert "orders.parquet" not in plan(out) and "/flows-" in plan(out) and "/first-buys-" in plan(out)
