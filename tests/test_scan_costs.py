@@ -66,3 +66,13 @@ def test_entry_ranks_join_the_flows_once(spark):
 
     out = catalog.load()["win_03_entry_rank"].job(Tables(spark, "/root/testdata/sf0.001"))
     assert "orders.parquet" not in plan(out) and "/flows-" in plan(out) and "/first-buys-" in plan(out)
+
+
+def test_audit_joins_the_flows_once(spark, monkeypatch):
+    from onledger.bindings import Tables
+    from onledger.catalog import portfolio
+
+    monkeypatch.setattr(portfolio.pf, "place_audit_events", lambda *tables: tables)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for rows in portfolio.placed(t, portfolio.stored_flows(t)):
+        assert "orders.parquet" not in plan(rows) and "/flows-" in plan(rows)
