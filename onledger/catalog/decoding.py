@@ -142,12 +142,15 @@ def units(t):
  SELECT tx, log_index, pool, wallet, '0x' || lpad(lower(to_hex(CAST(regexp_extract(token, '(\\d+)$', 1) AS BIGINT))), 40, '0')
    AS token, side, TEXT(ATOMIC(token_amount)) AS token_amount, TEXT(quote_amount) AS quote_amount FROM swaps""")
 def direction(t):
-    pair = d.swap_amounts(C("log_topics"), C("words"))
-    rows = pinned(parsed(t), "p", pair)
-    made = d.direction(C("token0"), C("token1"), C("p.amount0"), C("p.amount1"))
-    return pinned(rows, "m", made).select(
-        *KEY, "m.token", "m.side", wide.to_text(C("m.token_amount")).alias("token_amount"),
-        wide.to_text(C("m.quote_amount")).alias("quote_amount"))
+    # amounts within 120 bits run on decimals; the wide columns are worked out for the other rows only
+    rows = pinned(parsed(t), "n", d.narrow_swap_amounts(C("log_topics"), C("words")))
+    rows = pinned(rows, "m", d.direction(C("token0"), C("token1"), C("n.amount0"), C("n.amount1"), narrow=True))
+    large = C("n").isNull()
+    rows = rows.withColumn("p", F.when(large, d.swap_amounts(C("log_topics"), C("words"))))
+    rows = rows.withColumn("w", F.when(large, d.direction(C("token0"), C("token1"), C("p.amount0"), C("p.amount1"))))
+    digits = lambda name: F.when(large, wide.to_text(C(f"w.{name}"))).otherwise(C(f"m.{name}").cast("string")).alias(name)
+    return rows.select(*KEY, F.coalesce("m.token", "w.token").alias("token"), F.coalesce("m.side", "w.side").alias("side"),
+                       digits("token_amount"), digits("quote_amount"))
 
 
 @query("dec_14_json_paths", """
