@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onledger.functions import amounts
+from onledger.functions.pin import pinned
 from onledger.operators.rules import failed
 from onledger.operators.scan import row_numbers, width_bucket
 from onledger.params import ScanRules
@@ -18,6 +19,8 @@ from onledger.session import materialize
 # --- fixed values: frame kinds that move native value, and kinds that deploy ------------------------------------------
 VALUE_FRAMES = ("CALL", "CREATE", "CREATE2", "SELFDESTRUCT")
 DEPLOY_FRAMES = ("CREATE", "CREATE2")
+# --- fixed value: what is read of a frame; fields of another kind are NULL ------------------------------------------------
+FRAME = "struct<`type`: string, `from`: string, `to`: string, value: string, error: string, calls: array<variant>>"
 
 # --- fixed values: reasons an attribution is not unique ---------------------------------------------------------------
 REVERTED = "Transaction reverted"
@@ -31,43 +34,56 @@ def flatten_frames(traces: DataFrame, key: str = "tx", column: str = "trace", va
     """Live call frames of JSON call trees, one row per frame.
 
     One pass per level: an errored frame is dropped before its children are read, so its whole subtree goes with it, and
-    a tree with an errored root yields nothing. Every level is written out, which keeps the plan flat however deep the
-    trees are.
+    a tree with an errored root yields nothing. A tree is parsed once; every level is written out with its children as parsed
+    values, which keeps the plan flat however deep the trees are.
     """
-    get = F.try_variant_get
-
-    def unpack(rows: DataFrame) -> DataFrame:
-        v = F.col("_node")
-        return rows.select(
-            key, "path", F.coalesce("root_sender", F.lower(get(v, "$.from", "string"))).alias("root_sender"),
-            F.upper(get(v, "$.type", "string")).alias("kind"), F.lower(get(v, "$.from", "string")).alias("sender"),
-            F.lower(get(v, "$.to", "string")).alias("recipient"), get(v, "$.value", "string").alias("value"),
-            get(v, "$.error", "string").alias("error"), F.to_json(get(v, "$.calls", "array<variant>")).alias("calls"),
+    def unpack(rows: DataFrame, node: Column) -> DataFrame:
+        f = F.col("_f")
+        return pinned(rows.withColumn("_node", node), "_f", F.try_variant_get(F.col("_node"), "$", FRAME)).select(
+            key, "path", F.coalesce("root_sender", F.lower(f["from"])).alias("root_sender"), F.upper(f["type"]).alias("kind"),
+            F.lower(f["from"]).alias("sender"), F.lower(f["to"]).alias("recipient"), f["value"].alias("value"),
+            f["error"].alias("error"), f["calls"].alias("calls"),
         ).filter(F.coalesce("error", F.lit("")) == "")
 
-    level = traces.select(key, F.lit("0").alias("path"), F.lit(None).cast("string").alias("root_sender"),
-                          F.try_parse_json(column).alias("_node"))
+    level = unpack(traces.select(key, F.lit("0").alias("path"), F.lit(None).cast("string").alias("root_sender"), column),
+                   F.try_parse_json(column))
     levels = []
     while True:
-        level = materialize(unpack(level), "frames")
+        level = materialize(level, "frames")
         if level.isEmpty():
             break
         levels.append(level)
-        level = level.filter("calls IS NOT NULL").select(
-            key, "path", "root_sender", F.posexplode(get(F.try_parse_json("calls"), "$", "array<variant>")).alias("_i", "_node")
-        ).withColumn("path", F.concat_ws(".", "path", F.col("_i").cast("string")))
+        children = level.filter("calls IS NOT NULL").select(key, "path", "root_sender", F.posexplode("calls").alias("_i", "_node"))
+        level = unpack(children.withColumn("path", F.concat_ws(".", "path", F.col("_i").cast("string"))), F.col("_node"))
     out = levels[0] if levels else level
     for other in levels[1:]:
         out = out.unionByName(other)
     return out.drop("calls", "error")
 
 
-def native_deltas(frames: DataFrame, amount: Column, key: str = "tx") -> DataFrame:
+def native_deltas(frames: DataFrame, amount: Column, key: str = "tx", narrow: Column | None = None) -> DataFrame:
     """Native value in minus value out per (transaction, wallet).
 
     A frame without a value moves nothing. A malformed value makes the wallet's delta NULL, never smaller.
+
+    ``narrow`` reads the same amounts as DECIMAL(28,0), NULL where it cannot. Transactions it reads in full are added up as decimals,
+    the others, usually none, as ``amount``. If there are none, deltas are DECIMAL(38,0).
     """
-    rows = frames.filter(F.col("kind").isin(*VALUE_FRAMES)).withColumn("_v", amount)
+    rows = frames.filter(F.col("kind").isin(*VALUE_FRAMES))
+    if narrow is None:
+        return _deltas(rows, amount, key)
+    rows = rows.withColumn("_n", narrow)
+    # frames may be written tables, which are read again; the list shows whether there are such transactions at all
+    odd = materialize(rows.filter("value IS NOT NULL AND _n IS NULL").select(F.col(key).alias("_key")).distinct(), "wide-transactions")
+    if odd.isEmpty():
+        return _deltas(rows, F.col("_n").cast(amounts.NARROW), key)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    plain = _deltas(rows.join(odd, same, "left_anti"), F.col("_n").cast(amounts.NARROW), key)
+    return amounts.exact(plain, ("delta",), ()).unionByName(_deltas(rows.join(odd, same, "left_semi"), amount, key))
+
+
+def _deltas(rows: DataFrame, amount: Column, key: str) -> DataFrame:
+    rows = rows.withColumn("_v", amount)
     of = amounts.of_column(rows, "_v")
     rows = rows.withColumn("_v", F.when(F.col("value").isNull(), of.zero()).otherwise(F.col("_v")))
     sides = F.array(F.struct(F.col("sender").alias("wallet"), of.negate(F.col("_v")).alias("delta")),
