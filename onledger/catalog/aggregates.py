@@ -158,12 +158,16 @@ def time_ranges(t):
                                 ("samples", t.samples, "leader_ts")])
 
 
+# --- fixed value: pieces of moves per input split, which Spark bounds in bytes -----------------------------------------------
+PIECES_PER_SPLIT = 16
+
+
 @query("agg_13_net_deltas", """
  WITH d AS (SELECT tx, token, recipient AS wallet, amount FROM transfers
    UNION ALL SELECT tx, token, sender, -amount FROM transfers)
  SELECT tx, token, wallet, CAST(sum(amount) AS BIGINT) AS delta FROM d WHERE wallet <> '0x0' GROUP BY tx, token, wallet""")
 def net_deltas(t):
-    return signals.net_deltas(t.transfers, ["tx", "token"])
+    return signals.net_deltas(t.transfers, ["tx", "token"], PIECES_PER_SPLIT * t.lineitem.rdd.getNumPartitions())
 
 
 COVERAGE = """ w AS (SELECT tx, CASE WHEN status_code = 'F' THEN 'complete' WHEN status_code = 'P' THEN 'ambiguous' END

@@ -30,10 +30,16 @@ def _two_sides(transfers: DataFrame, keep: Sequence[str], plus: Column, minus: C
     return transfers.select(*keep, F.inline(sides)).filter(F.col("wallet") != MINT)
 
 
-def net_deltas(transfers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Net amount per key and wallet, of numbers or wide values; the mint address is not a wallet."""
+def net_deltas(transfers: DataFrame, keys: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """Net amount per key and wallet, of numbers or wide values; the mint address is not a wallet.
+
+    Where keys hardly repeat, adding up before the shuffle only fills the memory of a task. With ``pieces`` the moves are dealt by
+    key into that many pieces first; let it grow with the input, and a task's memory does not.
+    """
     of = amounts.of_column(transfers, "amount")
     moves = _two_sides(transfers, keys, F.col("amount"), of.negate(F.col("amount")), "amount")
+    if pieces:
+        moves = moves.repartition(pieces, *keys, "wallet")
     return moves.groupBy(*keys, "wallet").agg(of.total(F.col("amount")).alias("delta"))
 
 
