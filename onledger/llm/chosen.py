@@ -156,14 +156,14 @@ def candidates(where: DataFrame, dense: DataFrame, nodes: DataFrame, threshold:
     return pairs.join(left, "a").join(right, "b").mapInArrow(alike, "a binary, b binary")
 
 
-def bodies_of(docs: DataFrame, needed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, body): the compressed text of one document for each needed set."""
+def bodies_of(docs: DataFrame, needed: DataFrame, nodes: DataFrame, id_col: str, text_col: str, change: bytes | None = None) -> DataFrame:
+    """(node, body): the compressed text of one document for each needed set, its bytes translated by ``change``."""
 
     def pack(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "text_key": batch.column("text_key"),
-                                              "body": pa.array([B.squeeze(t) for t in texts], pa.binary())})
+                                              "body": pa.array([B.squeeze(t.translate(change)) for t in texts], pa.binary())})
 
     bodies = keyed(docs, id_col, text_col).mapInArrow(pack, "id long, text_key long, body binary")
     first = needed.distinct().join(nodes.select("node", "rep"), "node")

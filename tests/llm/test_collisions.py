@@ -76,3 +76,37 @@ def test_bound_of_matches():
     from onledger.llm import collisions
 
     assert collisions.least_matches(0.8) == 33 and collisions.least_matches(0.9) > collisions.least_matches(0.5)
+
+
+def test_posts_and_their_bound():
+    from onledger.llm import collisions
+
+    span, shared = collisions.posting(0.8)
+    assert span == 2 and shared == 5
+    missed = collisions.sure(0.8, 64, collisions.MISS)[1] + collisions.sure(0.8 ** 2, 32, collisions.MISS - collisions.sure(0.8, 64, collisions.MISS)[1])[1]
+    assert missed <= collisions.MISS
+    assert collisions.posting(0.5) == (1, collisions.least_matches(0.5))  # pairs of coordinates would miss too many
+
+
+def test_near_misses_of_a_crowd_are_not_listed(spark, monkeypatch):
+    """Eighty texts that are alike by their signatures, none of them by its set: no list of their pairs is written."""
+    from onledger.llm import collisions
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(80):
+        text = [f"w{i}" for i in range(100)]
+        for i in rng.sample(range(100), 7):
+            text[i] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((n, " ".join(text).upper()))
+    written, keep = collections.Counter(), collisions.B.keep
+
+    def kept(frame, label):
+        out = keep(frame, label)
+        written[label] = max(written[label], out.count())
+        return out
+
+    monkeypatch.setattr(collisions.B, "keep", kept)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert bag(collisions.groups(frame).collect(), *NAMES) == plain(rows)
+    assert written["signed-undecided"] > 80 and written["signed-across"] <= 80
