@@ -142,3 +142,24 @@ def test_sample_bounds(spark):
     assert len(few) == 20
     small, _ = labelled.sample(docs, labels, "good", 5, 0, 1000, 200)
     assert 10 <= len(small) and sum(map(len, small)) <= 200 and set(small) <= set(texts)
+
+
+def test_hot_windows_hash_only_their_own_texts(monkeypatch):
+    """Windows of hot runs are those found by hashing everything, but only the runs' texts are hashed."""
+    import random
+
+    import numpy as np
+
+    from onledger.llm import suffixes
+
+    rng, length, hashed, plain = random.Random(3), 400, [], suffixes.T.sound_windows
+    rows = [(d, bytes(rng.choice(b"abcdef ") for _ in range(60_000)), None) for d in range(3)]
+    monkeypatch.setattr(suffixes.T, "sound_windows", lambda codes, width, *more: hashed.append(len(codes) * (width == length)) or plain(codes, width, *more))
+    doc, start, count = np.array([2, 0, 2, 2]), np.array([500, 59_500, 100, 40_000]), np.array([70, 101, 400, 1])
+    fine, one, two, at, where = suffixes.hot_windows(rows, length, doc, start, count)
+    assert sorted(zip(at.tolist(), where.tolist())) == sorted((d, s + i) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist()) for i in range(n))
+    assert sum(hashed) <= 2 * (sum(count.tolist()) + 3 * (length - 1))  # neighbouring runs are one text
+    every = {d: [plain(suffixes.T.CODES[i][np.frombuffer(rows[d][1], np.uint8)], length, i) for i in (0, 1)] for d in (0, 2)}
+    assert all(a == every[d][0][s] and b == every[d][1][s] for a, b, d, s in zip(one, two, at.tolist(), where.tolist()))
+    whole = {d: suffixes.Slab([(d, 0, rows[d][1])], length).anchors(length - suffixes.FINE)[0] for d in (0, 2)}
+    assert all(f == suffixes.T.mix(whole[d][s:s + 1])[0] for f, d, s in zip(fine, at.tolist(), where.tolist()))
