@@ -54,3 +54,12 @@ def test_errors_of_changed_documents(spark):
         wrong = ev.validate(built.withColumn("ms", cut))
         assert wrong.head().errors == ["Invalid measurement catalogue"]
         assert [f.code for f in ev.quality(wrong).head().findings] == ["SCHEMA_INVALID"]
+
+
+def test_findings_are_compiled(spark):
+    rows = Tables(spark, "/root/testdata/sf0.001").observed.withColumn("now", F.col("ts") + 10)
+    plan = optimized(ev.finding_rows(ev.assess(rows)))
+    # lambdas put texts of broken rules together, they do not judge measurements
+    assert "exists(" not in plan and "zip_with(" not in plan
+    texts = [line for line in plan.splitlines() if "getbit(" in line]
+    assert len(texts) == 1 and "isnan" not in texts[0]
