@@ -96,16 +96,17 @@ def candidate_score(rows: DataFrame, rules: LaunchRules = LaunchRules(), now: st
         F.when(is_number(c("eff_buyers")), F.least(c("eff_buyers") / 5, F.lit(1.0))),
         F.when(is_number(c("eff_qualified")), F.least(c("eff_qualified"), F.lit(1.0))),
     )
-    parts = []
-    for (name, weight), share_of in zip(COMPONENTS, fractions):
-        f = share_of.cast("double")
+    # shares stand in columns of their own and points are added up as they are: a lambda over the components is not compiled
+    shares = {f"_share_{i}": share_of.cast("double") for i, share_of in enumerate(fractions)}
+    parts, points = [], []
+    for (name, weight), share_of in zip(COMPONENTS, shares):
+        f = c(share_of)
+        points.append(F.coalesce(F.round(weight * clamp(f, 0.0, 1.0) * 100).cast("bigint"), F.lit(0)))
         parts.append(F.struct(
-            F.lit(name).alias("name"), F.lit(weight).alias("maximum"),
-            F.coalesce(F.round(weight * clamp(f, 0.0, 1.0) * 100).cast("bigint"), F.lit(0)).alias("hundredths"),
+            F.lit(name).alias("name"), F.lit(weight).alias("maximum"), points[-1].alias("hundredths"),
             F.when(f.isNull(), "unknown").when(f >= 1, "met").when(f > 0, "partial").otherwise("not_met").alias("status")))
-    out = rows.withColumn("components", F.array(*parts))
-    total = F.aggregate("components", F.lit(0).cast("bigint"), lambda a, p: a + p["hundredths"])
-    return out.withColumn("score", F.round(total / 100, 1))
+    total = sum(points, F.lit(0).cast("bigint"))
+    return rows.withColumns(shares).withColumns({"components": F.array(*parts), "score": F.round(total / 100, 1)}).drop(*shares)
 
 
 @screen("launch")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from onledger.bindings import Tables
+from onledger.operators.rules import failed
 from onledger.plans import evidence as ev
+from onledger.plans import scoring
 
 
 def test_families_are_zipped_once(spark):
@@ -63,3 +65,19 @@ def test_findings_are_compiled(spark):
     assert "exists(" not in plan and "zip_with(" not in plan
     texts = [line for line in plan.splitlines() if "getbit(" in line]
     assert len(texts) == 1 and "isnan" not in texts[0]
+
+
+def test_scores_are_added_up_without_a_lambda(spark):
+    rows = Tables(spark, "/root/testdata/sf0.001").observed.withColumn("now", F.col("ts") + 10)
+    rows = ev.effective(ev.assess(rows)).withColumn("risk_reasons", F.array().cast("array<string>"))
+    out = scoring.decide(rows)
+    assert "aggregate(" not in optimized(out.select("id", "score", "reasons", "action"))
+    points = F.aggregate("components", F.lit(0).cast("bigint"), lambda a, p: a + p["hundredths"])
+    assert out.count() == 1500 and out.filter(~F.col("score").eqNullSafe(F.round(points / 100, 1))).isEmpty()
+
+
+def test_failed_rules_are_listed_without_a_lambda(spark):
+    rules = [("a", F.col("id") == 0), ("b", F.lit(None).cast("boolean")), ("c", F.col("id") == 1)]
+    out = spark.range(3).select("id", failed(rules).alias("reasons"))
+    assert [r.reasons for r in out.orderBy("id").collect()] == [["b", "c"], ["a", "b"], ["a", "b", "c"]]
+    assert "lambda" not in optimized(out) and not out.schema["reasons"].dataType.containsNull
